@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.exact_dedup import content_sort
 from quire.llm.jaccard_join import jaccard_components
+from quire.llm.packing import pack
+from quire.llm.pfair_mix import pfair_mix
+from quire.llm.toxicity import score
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +27,29 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"))
 
 
+def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair_mix(docs)
+
+
+def op10_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), str(tokenizer_path()))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_nnpu_toxicity": op2_nnpu_toxicity,
     "op6_content_sort": op6_content_sort,
+    "op8_pfair_mix": op8_pfair_mix,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_drr_packing": op10_drr_packing,
 }
 
 ORACLE_SQL = {
