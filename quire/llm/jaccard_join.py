@@ -13,10 +13,11 @@ common order of shingles two partners meet in their prefixes.
    prefix form a group. Group pairs come from prefix tokens that two groups share, filtered by size
    and by the overlap that their positions still allow. Groups expand to members, which are verified
    on whole sets.
-4. *No quadratic step.* A dense group is first verified against one pivot (its member with the
-   fewest shingles of its own). Only pairs that are still in different components are generated
-   after that: all of them, so no link between components is lost. Links inside a component change
-   nothing.
+4. *No pair rows of dense groups.* A bucket is first verified against one pivot (its member with the
+   fewest shingles of its own). After that only pairs of different components matter, since links
+   inside a component change nothing. In buckets of at most FEW documents they become rows; in others
+   blocks of documents are verified against blocks inside a task, and only links become rows. All
+   pairs across components that share a prefix token are verified.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from quire.plans.joins import join_small
 NUM, DEN = 4, 5
 WIDTH = 5
 NO_ID = -(1 << 62)
+FLUSH_TOKENS = 400_000
+FEW = 8
+BLOCK = 128
 
 
 def alpha(n):
@@ -52,6 +56,41 @@ def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def _pack(ids: list, sizes: list, tokens: list, buckets: int) -> pa.RecordBatch:
+    """One row of sizes and counts known at once, and one row of packed tokens for each bucket."""
+    ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int32)
+    token = np.concatenate(tokens)
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in tokens])
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    copies = np.diff(np.append(np.flatnonzero(new), len(token)))
+    many = np.repeat(copies >= 3, copies)
+    known = np.bincount(row[many], minlength=len(ids)).astype(np.int32)
+    send = ~many | new
+    owner = np.where(many, -1, row)[send]  # -1 stands for rows that are counted already
+    token = mix(token[send])
+    bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((owner, bucket))
+    token, bucket, owner = token[order].astype(np.uint32), bucket[order], owner[order]
+    out = [[int(ids[0] % buckets)], [0], [_packed(ids)], [_packed(sizes)], [_packed(known)]]
+    edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        own = owner[edge[b] : edge[b + 1]]
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        who = own[at]
+        out[0].append(b)
+        out[1].append(1)
+        out[2].append(_packed(np.where(who < 0, NO_ID, ids[who])))
+        out[3].append(_packed(np.diff(np.append(at, len(own))).astype(np.int32)))
+        out[4].append(_packed(token[edge[b] : edge[b + 1]]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])],
+        names=["bucket", "kind", "ids", "nums", "vals"],
+    )
+
+
 def _emit_tokens(buckets: int):
     """Map side of the count filter: packed prefix tokens by bucket, and what is known at once."""
 
@@ -59,8 +98,8 @@ def _emit_tokens(buckets: int):
         from pyspark import TaskContext
 
         spare = NO_ID - (TaskContext.get().partitionId() << 36)  # ids for rows that have none
+        ids, sizes, tokens, held = [], [], [], 0
         for batch in batches:
-            ids, sizes, tokens = [], [], []
             raw = batch.column(0).to_pylist()
             for a, _, data, offs in slices(batch.column(1)):
                 for i, s in enumerate(shingle_sets(Words(data, offs), WIDTH), a):
@@ -70,39 +109,12 @@ def _emit_tokens(buckets: int):
                     ids.append(spare if raw[i] is None else raw[i])
                     sizes.append(n)
                     tokens.append(s[: n - alpha(n) + ell(n)] if n else s)
-            if not ids:
-                continue
-            ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int32)
-            token = np.concatenate(tokens)
-            row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in tokens])
-            order = np.argsort(token, kind="stable")
-            token, row = token[order], row[order]
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            start = np.flatnonzero(new)
-            many = np.repeat(np.diff(np.append(start, len(token))) >= 3, np.diff(np.append(start, len(token))))
-            known = np.bincount(row[many], minlength=len(ids)).astype(np.int32)
-            send = ~many | new
-            owner = np.where(many, -1, row)[send]  # -1: stands for rows that are counted already
-            token = mix(token[send])
-            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-            order = np.lexsort((owner, bucket))
-            token, bucket, owner = token[order].astype(np.uint32), bucket[order], owner[order]
-            out = [[int(ids[0] % buckets)], [0], [_packed(ids)], [_packed(sizes)], [_packed(known)]]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                own = owner[edge[b] : edge[b + 1]]
-                at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                who = own[at]
-                out[0].append(b)
-                out[1].append(1)
-                out[2].append(_packed(np.where(who < 0, NO_ID, ids[who])))
-                out[3].append(_packed(np.diff(np.append(at, len(own))).astype(np.int32)))
-                out[4].append(_packed(token[edge[b] : edge[b + 1]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])],
-                names=["bucket", "kind", "ids", "nums", "vals"],
-            )
+                    held += len(tokens[-1])
+                if held >= FLUSH_TOKENS:
+                    yield _pack(ids, sizes, tokens, buckets)
+                    ids, sizes, tokens, held = [], [], [], 0
+        if ids:
+            yield _pack(ids, sizes, tokens, buckets)
 
     return run
 
@@ -136,16 +148,17 @@ def _count_bucket(table: pa.Table) -> pa.Table:
 
 
 def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        raw, out = batch.column(0).to_pylist(), [[], [], [], [], []]
+        raw = batch.column(0).to_pylist()
         for a, _, data, offs in slices(batch.column(1)):
+            out = [[], [], [], [], []]
             for i, s in enumerate(shingle_sets(Words(data, offs), WIDTH), a):
                 with np.errstate(over="ignore"):
                     sig = [int(mix(s + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2)]
                 for o, x in zip(out, (raw[i], len(s), *sig, _packed(s)), strict=True):
                     o.append(x)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc", "n", "sig1", "sig2", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc", "n", "sig1", "sig2", "hashes"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +174,74 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough."""
+def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough; only sets of paired documents move."""
+    pairs = scratch.write(pairs, f"{name}_pairs")
+    used = scratch.write(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), f"{name}_used")
+    sets = join_small(sets.select("doc", "hashes"), used, sets["doc"] == F.col("d"), "left_semi", used.count())
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
     return both.mapInArrow(_verify, "a long, b long")
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the two sides of one pair of blocks, or inside one block, by matrix products."""
+    side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc", "c"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+    size = np.array([len(s) for s in sets])
+    token, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # a token of one set can't be shared
+    shared = times[inverse] > 1
+    row, col = np.repeat(np.arange(len(sets)), size)[shared], column[inverse][shared]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for c in range(0, int(col.max(initial=-1)) + 1, step):
+        x, y = np.searchsorted(col, (c, c + step))
+        part = np.zeros((len(sets), step), np.float32)
+        part[row[x:y], col[x:y] - c] = 1
+        common += part @ part.T
+    common = np.rint(common).astype(np.int64)
+    good = common * DEN >= (size[:, None] + size[None, :] - common) * NUM
+    good &= comp[:, None] != comp[None, :]
+    good &= (side[:, None] < side[None, :]) | (side.min() == side.max())
+    a, b = np.nonzero(good)
+    return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b])})
+
+
+def _dense_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in buckets of many documents.
+
+    Buckets of one main component are one cluster. Its documents outside that component are cut into
+    blocks of about BLOCK and meet each other's blocks and those of the main component: all pairs are
+    verified on whole sets, block against block, and only links become rows.
+    """
+    docs = rest.select("main", "doc", "c", (F.col("c") != F.col("main")).alias("minor")).distinct()
+    docs = scratch.write(docs, "dense")
+    sizes = docs.groupBy("main").agg(F.count_if("minor").alias("nm"), F.count_if(~F.col("minor")).alias("nj"))
+    sizes = sizes.select("main", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("nm", "nj")))
+    own = docs.join(sizes, "main").withColumn("k", F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("nm")).otherwise(F.col("nj"))).cast("int"))
+    low, high = F.col("nm") > 0, F.col("nj") > 0
+    # Task (i, j): minor block i against minor block j >= i, or against main block j (as -1 - j).
+    upto = F.when(F.col("k") > 0, F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"))))
+    onto = F.transform(F.sequence(F.col("k"), F.col("nm") - 1), lambda j: F.struct(F.col("k").alias("i"), j.cast("int").alias("j"), F.lit(0).alias("side")))
+    main = F.when(high, F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.col("k").alias("i"), (-1 - j).cast("int").alias("j"), F.lit(0).alias("side"))))
+    none = F.slice(onto, 1, 0)
+    of_minor = F.concat(F.coalesce(upto, none), onto, F.coalesce(main, none))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.cast("int").alias("i"), (-1 - F.col("k")).cast("int").alias("j"), F.lit(1).alias("side")))
+    tasks = own.where(low).withColumn("t", F.explode(F.when(F.col("minor"), of_minor).otherwise(of_main)))
+    used = scratch.write(docs.select(F.col("doc").alias("d")).distinct(), "dense_used")
+    sets = join_small(sets.select("doc", "hashes"), used, sets["doc"] == F.col("d"), "left_semi", used.count())
+    return (
+        tasks.select("main", "t.i", "t.j", "t.side", "doc", "c")
+        .join(sets, "doc")
+        .groupBy("main", "i", "j")
+        .applyInArrow(_block_links, "a long, b long")
+    )
+
+
 def _may_link(n1: str, p1: str, n2: str, p2: str):
     """Size filter, and the overlap that positions p1 and p2 of a common token still allow."""
     n1, p1, n2, p2 = (F.col(c) for c in (n1, p1, n2, p2))
@@ -243,7 +316,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = small.groupBy("sig1", "sig2", "n").agg(F.min("low").alias("rep"))
     small = small.join(reps, ["sig1", "sig2", "n"]).select("sig1", "sig2", "n", "block", "rep")
     member = scratch.write(keys.join(small, ["sig1", "sig2", "n", "block"]).select("doc", "rep"), "member")
-    sets = sets.join(member.where("doc != rep").select("doc"), "doc", "left_anti").select("doc", "n", "hashes")
+    copy = scratch.write(member.where("doc != rep").select(F.col("doc").alias("copy")), "copies")
+    sets = join_small(sets, copy, sets["doc"] == F.col("copy"), "left_anti", copy.count()).select("doc", "n", "hashes")
 
     prefixes = scratch.write(_prefixes(sets), "prefixes")
     # Documents of one size and one prefix are a group, named by its smallest member.
@@ -263,23 +337,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("p").alias("a"), F.col("doc").alias("b")
     )
     own = grouped.where("doc != gid").select(F.col("gid").alias("a"), F.col("doc").alias("b"))
-    first = scratch.write(_links(stars.union(own).distinct(), sets), "links")
+    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links")
     label = scratch.write(components(first), "labels")
 
     # What is left: pairs of different components that share a prefix token.
     rows = prefixes.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     rows = scratch.write(rows.select("doc", "n", "pos", "h", "c"), "rows")
-    mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", F.struct("pos", "doc")).alias("main"))
-    mixed = mixed.where("low != high").select("h", "main")
-    rest = scratch.write(rows.join(mixed, "h"), "mixed")
-    minor = rest.where("c != main").select("h", *(F.col(c).alias(f"{c}_m") for c in ("doc", "n", "pos", "c")))
-    pairs = minor.join(rest, "h").where(
+    mixed = rows.groupBy("h").agg(
+        F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", F.struct("pos", "doc")).alias("main")
+    )
+    rest = scratch.write(rows.join(mixed.where("low != high").select("h", "df", "main"), "h"), "mixed")
+    few = rest.where(F.col("df") <= FEW)
+    minor = few.where("c != main").select("h", *(F.col(c).alias(f"{c}_m") for c in ("doc", "n", "pos", "c")))
+    pairs = minor.join(few, "h").where(
         (F.col("c") != F.col("c_m"))
         & ((F.col("c") == F.col("main")) | (F.col("doc") < F.col("doc_m")))
         & _may_link("n", "pos", "n_m", "pos_m")
     )
-    second = _links(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets)
-    joined = scratch.write(second.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "joined")
+    second = _links(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets, "few")
+    third = _dense_links(rest.where(F.col("df") > FEW), sets)
+    known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    joined = scratch.write(second.union(third).union(known), "joined")
     label = components(joined)
     chosen = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc"), F.coalesce("component", "rep").alias("component")
