@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.chunk_dedup import repeated_passages
 from quire.llm.exact_dedup import content_sort
+from quire.llm.fingerprint import imatch
 from quire.llm.jaccard_join import jaccard_components
 from quire.llm.packing import pack
 from quire.llm.pfair_mix import pfair_mix
@@ -31,6 +33,14 @@ def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch(_table(spark, sf_dir, "documents"))
+
+
+def op5_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix(docs)
@@ -46,6 +56,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
+    "op3_imatch": op3_imatch,
+    "op5_gear_chunks": op5_gear_chunks,
     "op6_content_sort": op6_content_sort,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_jaccard_join": op9_jaccard_join,
