@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.chunk_dedup import repeated_passages
 from quire.llm.exact_dedup import content_sort
 from quire.llm.fingerprint import imatch
+from quire.llm.html_text import main_text
 from quire.llm.jaccard_join import jaccard_components
 from quire.llm.packing import pack
 from quire.llm.pfair_mix import pfair_mix
 from quire.llm.toxicity import score
+from quire.llm.url_filter import judge
+from quire.llm.warc_bundles import read_bundles, write_bundles
+from quire.plans import scratch
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +33,17 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"))
 
 
+def op1_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "warc")
+    if write_bundles(_table(spark, sf_dir, "pages"), folder).isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return read_bundles(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +56,10 @@ def op5_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix(docs)
@@ -55,16 +74,31 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_host_words": op1_host_words,
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
     "op3_imatch": op3_imatch,
+    "op4_warc_bundles": op4_warc_bundles,
     "op5_gear_chunks": op5_gear_chunks,
     "op6_content_sort": op6_content_sort,
+    "op7_host_paths": op7_host_paths,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_drr_packing": op10_drr_packing,
 }
 
 ORACLE_SQL = {
+    "op4_warc_bundles": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+            FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM f
+    """,
     "op6_content_sort": """
         WITH n AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s
