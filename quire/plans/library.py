@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -475,7 +476,7 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    score = F.pandas_udf(lambda q, t: (q + "\0" + t).map(lambda x: fuzzy.score(*x.split("\0", 1))).astype("Int64"), "long")
+    score = F.pandas_udf(lambda q, t: pd.Series([fuzzy.score(a, b) for a, b in zip(q, t, strict=True)], dtype="Int64"), "long")
     each = names.withColumn("query", F.explode(F.array(F.lit("gre"), F.lit("ls"), F.lit("par"))))
     scored = each.withColumn("score", score("query", "p_name")).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "p_partkey"))
