@@ -35,11 +35,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the table read back."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return the table read back.
+
+    ``arrow_rows``: rows in a batch sent to Python during this write, for plans that send whole texts or
+    sets; the session's own setting is put back.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    own = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, str(arrow_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, own)
     return spark.read.schema(df.schema).parquet(path)
 
 
