@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # What a reference to another host looks like in lower-cased source.
 REMOTE = [
-    'src="http', "src='http", "src=http", 'src="//', "src='//", "url(http", "url('http", 'url("http', "url(//", "@import", 'rel="stylesheet" href="http', "srcset=\"http",
-]
+    'src="http', "src='http", "src=http", 'src="//', "src='//", "url(http", 'url("http', "url('http", "url(//", '@import "http', "@import 'http", 'rel="stylesheet" href="http',
+]
 
 
 def refers_to_remote(source: Column) -> Column:

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import csvtext, fuzzy, htmltext, text
+from quire.functions import csvtext, fuzzy, geometry, htmltext, text
 from quire.functions.patterns import found_in
 from quire.functions.ranges import format_ranges
-from quire.operators import arrange, compare, graph, report, tables
+from quire.operators import arrange, compare, fields, graph, layout, report, tables
 from quire.plans.registry import query
 from quire.sources import bridge
 from quire.sources.bridge import table
@@ -437,7 +437,7 @@ def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("html_remote_refs", """
-    SELECT page_id, regexp_matches(lower(html), 'src=["'']?http|src=["'']//|url\\(["'']?http|url\\(//|@import|rel="stylesheet" href="http|srcset="http') AS remote FROM pages""")
+    SELECT page_id, regexp_matches(lower(html), 'src=["'']?http|src=["'']//|url\\(["'']?http|url\\(//|@import ["'']http|rel="stylesheet" href="http') AS remote FROM pages""")
 def html_remote_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", htmltext.refers_to_remote(F.col("html")).alias("remote"))
 
@@ -529,3 +529,162 @@ def ocr_tsv_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, rtrim(rtrim(printf('%.4f', p_retailprice), '0'), '.') AS number, p_size || CASE WHEN p_size = 1 THEN ' page' ELSE ' pages' END AS pages FROM part""")
 def format_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.number_text(F.col("p_retailprice")).alias("number"), text.plural(F.col("p_size"), "page", "pages").alias("pages"))
+
+
+@query("paper_sizes", """
+    SELECT p_partkey, (p_size + 100) * (72 / 25.4::DOUBLE) AS w, (p_size + 150) * (72 / 25.4::DOUBLE) AS h FROM part""")
+def paper_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = geometry.paper(F.concat((F.col("p_size") + 100).cast("string"), F.lit(" x "), (F.col("p_size") + 150).cast("string"), F.lit("mm")))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.w", "s.h")
+
+
+S_GRID = """
+    a AS (SELECT p_brand AS page, p_partkey AS id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0,
+                 (p_partkey * 37 % 500 + 10 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 700 + 12)::DOUBLE AS y1 FROM part)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("p_partkey") * 37 % 500, F.col("p_partkey") * 53 % 700
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("page"), F.col("p_partkey").alias("id"), "p_size", geometry.rect(x, y, x + 10 + F.col("p_size"), y + 12).alias("r")
+    )
+
+
+@query("spatial_overlaps", f"""
+    WITH {S_GRID} SELECT a.page, a.id AS a_id, b.id AS b_id FROM a JOIN a b ON a.page = b.page AND a.id % 2 = 0 AND b.id % 2 = 1
+        AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
+def spatial_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of two kinds that overlap on a page."""
+    r = _grid(spark, sf_dir).select("page", "id", "r")
+    return fields.overlaps(r.where("id % 2 = 0"), r.where("id % 2 = 1"))
+
+
+@query("padded_marks", f"""
+    WITH {S_GRID}, p AS (SELECT id, greatest(x0 - 5, 0) AS x0, greatest(y0 - 5, 0) AS y0, least(x1 + 5, 400) AS x1, least(y1 + 5, 600) AS y1 FROM a)
+    SELECT id, x0, y0, x1, y1 FROM p WHERE x1 - x0 > 0.01 AND y1 - y0 > 0.01""")
+def padded_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks grown and cut to the page; what falls off the page is dropped."""
+    r = geometry.clamp(geometry.grow(F.col("r"), 5.0), 400.0, 600.0)
+    return _grid(spark, sf_dir).select("id", r.alias("r")).where("r is not null").select("id", "r.*")
+
+
+@query("field_fill", """
+    WITH f AS (SELECT c_custkey AS doc_id, 'phone' AS name, 'text' AS kind, c_name AS value FROM customer
+               UNION ALL SELECT c_custkey, 'agree', 'checkbox', 'Off' FROM customer),
+    v AS (SELECT c_custkey AS doc_id, 'phone' AS name, 'n' || c_nationkey AS value FROM customer WHERE c_custkey % 3 = 0
+          UNION ALL SELECT c_custkey, 'agree', CASE WHEN c_custkey % 2 = 0 THEN ' Yes ' ELSE 'no' END FROM customer
+          UNION ALL SELECT c_custkey, 'missing', 'x' FROM customer WHERE c_custkey % 100 = 0)
+    SELECT doc_id, name, coalesce(kind, '-') AS kind,
+           CASE WHEN v.value IS NULL THEN f.value WHEN kind = 'checkbox' THEN CASE WHEN trim(lower(v.value)) = 'yes' THEN 'On' ELSE 'Off' END ELSE v.value END AS value,
+           CASE WHEN kind IS NULL THEN 'unknown' WHEN v.value IS NULL THEN 'kept' ELSE 'filled' END AS outcome
+    FROM f FULL JOIN v USING (doc_id, name)""")
+def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("doc_id", F.col("c_custkey"))
+    own = c.select("doc_id", F.lit("phone").alias("name"), F.lit("text").alias("kind"), F.col("c_name").alias("value")).union(
+        c.select("doc_id", F.lit("agree"), F.lit("checkbox"), F.lit("Off"))
+    )
+    given = (
+        c.where("doc_id % 3 = 0").select("doc_id", F.lit("phone").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("value"))
+        .union(c.select("doc_id", F.lit("agree"), F.when(F.col("doc_id") % 2 == 0, " Yes ").otherwise("no")))
+        .union(c.where("doc_id % 100 = 0").select("doc_id", F.lit("missing"), F.lit("x")))
+    )
+    return fields.fill(own, given).fillna("-", ["kind"])
+
+
+@query("choice_options", """
+    WITH o AS (SELECT n_regionkey AS field, n_nationkey AS idx, 'N' || n_nationkey AS export, n_name AS display FROM nation),
+    v AS (SELECT c_custkey, n_regionkey AS field, CASE WHEN c_custkey % 2 = 0 THEN 'N' || n_nationkey ELSE n_name END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, v.field, value, (SELECT arg_min(export, idx) FROM o WHERE o.field = v.field AND (o.export = v.value OR o.display = v.value)) AS export FROM v""")
+def choice_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    options = n.select(F.col("n_regionkey").alias("field"), F.col("n_nationkey").alias("idx"), F.concat(F.lit("N"), "n_nationkey").alias("export"), F.col("n_name").alias("display"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    value = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("N"), "n_nationkey")).otherwise(F.col("n_name"))
+    return fields.choose(c.select("c_custkey", F.col("n_regionkey").alias("field"), value.alias("value")), options)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, parent, ord, label, value): regions, their nations and their customers."""
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("label"), F.concat(F.lit("v"), "r_regionkey").alias("value"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey").cast("long"), "n_name", F.when(F.col("n_nationkey") % 4 == 0, "own"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_custkey", "c_name", F.lit(None).cast("string"))
+    return r.union(n).union(c)
+
+
+@query("tree_walk", """
+    SELECT 'r' || r_regionkey AS node, 0 AS depth, r_name AS path, 'v' || r_regionkey AS value FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '.' || n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE 'v' || r_regionkey END FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'c' || c_custkey, 2, r_name || '.' || n_name || '.' || c_name, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE 'v' || r_regionkey END
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names and inherited values, level by level."""
+    return fields.walk(_tree(spark, sf_dir))
+
+
+@query("bookmarks_kept", """
+    WITH a AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0)
+    SELECT DISTINCT node FROM (SELECT 'c' || c_custkey AS node FROM a UNION SELECT 'n' || n_nationkey FROM a UNION SELECT 'r' || n_regionkey FROM a)""")
+def bookmarks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alive = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return fields.keep_with_descendants(_tree(spark, sf_dir), alive)
+
+
+@query("outline_links", """
+    WITH t AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_regionkey::BIGINT AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation),
+    k AS (SELECT parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY parent)
+    SELECT t.node, coalesce(lag(t.node) OVER w, '') AS prev, coalesce(lead(t.node) OVER w, '') AS next, coalesce(n, 0) AS n_children
+    FROM t LEFT JOIN k ON k.parent = t.node WINDOW w AS (PARTITION BY t.parent ORDER BY ord)""")
+def outline_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.siblings(_tree(spark, sf_dir).where("node not like 'c%'")).fillna("", ["prev", "next"])
+
+
+@query("rename_clashes", """
+    WITH k AS (SELECT c_custkey AS file_ord, c_mktsegment AS name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)
+    SELECT file_ord, name, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS new_name FROM k""")
+def rename_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.rename_clashes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_ord"), F.col("c_mktsegment").alias("name")))
+
+
+@query("glyph_words", """
+    WITH w AS (SELECT item_id::VARCHAR AS page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM benchmark)
+    SELECT page, unnest(range(1, len(ws) + 1)) AS word_no, unnest(ws) AS text FROM w""")
+def glyph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words grouped from glyphs at fixed steps equal the words that were set."""
+    chars = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.regexp_replace("text", r"\s", " "), "")).alias("ord", "ch")).where("ch != ''")
+    glyphs = chars.select(
+        F.col("item_id").cast("string").alias("page"), "ord", "ch", (F.col("ord") * 5.0).alias("x0"), (F.col("ord") * 5.0 + 5).alias("x1"), F.lit(20.0).alias("y"), F.lit(10.0).alias("size"), F.lit(0.0).alias("angle")
+    )
+    return layout.group_glyphs(glyphs).select("page", "word_no", "text")
+
+
+S_PARA = """
+    l AS (SELECT p_brand AS page, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line_no, p_name AS text,
+                 (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) * 14.0 - CASE WHEN p_size % 4 = 0 THEN 12 ELSE 0 END AS y, 8.0 + p_size % 7 AS size FROM part)"""
+
+
+@query("paragraphs", f"""
+    WITH {S_PARA}, m AS (SELECT page, list_sort(list(size))[count(*) // 2 + 1] AS median FROM l GROUP BY page)
+    SELECT page, line_no, text, coalesce(abs(y - lag(y) OVER (PARTITION BY page ORDER BY line_no)) < 0.4 * size, false) AS joins, size > 1.25 * median AS heading FROM l JOIN m USING (page)""")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    no = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("page"), no.alias("line_no"), F.col("p_name").alias("text"), "p_size")
+    return layout.paragraphs(
+        rows.select("page", "line_no", "text", (F.col("line_no") * 14.0 - F.when(F.col("p_size") % 4 == 0, 12).otherwise(0)).alias("y"), (F.col("p_size") % 7 + 8.0).alias("size"))
+    )
+
+
+@query("stream_window_counts", """
+    SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the events as a stream, hourly counts after all input has been read."""
+    from quire.plans import scratch
+    from quire.streaming import search
+
+    events = table(spark, sf_dir, "events")
+    out = scratch.new_path(spark, "stream")
+    counts = search.counts_by_window(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*"))
+    batch = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch.new_path(spark, "offsets"))
+    batch.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
