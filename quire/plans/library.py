@@ -339,11 +339,11 @@ def dedup_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH RECURSIVE refs AS (
         SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders
         UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-    r AS (SELECT 'o' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 50 = 0
+    r AS (SELECT 'o' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderpriority = '1-URGENT'
           UNION SELECT dst, depth + 1 FROM r JOIN refs ON src = node)
     SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    roots = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return graph.reachable(bridge.refs(spark, sf_dir), roots)
 
 
@@ -540,7 +540,7 @@ def paper_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 S_GRID = """
     a AS (SELECT p_brand AS page, p_partkey AS id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0,
-                 (p_partkey * 37 % 500 + 10 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 700 + 12)::DOUBLE AS y1 FROM part)"""
+                 (p_partkey * 37 % 500 + 10 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 700 + 12)::DOUBLE AS y1, p_size FROM part)"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,12 +551,12 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("spatial_overlaps", f"""
-    WITH {S_GRID} SELECT a.page, a.id AS a_id, b.id AS b_id FROM a JOIN a b ON a.page = b.page AND a.id % 2 = 0 AND b.id % 2 = 1
+    WITH {S_GRID} SELECT a.page, a.id AS a_id, b.id AS b_id FROM a JOIN a b ON a.page = b.page AND a.p_size <= 25 AND b.p_size > 25
         AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
 def spatial_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of two kinds that overlap on a page."""
-    r = _grid(spark, sf_dir).select("page", "id", "r")
-    return fields.overlaps(r.where("id % 2 = 0"), r.where("id % 2 = 1"))
+    r = _grid(spark, sf_dir)
+    return fields.overlaps(r.where("p_size <= 25"), r.where("p_size > 25"))
 
 
 @query("padded_marks", f"""
@@ -571,9 +571,9 @@ def padded_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("field_fill", """
     WITH f AS (SELECT c_custkey AS doc_id, 'phone' AS name, 'text' AS kind, c_name AS value FROM customer
                UNION ALL SELECT c_custkey, 'agree', 'checkbox', 'Off' FROM customer),
-    v AS (SELECT c_custkey AS doc_id, 'phone' AS name, 'n' || c_nationkey AS value FROM customer WHERE c_custkey % 3 = 0
+    v AS (SELECT c_custkey AS doc_id, 'phone' AS name, 'n' || c_nationkey AS value FROM customer WHERE c_acctbal >= 0
           UNION ALL SELECT c_custkey, 'agree', CASE WHEN c_custkey % 2 = 0 THEN ' Yes ' ELSE 'no' END FROM customer
-          UNION ALL SELECT c_custkey, 'missing', 'x' FROM customer WHERE c_custkey % 100 = 0)
+          UNION ALL SELECT c_custkey, 'missing', 'x' FROM customer WHERE c_mktsegment = 'BUILDING')
     SELECT doc_id, name, coalesce(kind, '-') AS kind,
            CASE WHEN v.value IS NULL THEN f.value WHEN kind = 'checkbox' THEN CASE WHEN trim(lower(v.value)) = 'yes' THEN 'On' ELSE 'Off' END ELSE v.value END AS value,
            CASE WHEN kind IS NULL THEN 'unknown' WHEN v.value IS NULL THEN 'kept' ELSE 'filled' END AS outcome
@@ -584,9 +584,9 @@ def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.select("doc_id", F.lit("agree"), F.lit("checkbox"), F.lit("Off"))
     )
     given = (
-        c.where("doc_id % 3 = 0").select("doc_id", F.lit("phone").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("value"))
+        c.where("c_acctbal >= 0").select("doc_id", F.lit("phone").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("value"))
         .union(c.select("doc_id", F.lit("agree"), F.when(F.col("doc_id") % 2 == 0, " Yes ").otherwise("no")))
-        .union(c.where("doc_id % 100 = 0").select("doc_id", F.lit("missing"), F.lit("x")))
+        .union(c.where("c_mktsegment = 'BUILDING'").select("doc_id", F.lit("missing"), F.lit("x")))
     )
     return fields.fill(own, given).fillna("-", ["kind"])
 
