@@ -84,11 +84,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_passages(docs: DataFrame, least_bytes: int = REPORT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_bytes: int = REPORT_BYTES, across: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: doc_id, start_byte, end_byte, n_chunks, first_doc_id, is_first.
 
     Offsets are UTF-8 bytes. A passage is a longest run of neighbouring chunks that all occur elsewhere
-    too and whose first copies lie in one document; runs shorter than ``least_bytes`` are left out.
+    too and whose first copies lie in one document; runs shorter than ``least_bytes`` are left out. With
+    ``across``, elsewhere is another document; without it, another place of the same one counts too.
     ``first_doc_id`` is the document whose copy stays; rows with is_first are that copy itself. Null and
     empty texts and rows with a null id have no chunks. Rows that repeat one id and text are copies of each
     other at one place and so are one; an empty input gives an empty result.
@@ -102,7 +103,7 @@ def repeated_passages(docs: DataFrame, least_bytes: int = REPORT_BYTES, id_col:
         F.min(F.struct("doc", "low")).alias("first"), F.max(F.struct("doc", "low")).alias("last")
     )
     twice = scratch.write(
-        places.where("first != last").select("digest", F.col("first.doc").alias("first_doc"), F.col("first.low").alias("first_low")), "twice"
+        places.where("first.doc != last.doc" if across else "first != last").select("digest", F.col("first.doc").alias("first_doc"), F.col("first.low").alias("first_low")), "twice"
     )
     found = rows.join(twice, "digest").select("doc", "low", "high", "first_doc", "first_low").distinct()
     # Islands: a chunk goes on with the run if it begins where the last one ended and keeps its first document.
