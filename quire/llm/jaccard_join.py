@@ -41,6 +41,7 @@ NO_ID = -(1 << 62)
 FLUSH_TOKENS = 400_000
 FEW = 8
 BLOCK = 128
+ARROW_ROWS = 500
 
 
 def alpha(n):
@@ -293,6 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("doc")
         .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.sum("rows").alias("rows")),
         "counted",
+        ARROW_ROWS,
     )
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
     open_ = counted.where((F.col("doc") >= NO_ID) & (F.col("n") > 0) & (F.col("shared") >= 1 + F.floor(least / 20)))
@@ -302,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _build_sets, "doc long, n int, sig1 long, sig2 long, hashes binary"
     )
     twice = open_.where("rows > 1").select("doc_")
-    sets = scratch.write(sets, "sets")
+    sets = scratch.write(sets, "sets", ARROW_ROWS)
     if n_twice := twice.count():
         again = join_small(sets, twice, sets["doc"] == F.col("doc_"), "left_semi", n_twice)
         once = join_small(sets, twice, sets["doc"] == F.col("doc_"), "left_anti", n_twice)
@@ -319,7 +321,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copy = scratch.write(member.where("doc != rep").select(F.col("doc").alias("copy")), "copies")
     sets = join_small(sets, copy, sets["doc"] == F.col("copy"), "left_anti", copy.count()).select("doc", "n", "hashes")
 
-    prefixes = scratch.write(_prefixes(sets), "prefixes")
+    prefixes = scratch.write(_prefixes(sets), "prefixes", ARROW_ROWS)
     # Documents of one size and one prefix are a group, named by its smallest member.
     by_group = (
         prefixes.groupBy("doc", "n")
@@ -337,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("p").alias("a"), F.col("doc").alias("b")
     )
     own = grouped.where("doc != gid").select(F.col("gid").alias("a"), F.col("doc").alias("b"))
-    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links")
+    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links", ARROW_ROWS)
     label = scratch.write(components(first), "labels")
 
     # What is left: pairs of different components that share a prefix token.
@@ -357,7 +359,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     second = _links(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets, "few")
     third = _dense_links(rest.where(F.col("df") > FEW), sets)
     known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    joined = scratch.write(second.union(third).union(known), "joined")
+    joined = scratch.write(second.union(third).union(known), "joined", ARROW_ROWS)
     label = components(joined)
     chosen = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc"), F.coalesce("component", "rep").alias("component")
