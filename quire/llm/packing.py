@@ -43,7 +43,7 @@ class WordTokens:
     The vocabulary never joins characters across white space, so a text's ids are those of its words.
     """
 
-    MOST = 1_500_000
+    MOST = 800_000
     _made: dict[str, WordTokens] = {}
 
     def __init__(self, path: str):
@@ -52,8 +52,9 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self._clear()
+        model = Tokenizer.from_file(path)
+        self.encode_batch = getattr(model, "encode_batch_fast", model.encode_batch)
+        self.clear()
 
     @classmethod
     def get(cls, path: str) -> WordTokens:
@@ -62,7 +63,7 @@ class WordTokens:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.number = {"": 0}
         self.size = np.zeros(1 << 16, np.int64)
         self.begin = np.zeros(1 << 16, np.int64)
@@ -72,7 +73,7 @@ class WordTokens:
     def _add(self, words: list[str]) -> None:
         for a in range(0, len(words), 20_000):
             some = words[a : a + 20_000]
-            for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.encode_batch(some, add_special_tokens=False), strict=True):
                 ids, k = e.ids, len(self.number)
                 while k >= len(self.size):
                     self.size, self.begin = (np.append(x, np.zeros_like(x)) for x in (self.size, self.begin))
@@ -92,7 +93,7 @@ class WordTokens:
             ends.append(len(words))
         number = self.number
         if len(number) > self.MOST:
-            self._clear()
+            self.clear()
             number = self.number
         if new := [w for w in dict.fromkeys(words) if w not in number]:
             self._add(new)
@@ -250,6 +251,7 @@ def pack(
     made = scratch.write(
         rows.mapInArrow(_tokenize(tokenizer, MAX_QUEUES), "doc_id long, queue string, part int, off long, n long, ids binary"),
         "tokens",
+        1000,
     )
     parts = scratch.write(made.groupBy("part", "queue").agg(F.sum("n").alias("n")), "parts")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.words import Words, mix, slices
 from quire.plans import scratch
+from quire.plans.joins import join_small
 
 BITS = 20
 MOST_POSITIVE = 2000
@@ -35,6 +36,7 @@ MEMBERS = 3
 FEATURES = 2000
 LEAST_SEEN = 5
 LEAST_LIFT = 4
+COVER = 4
 THRESHOLD = 0.7
 
 
@@ -84,12 +86,42 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["member", "positive", "features"])
 
 
+def cover(positive: list[np.ndarray], features: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    """Features chosen one by one for the positives that COVER chosen ones do not mark yet.
+
+    Copies of a positive share all its words; once its telling ones are chosen, the rest add nothing.
+    """
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[features] = np.arange(len(features))
+    sets = [x[x >= 0] for x in (slot[y] for y in positive)]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    col = np.concatenate([np.zeros(0, np.int32), *sets])
+    order = np.argsort(col, kind="stable")
+    rows_of = np.split(row[order], np.searchsorted(col[order], np.arange(1, len(features)))) if len(features) else []
+    marked, left, chosen = np.zeros(len(sets), int), np.bincount(col, minlength=len(features)), []
+    while len(chosen) < FEATURES and len(features):
+        gain = np.where(left >= LEAST_SEEN, left * lift[features], 0)
+        j = int(np.argmax(gain))
+        if gain[j] <= 0:
+            break
+        chosen.append(features[j])
+        marked[rows_of[j]] += 1
+        done = rows_of[j][marked[rows_of[j]] == COVER]
+        left[j] = 0
+        for r in done:
+            np.subtract.at(left, sets[r], 1)
+    return np.sort(np.array(chosen, np.int64))
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of one non-negative PU classifier with logistic loss."""
     size = 1 << BITS
 
     def count(sets):
-        return np.bincount(np.concatenate([np.zeros(0, np.int32), *sets]), minlength=size)
+        total = np.zeros(size, np.int32)
+        for x in sets:  # a set has each feature once
+            total[x] += 1
+        return total
 
     n_p, n_u = len(positive), len(unlabelled)
     p, u = count(positive) / max(1, n_p), count(unlabelled) / max(1, n_u)
@@ -97,13 +129,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     noise = 2 * np.sqrt(n / max(1, n_u)) + 3 / max(1, n_u)
     least = p - 2 * np.sqrt(p / max(1, n_p))
     clear = (p * n_p >= LEAST_SEEN) & (least >= LEAST_LIFT * (n + noise))
-    gain = np.where(clear, p * np.log((p + 1e-9) / (n + noise)), 0)
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = np.sort(best[gain[best] > 0])
+    best = cover(positive, np.flatnonzero(clear), np.log((p + 1e-9) / (n + noise)))
     slot = np.full(size, -1, np.int32)
     slot[best] = np.arange(len(best))
-    sets = [slot[x] for x in (*positive, *unlabelled)]
-    sets = [x[x >= 0] for x in sets]
+    sets = [x[x >= 0] for x in (slot[y] for y in (*positive, *unlabelled))]
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     col = np.concatenate([np.zeros(0, np.int32), *sets])
     w, bias = np.zeros(len(best)), np.log(prior / (1 - prior)) / 2
@@ -128,7 +157,8 @@ def _train_group(prior: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.int32) for x in rows["features"]]
         yes = rows["positive"].to_numpy()
-        order = np.argsort([x.tobytes() for x in sets], kind="stable")  # the same whatever the rows' order
+        # The same order whatever order the rows come in, up to equal sets.
+        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i].sum(dtype=np.int64)), int((sets[i].astype(np.int64) % 8191 * 31 % 127).sum())))
         feature, weight, bias = train([sets[i] for i in order if yes[i]], [sets[i] for i in order if not yes[i]], prior)
         return pd.DataFrame({"feature": np.append(feature, -1).astype(np.int32), "weight": np.append(weight, bias)})
 
@@ -221,5 +251,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    out = score(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("all")), labels, "i", "t", ["all"])
-    return out.where("predicted = 0").select("all.*")
+    keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    flagged = score(keyed, labels, "i", "t", ["h"]).where("predicted = 1").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
+    flagged = scratch.write(flagged.distinct(), "toxic", 1000)
+    same = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
+    return join_small(docs, flagged, same, "left_anti", flagged.count())
