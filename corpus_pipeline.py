@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.jaccard_join import one_of_each
 from quire.llm.packing import pack
-from quire.llm.pfair_mix import in_mixed_order
+from quire.llm.pfair_mix import in_mixed_order, target_weights
 from quire.llm.queries import tokenizer_path
 from quire.llm.toxicity import drop_toxic
 from quire.plans import scratch
 
+#: The mixture (``weights`` and ``temperature`` of pfair_mix) that mixing and packing hold sources to.
+MIXTURE: dict = {}
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic by a classifier learnt from this input and ``labels``."""
@@ -35,12 +38,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring all documents into the Pfair order of their sources' target weights."""
-    return in_mixed_order(docs)
+    return in_mixed_order(docs, **MIXTURE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of 4096 tokens, one row per piece."""
-    return pack(docs, str(tokenizer_path()))
+    """Pack all documents into sequences of 4096 tokens by mixing's target weights, one row per piece."""
+    return pack(docs, str(tokenizer_path()), target_weights(docs, **MIXTURE))
 
 
 STAGES = [

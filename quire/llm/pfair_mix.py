@@ -59,6 +59,24 @@ def cycle(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def targets(totals: dict[str, int], weights: dict[str, float] | None = None, temperature: float = 0.5) -> dict[str, float]:
+    """Target weights of counted sources; ``pfair_mix`` says which source gets which."""
+    target = {s: float(n) ** temperature for s, n in totals.items()}
+    if weights:
+        named = {s: float(w) for s, w in weights.items() if s in totals and w > 0}
+        others = [s for s in totals if s not in named]
+        left = max(1.0 - sum(named.values()), 0) or min(named.values(), default=1.0)
+        whole = sum(target[s] for s in others)
+        target = named | {s: left * target[s] / whole for s in others}
+    return target
+
+
+def target_weights(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, source_col: str = "source") -> dict[str, float]:
+    """The target weights that ``pfair_mix`` holds the sources of ``docs`` to."""
+    lane = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("lane")
+    return targets({r["lane"]: r["n"] for r in docs.groupBy(lane).agg(F.count("*").alias("n")).collect()}, weights, temperature)
+
+
 def pfair_mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -91,13 +109,7 @@ def pfair_mix(
     rows = rows.withColumn("blk", block_of("id", splitters(rows, "id")))
     counts = rows.groupBy("lane", "blk").agg(F.count("*").alias("n"))
     totals = {r["lane"]: r["n"] for r in counts.groupBy("lane").agg(F.sum("n").alias("n")).collect()}
-    target = {s: float(n) ** temperature for s, n in totals.items()}
-    if weights:
-        named = {s: float(w) for s, w in weights.items() if s in totals and w > 0}
-        others = [s for s in totals if s not in named]
-        left = max(1.0 - sum(named.values()), 0) or min(named.values(), default=1.0)
-        whole = sum(target[s] for s in others)
-        target = named | {s: left * target[s] / whole for s in others}
+    target = targets(totals, weights, temperature)
     share = shares(target, max(slots, 4 * len(target))) if target else {}
     plan = spark.createDataFrame(
         [(s, share[s], j, r, d, at) for s, j, r, d, at in cycle(share)],
