@@ -86,18 +86,24 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the largest id.
 
-    Rows with a null id stay only if their whole group has none (then all of them stay).
+    Rows with a null id stay only if their whole group has none (then all of them stay). Rows that repeat
+    an id with another text are other rows, judged by their own text.
     """
     drop = scratch.write(
-        content_sort(docs, id_col, text_col).where("not kept and keep_id is not null").select("doc_id", "keep_id"),
+        content_sort(docs, id_col, text_col)
+        .where("not kept and keep_id is not null")
+        .select(F.col("doc_id").alias("_id"), "keep_id", F.unhex("text_sha256").alias("_gone")),
         "dropped",
     )
-    gone = drop.where("doc_id is null or doc_id != keep_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    twice = drop.where("doc_id = keep_id").select("doc_id").distinct()
+    # A row is named by its id and its text's digest: an id may be null or stand for several texts.
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone"))
+    gone = drop.where("_id is null or _id != keep_id").select("_id", "_gone").distinct()
+    out = rows.join(gone, same, "left_anti")
+    twice = drop.where("_id = keep_id").select("_id", "_gone").distinct()
     if twice.isEmpty():
-        return out
+        return out.drop("_sha")
     # One id given more than once with the kept text: one of those rows stays.
-    again = out.join(twice.select(F.col("doc_id").alias("_twice")), F.col(id_col) == F.col("_twice"), "left_semi")
-    once = out.join(twice.select(F.col("doc_id").alias("_twice")), F.col(id_col) == F.col("_twice"), "left_anti")
-    return once.unionByName(again.dropDuplicates([id_col, text_col]))
+    again = out.join(twice, same, "left_semi")
+    once = out.join(twice, same, "left_anti")
+    return once.unionByName(again.dropDuplicates([id_col, "_sha"])).drop("_sha")

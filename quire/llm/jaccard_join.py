@@ -374,9 +374,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id; null ids stay."""
+    """The rows that stay: of each component those with the smallest id; rows with a null id stay.
+
+    Where an id stands for several texts, each (id, text) is joined by its own set, and of texts of one
+    id in one component one stays.
+    """
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return _one_of_each_text(docs, id_col, text_col)
     gone = scratch.write(
         jaccard_components(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")),
         "gone",
     )
     return join_small(docs, gone, F.col(id_col) == F.col("_gone"), "left_anti", gone.count())
+
+
+def _one_of_each_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``one_of_each`` for ids that repeat: every (id, text) gets a number that stands for it in the join."""
+    i, t, h = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(i.alias("i"), h.alias("h"), t.alias("t"))
+    numbers = scratch.write(texts.select("i", "h").distinct().withColumn("k", F.monotonically_increasing_id()), "numbers")
+    keyed = scratch.write(texts.join(numbers, ["i", "h"]).select("k", "t"), "keyed", ARROW_ROWS)
+    found = jaccard_components(keyed, "k", "t").select(F.col("doc_id").alias("k"), "component_id").join(numbers, "k")
+    found = scratch.write(found.select("i", "h", "k", "component_id"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("i", "k"))["k"].alias("first"))
+    gone = scratch.write(found.join(first, "component_id").where("k != first").select(F.col("i").alias("_i"), F.col("h").alias("_h")), "gone")
+    return join_small(docs, gone, (i == F.col("_i")) & (h == F.col("_h")), "left_anti", gone.count())
