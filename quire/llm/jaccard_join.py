@@ -18,6 +18,9 @@ common order of shingles two partners meet in their prefixes.
    inside a component change nothing. In buckets of at most FEW documents they become rows; in others
    blocks of documents are verified against blocks inside a task, and only links become rows. All
    pairs across components that share a prefix token are verified.
+5. *Link counts.* A link joins representatives of one component, so all pairs of representatives
+   inside each component are verified, block against block. Only counts become rows, weighted by the
+   number of documents of the partner's class.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ NO_ID = -(1 << 62)
 FLUSH_TOKENS = 400_000
 FEW = 8
 BLOCK = 128
+LINK_BLOCK = 256
 ARROW_ROWS = 500
 
 
@@ -186,9 +190,8 @@ def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links between the two sides of one pair of blocks, or inside one block, by matrix products."""
-    side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc", "c"))
+def _alike(table: pa.Table) -> np.ndarray:
+    """Which sets of a task link with which, by matrix products."""
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
     size = np.array([len(s) for s in sets])
     token, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -206,12 +209,31 @@ def _block_links(table: pa.Table) -> pa.Table:
         common += part @ part.T
     common = np.rint(common).astype(np.int64)
     good = common * DEN >= (size[:, None] + size[None, :] - common) * NUM
+    return good
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the two sides of one pair of blocks, or inside one block."""
+    side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc", "c"))
+    good = _alike(table)
     good &= comp[:, None] != comp[None, :]
     good &= (side[:, None] < side[None, :]) | (side.min() == side.max())
     a, b = np.nonzero(good)
     return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b])})
 
 
+def _block_counts(table: pa.Table) -> pa.Table:
+    """Documents that each set of one pair of blocks, or of one block, links with there."""
+    side, doc, size = (table.column(c).to_numpy() for c in ("side", "doc", "size"))
+    good = _alike(table)
+    if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+        np.fill_diagonal(good, False)
+    else:
+        good &= side[:, None] != side[None, :]
+    links = good.astype(np.int64) @ size.astype(np.int64)
+    return pa.table({"doc": pa.array(doc[links > 0]), "links": pa.array(links[links > 0])})
+
+
 def _dense_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components in buckets of many documents.
 
@@ -219,10 +241,15 @@ def _dense_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     blocks of about BLOCK and meet each other's blocks and those of the main component: all pairs are
     verified on whole sets, block against block, and only links become rows.
     """
+    return _block_pairs(rest, sets.select("doc", "hashes"), BLOCK).applyInArrow(_block_links, "a long, b long")
+
+
+def _block_pairs(rest: DataFrame, sets: DataFrame, block: int):
+    """The sets of each pair of blocks of a cluster ``main``, but not of two blocks of its main component."""
     docs = rest.select("main", "doc", "c", (F.col("c") != F.col("main")).alias("minor")).distinct()
     docs = scratch.write(docs, "dense")
     sizes = docs.groupBy("main").agg(F.count_if("minor").alias("nm"), F.count_if(~F.col("minor")).alias("nj"))
-    sizes = sizes.select("main", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("nm", "nj")))
+    sizes = sizes.select("main", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("nm", "nj")))
     own = docs.join(sizes, "main").withColumn("k", F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("nm")).otherwise(F.col("nj"))).cast("int"))
     low, high = F.col("nm") > 0, F.col("nj") > 0
     # Task (i, j): minor block i against minor block j >= i, or against main block j (as -1 - j).
@@ -234,13 +261,8 @@ def _dense_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     of_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.cast("int").alias("i"), (-1 - F.col("k")).cast("int").alias("j"), F.lit(1).alias("side")))
     tasks = own.where(low).withColumn("t", F.explode(F.when(F.col("minor"), of_minor).otherwise(of_main)))
     used = scratch.write(docs.select(F.col("doc").alias("d")).distinct(), "dense_used")
-    sets = join_small(sets.select("doc", "hashes"), used, sets["doc"] == F.col("d"), "left_semi", used.count())
-    return (
-        tasks.select("main", "t.i", "t.j", "t.side", "doc", "c")
-        .join(sets, "doc")
-        .groupBy("main", "i", "j")
-        .applyInArrow(_block_links, "a long, b long")
-    )
+    sets = join_small(sets, used, sets["doc"] == F.col("d"), "left_semi", used.count())
+    return tasks.select("main", "t.i", "t.j", "t.side", "doc", "c").join(sets, "doc").groupBy("main", "i", "j")
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str):
@@ -285,6 +307,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     returned, with the largest size; it links by the set with the smallest signature. An empty
     input gives an empty result. Other columns are ignored.
     """
+    counted, member, _, label = _joined(docs, id_col, text_col)
+    chosen = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+        F.col("doc"), F.coalesce("component", "rep").alias("component")
+    )
+    # A component's smallest node is the smallest representative, which is its class's smallest id.
+    real = F.col("doc") >= NO_ID
+    return counted.join(chosen, "doc", "left").select(
+        F.when(real, F.col("doc")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(real, F.coalesce("component", "doc")).alias("component_id"),
+    )
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``jaccard_components`` with class_id and n_links.
+
+    ``class_id`` is the smallest id with the same shingle set, ``n_links`` the number of other documents
+    (ids) that a document is linked with, those of its own class included. Both are null without an id.
+    """
+    counted, member, sets, label = _joined(docs, id_col, text_col)
+    classes = scratch.write(member.groupBy("rep").agg(F.count("*").alias("size")), "classes")
+    # The smallest representative stands as its cluster's main component, each other one by itself.
+    inside = label.select(F.col("component").alias("main"), F.col("node").alias("doc"), F.col("node").alias("c"))
+    sized = sets.join(classes.withColumnRenamed("rep", "doc"), "doc").select("doc", "hashes", "size")
+    links = scratch.write(_block_pairs(inside, sized, LINK_BLOCK).applyInArrow(_block_counts, "doc long, links long"), "n_links", ARROW_ROWS)
+    links = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
+    by_class = scratch.write(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left"), "by_class")
+    own = join_small(member, by_class, ["rep"], "left", by_class.count())
+    real = F.col("doc") >= NO_ID
+    return counted.join(own, "doc", "left").select(
+        F.when(real, F.col("doc")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(real, F.coalesce("component", "rep", "doc")).alias("component_id"),
+        F.when(real, F.coalesce("rep", "doc")).alias("class_id"),
+        F.when(real, F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(counted, member, sets of representatives, label): the join down to the components of its links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     buckets = max(16, docs.rdd.getNumPartitions())
     counted = scratch.write(
@@ -361,16 +423,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     joined = scratch.write(second.union(third).union(known), "joined", ARROW_ROWS)
     label = components(joined)
-    chosen = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("doc"), F.coalesce("component", "rep").alias("component")
-    )
-    # A component's smallest node is the smallest representative, which is its class's smallest id.
-    real = F.col("doc") >= NO_ID
-    return counted.join(chosen, "doc", "left").select(
-        F.when(real, F.col("doc")).alias("doc_id"),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(real, F.coalesce("component", "doc")).alias("component_id"),
-    )
+    return counted, member, sets, label
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

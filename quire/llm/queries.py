@@ -8,7 +8,7 @@ from quire.llm.chunk_dedup import repeated_passages
 from quire.llm.exact_dedup import content_sort
 from quire.llm.fingerprint import imatch
 from quire.llm.html_text import main_text
-from quire.llm.jaccard_join import jaccard_components
+from quire.llm.jaccard_join import jaccard_links
 from quire.llm.packing import pack
 from quire.llm.pfair_mix import pfair_mix
 from quire.llm.toxicity import score
@@ -70,7 +70,7 @@ def op10_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_links(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
