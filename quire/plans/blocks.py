@@ -3,13 +3,20 @@
 Splitters are approximate percentiles of the key; a row's block is the number of splitters at or
 below its key, found by binary search. Work inside a block runs in parallel; what crosses blocks
 is one row per block.
+
+Percentiles give at most MOST_CUTS blocks; ``blocks_of`` cuts each of them again in equal steps of the key, so
+that the number of blocks grows with the rows while the plan holds the same few splitters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_CUTS = 1000
+
 
 def splitters(df: DataFrame, key: str, rows_per_block: int = 1000, max_blocks: int = 2000) -> list:
     """At most ``max_blocks - 1`` distinct splitters of a numeric key, from all rows."""
@@ -36,3 +43,40 @@ def block_of(key: str | Column, cuts: list) -> Column:
             (at + step <= len(cuts)) & (F.get(cut, at + step - 1) <= F.coalesce(key, F.lit(cuts[0] - 1))), at + step
         ).otherwise(at),
     )
+
+
+def blocks_of(df: DataFrame, key: str, rows_per_block: int = 1000) -> Callable[[str | Column], Column]:
+    """A function from a key to its block, in the keys' order, with about ``rows_per_block`` rows in each.
+
+    Keys between two splitters are cut in equal steps, so blocks are even where keys are spread evenly there
+    and hold more rows where they are not; the order is exact in any case. Null keys are in block 0.
+    """
+    cuts = splitters(df, key, rows_per_block, MOST_CUTS)
+    if not cuts:
+        return lambda key: F.lit(0).cast("long")
+    about = df.agg(F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    steps = max(1, round(about["n"] / (len(cuts) + 1) / rows_per_block))
+    edges = [about["low"], *cuts, about["high"] + 1]
+    starts = F.lit([float(e) for e in edges[:-1]])
+    widths = F.lit([float(max(1, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+    def block(key: str | Column) -> Column:
+        key = F.col(key) if isinstance(key, str) else key
+        at = block_of(key, cuts)
+        if steps == 1:
+            return at.cast("long")
+        # Numbers as doubles: rounding is monotone, so the order of keys stays.
+        inside = F.floor((key.cast("double") - F.get(starts, at)) / F.get(widths, at) * steps)
+        return at.cast("long") * steps + F.greatest(F.lit(0), F.least(F.coalesce(inside, F.lit(0)), F.lit(steps - 1)))
+
+    return block
+
+
+def last_at_most(edges: Column, key: Column) -> Column:
+    """Number of elements of the sorted array ``edges`` that are at or below ``key``; a binary search in SQL."""
+    steps = F.lit([1 << i for i in reversed(range(31))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when((step <= F.size(edges) - at) & (F.get(edges, at + step - 1) <= key), at + step).otherwise(at),
+    )

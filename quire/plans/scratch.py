@@ -1,14 +1,15 @@
 """Scratch tables in the folder that driver and executors share.
 
 A scratch table cuts lineage: it is written once as Parquet and read back, so a lost executor
-costs a re-read and never a recomputation. The folder is ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) a temporary folder of this machine is used.
+costs a re-read and never a recomputation. The folder is ``spark.checkpoint.dir``; only on a local master
+a temporary folder of this machine stands in for it.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="quire-"))
     return _fallback[0]
@@ -35,25 +38,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_ARROW_BYTES = 4 << 20
 
 
-def write(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
-    """Write ``df`` once and return the table read back.
+def bound_arrow(spark: SparkSession) -> None:
+    """Let batches sent to Python hold at most MOST_ARROW_BYTES, whatever their rows are.
 
-    ``arrow_rows``: rows in a batch sent to Python during this write, for plans that send whole texts or
-    sets; the session's own setting is put back.
+    Sets the session's limit once if it is higher and leaves it there, so that all threads see one value.
     """
+    if int(spark.conf.get(ARROW_BYTES).rstrip("b")) > MOST_ARROW_BYTES:
+        spark.conf.set(ARROW_BYTES, f"{MOST_ARROW_BYTES}b")
+
+
+def write(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and return the table read back."""
     spark = df.sparkSession
+    bound_arrow(spark)
     path = new_path(spark, name)
-    own = spark.conf.get(ARROW_ROWS)
-    try:
-        if arrow_rows:
-            spark.conf.set(ARROW_ROWS, str(arrow_rows))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if arrow_rows:
-            spark.conf.set(ARROW_ROWS, own)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
