@@ -1,13 +1,17 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised texts (Spark's range exchange samples the keys),
-an external sort brings equal texts together, and each row is compared in full with its
-predecessor. A run of equal texts keeps its largest identifier.
-
-A group of copies may hold a third of all rows, so the range key carries the identifier's block
-(256 neighbouring ids) next to a bounded prefix of the text: copies are spread over many tasks, a
-splitter stays small, and one sorted run holds at most 256 distinct ids. What is left of a run is
-one narrow row with its SHA-256; runs of one text in different blocks meet there.
+1. Sampled splitters range-partition the normalised texts: Spark's range exchange samples the keys, which are
+   a bounded prefix of the bytes and, in place of the rest, a hash of the whole text. Keys of any one text
+   are equal, so its copies meet in one partition.
+2. There an external sort by (key, whole normalised text, identifier) places equal texts next to each other, and
+   each row is compared in full with its predecessor. A run of equal texts keeps its largest identifier.
+3. A text that may hold a third of all rows would be one partition. Keys that hold more than HOT_BYTES (found by
+   counting hashes) get the identifier's block, or the task they came from, as a last part. Their copies are then
+   runs in several partitions; the runs' boundary texts, one for each, are compared in full with each other, and
+   runs of one text are joined.
+
+No digest decides anything: SHA-256 is only returned, and texts whose hashes collide are still told apart by the
+comparisons.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.plans import scratch
+from quire.plans.joins import join_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PREFIX_CHARS = 96
+PREFIX_CHARS = 64
+HOT_BYTES = 16 << 20
+ROW_BYTES = 200  # of a row besides its text
 ID_BITS = 8
 
 
@@ -31,6 +38,68 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def text_hash(norm: Column) -> Column:
+    """Stands in the sort key for the part of a text beyond its prefix."""
+    return F.xxhash64(norm)
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sorted rows with their run's head, and the joined runs of hot texts.
+
+    Rows: row (the columns ``kept``), doc_id, sha (of the text), head (the first of its run), hot, keep_id and
+    group_size (of its run), and key, part, run, which name the run. Joined runs: key, part, run, all_id, all_size,
+    best (whether the run holds the row that stays).
+    """
+    spark = docs.sparkSession
+    norm = ascii_lower(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        norm.alias("norm"),
+    ).withColumn("h", text_hash(F.col("norm")))
+    size = F.sum(F.octet_length("norm") + ROW_BYTES)
+    hot = scratch.write(rows.groupBy("h").agg(size.alias("size")).where(F.col("size") > HOT_BYTES).select(F.col("h").alias("hot_h")), "hot")
+    rows = join_small(rows, hot, F.col("h") == F.col("hot_h"), "left", hot.count(), 8).withColumn("hot", F.col("hot_h").isNotNull()).drop("hot_h")
+    # Null ids have no block: the task that a row comes from stands in for it.
+    block = F.coalesce(F.shiftright("doc_id", ID_BITS), -1 - F.spark_partition_id())
+    rows = rows.withColumn("part", F.when(F.col("hot"), block).otherwise(0)).withColumn("prefix", F.substring("norm", 1, PREFIX_CHARS))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "prefix", "h", "part")
+    same_key = Window.partitionBy("prefix", "h", "part").orderBy("norm", F.col("doc_id").desc_nulls_last())
+    before = F.lag("norm").over(same_key)
+    marked = ordered.withColumn("head", before.isNull() | (before != F.col("norm")))
+    marked = marked.withColumn("run", F.sum(F.col("head").cast("int")).over(same_key.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.select(
+        "row", "doc_id", "h", "prefix", "part", "run", "head", "hot",
+        F.unhex(F.sha2("norm", 256)).alias("sha"),
+        F.when(F.col("head") & F.col("hot"), F.col("norm")).alias("edge"),
+    )
+    run = Window.partitionBy("prefix", "h", "part", "run")
+    runs = marked.withColumn("keep_id", F.max("doc_id").over(run)).withColumn("group_size", F.count("*").over(run))
+    runs = scratch.write(runs.withColumn("key", F.struct("prefix", "h")).drop("prefix", "h"), "runs")
+    edges = runs.where("hot and head").select("key", "part", "run", "edge", "keep_id", "group_size")
+    joined = edges.groupBy("edge").agg(
+        F.max("keep_id").alias("all_id"),
+        F.sum("group_size").alias("all_size"),
+        F.max_by(F.struct("key", "part", "run"), F.struct("keep_id", "part", "key", "run")).alias("best"),
+    )
+    joined = edges.select("key", "part", "run", "edge").join(joined, "edge")
+    joined = joined.select("key", "part", "run", "all_id", "all_size", (F.col("best") == F.struct("key", "part", "run")).alias("best"))
+    return runs, scratch.write(joined, "joined")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
+    """Every row with keep_id, group_size and stays, over joined runs."""
+    runs, joined = _runs(docs, id_col, text_col, kept)
+    calm = runs.where("not hot").select("row", "doc_id", "sha", "keep_id", "group_size", F.col("head").alias("stays"))
+    same = F.lit(True)
+    for c in ("key", "part", "run"):
+        same = same & (F.col(f"r.{c}") == F.col(f"j.{c}"))
+    hot = join_small(runs.where("hot").drop("keep_id", "group_size").alias("r"), joined.alias("j"), same, "inner", joined.count(), 400)
+    hot = hot.select("row", "doc_id", "sha", F.col("all_id").alias("keep_id"), F.col("all_size").alias("group_size"), (F.col("head") & F.col("best")).alias("stays"))
+    return calm.union(hot)
+
+
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -39,71 +108,14 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows with one id and one text count one by one; exactly one row of a group is kept.
     An empty input gives an empty result; other columns are ignored.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        ascii_lower(F.col(text_col)).alias("norm"),
-    ).select(
-        "doc_id",
-        "norm",
-        F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.substring("norm", 1, PREFIX_CHARS).alias("prefix"),
-        F.shiftright("doc_id", ID_BITS).alias("block"),
-    )
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "prefix", "block")
-    run = Window.partitionBy("prefix", "block").orderBy("norm", F.col("doc_id").desc_nulls_last())
-    before = F.lag("norm").over(run)
-    marked = ordered.withColumn("head", before.isNull() | (before != F.col("norm")))
-    runs = marked.select(
-        "doc_id",
-        "sha",
-        "head",
-        "block",
-        F.last(F.when(F.col("head"), F.struct("doc_id")), ignorenulls=True)
-        .over(run.rowsBetween(Window.unboundedPreceding, 0))["doc_id"]
-        .alias("run_id"),
-    )
-    runs = scratch.write(runs, "runs")
-    sizes = runs.groupBy("sha", "block", "run_id").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("sha").agg(F.max("run_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    chosen = sizes.join(groups, "sha").select("sha", "block", "keep_id", "group_size")
-    return (
-        runs.alias("r")
-        .join(
-            chosen.alias("c"),
-            (F.col("r.sha") == F.col("c.sha")) & F.col("r.block").eqNullSafe(F.col("c.block")),
-        )
-        .select(
-            "r.doc_id",
-            "c.keep_id",
-            "c.group_size",
-            (F.col("r.head") & F.col("r.doc_id").eqNullSafe(F.col("c.keep_id"))).alias("kept"),
-            F.lower(F.hex("r.sha")).alias("text_sha256"),
-        )
-    )
+    return _judged(docs, id_col, text_col, []).select("doc_id", "keep_id", "group_size", F.col("stays").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the largest id.
 
     Rows with a null id stay only if their whole group has none (then all of them stay). Rows that repeat
-    an id with another text are other rows, judged by their own text.
+    an id with another text are other rows, judged by their own text. Whole rows move once, in the sort.
     """
-    drop = scratch.write(
-        content_sort(docs, id_col, text_col)
-        .where("not kept and keep_id is not null")
-        .select(F.col("doc_id").alias("_id"), "keep_id", F.unhex("text_sha256").alias("_gone")),
-        "dropped",
-    )
-    # A row is named by its id and its text's digest: an id may be null or stand for several texts.
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone"))
-    gone = drop.where("_id is null or _id != keep_id").select("_id", "_gone").distinct()
-    out = rows.join(gone, same, "left_anti")
-    twice = drop.where("_id = keep_id").select("_id", "_gone").distinct()
-    if twice.isEmpty():
-        return out.drop("_sha")
-    # One id given more than once with the kept text: one of those rows stays.
-    again = out.join(twice, same, "left_semi")
-    once = out.join(twice, same, "left_anti")
-    return once.unionByName(again.dropDuplicates([id_col, "_sha"])).drop("_sha")
+    stays = _judged(docs, id_col, text_col, docs.columns).where("stays or keep_id is null")
+    return stays.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

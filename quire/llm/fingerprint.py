@@ -147,7 +147,7 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         of_text(0), of_text(1),
     )
     one = versions.select("blk", "no", F.explode(every_term).alias("x")).select("blk", "no", "x.*")
-    with_subs = join_small(one, lex, "term", "inner", lex.count(), 400_000)
+    with_subs = join_small(one, lex, "term", "inner", lex.count(), 80)
     coded = with_subs.groupBy("blk", "no").agg(
         F.max("about").alias("about"),
         *(F.collect_list(F.when((F.col("which") == w) & (F.col("term") != ""), F.struct("term", "subs"))).alias(f"found{w}") for w in (0, 1)),

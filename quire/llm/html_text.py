@@ -260,6 +260,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     order = F.struct(F.round("votes", 6), F.hash("path"), F.col("path"))
     winners = scratch.write(votes.groupBy("host").agg(F.max_by("path", order).alias("path")), "paths")
     hosts = winners.count()
-    joined = join_small(rows, winners, "host", "left", hosts, 200_000).select("row", "html", "path")
+    joined = join_small(rows, winners, "host", "left", hosts, 160).select("row", "html", "path")
     kind = rows.schema["row"].dataType.simpleString()
     return joined.mapInArrow(_extract, f"row {kind}, text string").select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))

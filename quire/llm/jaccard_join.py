@@ -36,16 +36,16 @@ from pyspark.sql.window import Window
 from quire.llm.components import components
 from quire.llm.words import Words, mix, shingle_sets, slices
 from quire.plans import scratch
-from quire.plans.joins import join_small
+from quire.plans.joins import join_small, without
 
 NUM, DEN = 4, 5
 WIDTH = 5
 NO_ID = -(1 << 62)
 FLUSH_TOKENS = 400_000
+BUCKET_DOCS = 8000
 FEW = 8
 BLOCK = 128
 LINK_BLOCK = 256
-ARROW_ROWS = 500
 
 
 def alpha(n):
@@ -331,7 +331,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The smallest representative stands as its cluster's main component, each other one by itself.
     inside = label.select(F.col("component").alias("main"), F.col("node").alias("doc"), F.col("node").alias("c"))
     sized = sets.join(classes.withColumnRenamed("rep", "doc"), "doc").select("doc", "hashes", "size")
-    links = scratch.write(_block_pairs(inside, sized, LINK_BLOCK).applyInArrow(_block_counts, "doc long, links long"), "n_links", ARROW_ROWS)
+    links = scratch.write(_block_pairs(inside, sized, LINK_BLOCK).applyInArrow(_block_counts, "doc long, links long"), "n_links")
     links = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
     by_class = scratch.write(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left"), "by_class")
     own = join_small(member, by_class, ["rep"], "left", by_class.count())
@@ -348,7 +348,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(counted, member, sets of representatives, label): the join down to the components of its links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(16, docs.rdd.getNumPartitions())
+    buckets = max(4, docs.count() // BUCKET_DOCS)
     counted = scratch.write(
         docs.mapInArrow(_emit_tokens(buckets), "bucket int, kind int, ids binary, nums binary, vals binary")
         .groupBy("bucket")
@@ -356,7 +356,6 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         .groupBy("doc")
         .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.sum("rows").alias("rows")),
         "counted",
-        ARROW_ROWS,
     )
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
     open_ = counted.where((F.col("doc") >= NO_ID) & (F.col("n") > 0) & (F.col("shared") >= 1 + F.floor(least / 20)))
@@ -366,7 +365,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         _build_sets, "doc long, n int, sig1 long, sig2 long, hashes binary"
     )
     twice = open_.where("rows > 1").select("doc_")
-    sets = scratch.write(sets, "sets", ARROW_ROWS)
+    sets = scratch.write(sets, "sets")
     if n_twice := twice.count():
         again = join_small(sets, twice, sets["doc"] == F.col("doc_"), "left_semi", n_twice)
         once = join_small(sets, twice, sets["doc"] == F.col("doc_"), "left_anti", n_twice)
@@ -383,7 +382,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     copy = scratch.write(member.where("doc != rep").select(F.col("doc").alias("copy")), "copies")
     sets = join_small(sets, copy, sets["doc"] == F.col("copy"), "left_anti", copy.count()).select("doc", "n", "hashes")
 
-    prefixes = scratch.write(_prefixes(sets), "prefixes", ARROW_ROWS)
+    prefixes = scratch.write(_prefixes(sets), "prefixes")
     # Documents of one size and one prefix are a group, named by its smallest member.
     by_group = (
         prefixes.groupBy("doc", "n")
@@ -401,7 +400,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         F.col("p").alias("a"), F.col("doc").alias("b")
     )
     own = grouped.where("doc != gid").select(F.col("gid").alias("a"), F.col("doc").alias("b"))
-    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links", ARROW_ROWS)
+    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links")
     label = scratch.write(components(first), "labels")
 
     # What is left: pairs of different components that share a prefix token.
@@ -421,7 +420,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     second = _links(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets, "few")
     third = _dense_links(rest.where(F.col("df") > FEW), sets)
     known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    joined = scratch.write(second.union(third).union(known), "joined", ARROW_ROWS)
+    joined = scratch.write(second.union(third).union(known), "joined")
     label = components(joined)
     return counted, member, sets, label
 
@@ -434,11 +433,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return _one_of_each_text(docs, id_col, text_col)
-    gone = scratch.write(
-        jaccard_components(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")),
-        "gone",
-    )
-    return join_small(docs, gone, F.col(id_col) == F.col("_gone"), "left_anti", gone.count())
+    gone = scratch.write(jaccard_components(docs, id_col, text_col).where("component_id != doc_id").select("doc_id"), "gone")
+    return without(docs, [F.col(id_col).cast("long")], gone, gone.count())
 
 
 def _one_of_each_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -446,9 +442,9 @@ def _one_of_each_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     i, t, h = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))
     texts = docs.where(F.col(id_col).isNotNull()).select(i.alias("i"), h.alias("h"), t.alias("t"))
     numbers = scratch.write(texts.select("i", "h").distinct().withColumn("k", F.monotonically_increasing_id()), "numbers")
-    keyed = scratch.write(texts.join(numbers, ["i", "h"]).select("k", "t"), "keyed", ARROW_ROWS)
+    keyed = scratch.write(texts.join(numbers, ["i", "h"]).select("k", "t"), "keyed")
     found = jaccard_components(keyed, "k", "t").select(F.col("doc_id").alias("k"), "component_id").join(numbers, "k")
     found = scratch.write(found.select("i", "h", "k", "component_id"), "found")
     first = found.groupBy("component_id").agg(F.min(F.struct("i", "k"))["k"].alias("first"))
-    gone = scratch.write(found.join(first, "component_id").where("k != first").select(F.col("i").alias("_i"), F.col("h").alias("_h")), "gone")
-    return join_small(docs, gone, (i == F.col("_i")) & (h == F.col("_h")), "left_anti", gone.count())
+    gone = scratch.write(found.join(first, "component_id").where("k != first").select("i", "h"), "gone")
+    return without(docs, [i, h], gone, gone.count())

@@ -10,19 +10,26 @@ cycle. Only that one cycle (D rows) is worked out on the driver.
 
 A source that is used up leaves its slots empty; the others keep their order and proportions. No
 document is dropped or repeated.
+
+Whole rows move once. Narrow rows (source, id) are numbered first, in range blocks; percentiles of
+their slots cut the mixed order into partitions, and one row per source and partition says at which id the
+source enters it. By these edges every whole row finds its partition before it moves, and its exact slot
+by its rank there.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.plans.blocks import block_of, splitters
+from quire.plans import scratch
+from quire.plans.blocks import blocks_of, last_at_most, splitters
+from quire.plans.joins import is_small, join_small
 
-NEW = ("mix_lane", "block_no", "release", "deadline", "slot", "in_block")
+NEW = ("block_no", "release", "deadline", "slot", "in_block")
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
@@ -71,10 +78,23 @@ def targets(totals: dict[str, int], weights: dict[str, float] | None = None, tem
     return target
 
 
+def lane_of(source_col: str) -> Column:
+    """Name of the row's source; null and empty sources are one."""
+    return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+
+
 def target_weights(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, source_col: str = "source") -> dict[str, float]:
     """The target weights that ``pfair_mix`` holds the sources of ``docs`` to."""
-    lane = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("lane")
-    return targets({r["lane"]: r["n"] for r in docs.groupBy(lane).agg(F.count("*").alias("n")).collect()}, weights, temperature)
+    counts = docs.groupBy(lane_of(source_col).alias("lane")).agg(F.count("*").alias("n"))
+    return targets({r["lane"]: r["n"] for r in counts.collect()}, weights, temperature)  # one row per source
+
+
+def _keyed(docs: DataFrame, kept: list[str], id_col: str, source_col: str) -> DataFrame:
+    """(lane, k, h, row): in a lane rows go by (k, h), the id and a hash of the row; null ids lie spread below all ids."""
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    own, h = F.col(id_col).cast("long"), F.xxhash64(*hashed)
+    below = -(1 << 62) - F.pmod(h, F.lit(1 << 61))
+    return docs.select(lane_of(source_col).alias("lane"), F.coalesce(own, below).alias("k"), h.alias("h"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
 
 
 def pfair_mix(
@@ -83,67 +103,76 @@ def pfair_mix(
     temperature: float = 0.5,
     block_docs: int = 16,
     slots: int = 1000,
-    max_lanes: int = 4000,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """All rows and columns, with block_no, release, deadline, slot and in_block.
-
-    The mixed order is (slot, in_block). ``weights`` names target weights; a source without one, and
-    every source if None, gets its number of documents to the power ``temperature`` (among the
-    unnamed ones of the total that is left, or the smallest named weight). Null and empty sources
-    are one source ''. Above ``max_lanes`` sources, sources share lanes by hash and a lane is
-    scheduled as one source. Rows with a null id come first in their source; rows of one id keep
-    together in any order. Columns of the input named like the new ones are replaced; an empty input
-    gives an empty result.
+    """All rows and columns in the mixed order, with block_no, release, deadline, slot and in_block.
+
+    The mixed order is (slot, in_block), over partitions and within them. ``weights`` names target weights; a
+    source without one, and every source if None, gets its number of documents to the power ``temperature``
+    (among the unnamed ones of the total that is left, or the smallest named weight). Every source is
+    scheduled by itself, whatever their number; one row per source and the slots of one cycle (``slots``, or
+    four for each source if that is more) pass through the driver. Null and empty sources are one source ''.
+    Rows with a null id come first in their source; rows of one id follow each other by a hash of the row.
+    Columns of the input named like the new ones are replaced; an empty input gives an empty result.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in NEW]
-    rows = docs.select(
-        F.struct(*kept).alias("row"),
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("lane"),
-    )
-    if rows.select("lane").distinct().limit(max_lanes + 1).count() > max_lanes:
-        rows = rows.withColumn("lane", F.pmod(F.xxhash64("lane"), F.lit(max_lanes)).cast("string"))
-    rows = rows.withColumn("blk", block_of("id", splitters(rows, "id")))
-    counts = rows.groupBy("lane", "blk").agg(F.count("*").alias("n"))
-    totals = {r["lane"]: r["n"] for r in counts.groupBy("lane").agg(F.sum("n").alias("n")).collect()}
+    keyed = _keyed(docs, kept, id_col, source_col)
+    narrow = scratch.write(keyed.select("lane", "k", "h"), "keys")
+    block = blocks_of(narrow, "k")
+    narrow = narrow.withColumn("blk", block("k"))
+    counts = scratch.write(narrow.groupBy("lane", "blk").agg(F.count("*").alias("n")), "counts")
+    totals = {r["lane"]: r["n"] for r in counts.groupBy("lane").agg(F.sum("n").alias("n")).collect()}  # one row per source
     target = targets(totals, weights, temperature)
     share = shares(target, max(slots, 4 * len(target))) if target else {}
-    plan = spark.createDataFrame(
-        [(s, share[s], j, r, d, at) for s, j, r, d, at in cycle(share)],
-        "lane string, share long, j long, r long, d long, at long",
-    )
     length = sum(share.values())
+    at: dict[str, list[int]] = {s: [] for s in share}
+    for s, _, _, _, slot in cycle(share):
+        at[s].append(slot)
+    plan = spark.createDataFrame([(s, share[s], x) for s, x in at.items()], "lane string, share long, at array<int>")
+    small = is_small(length, 4) and is_small(len(share), 100)
+
+    def slot_of(rows: DataFrame, i: Column) -> DataFrame:
+        """The rows with block_no, cycle, j and slot of the row numbered i (from 0) in its lane."""
+        rows = rows.withColumn("i", i).join(F.broadcast(plan) if small else plan, "lane")
+        rows = rows.withColumn("block_no", F.floor(F.col("i") / block_docs)).withColumn("j", F.col("block_no") % F.col("share"))
+        rows = rows.withColumn("cycle", F.floor(F.col("block_no") / F.col("share")))
+        return rows.withColumn("slot", F.col("cycle") * length + F.get("at", F.col("j").cast("int"))).drop("at")
+
     ahead = Window.partitionBy("lane").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("lane", "blk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    own = F.broadcast(spark.createDataFrame(sorted(share.items()), "lane string, share long"))
-    at = (
-        rows.withColumn("i", F.row_number().over(Window.partitionBy("lane", "blk").orderBy(F.col("id").asc_nulls_first())))
-        .join(starts, ["lane", "blk"])
-        .withColumn("i", F.col("start") + F.col("i") - 1)
-        .withColumn("block_no", F.floor(F.col("i") / block_docs))
-        .join(own, "lane")
-        .withColumn("cycle", F.floor(F.col("block_no") / F.col("share")))
-        .withColumn("j", F.col("block_no") % F.col("share"))
-        .join(F.broadcast(plan.drop("share")), ["lane", "j"])
-    )
+    ties = F.rank().over(Window.partitionBy("lane", "blk").orderBy("k", "h"))  # equal rows must not part
+    ranked = narrow.withColumn("r", ties).join(starts, ["lane", "blk"])
+    ranked = scratch.write(slot_of(ranked, F.col("start") + F.col("r") - 1).select("lane", "k", "h", "i", "slot"), "ranked")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = splitters(ranked, "slot", 1, parts)
+    parts = len(cuts) + 1
+    p = last_at_most(F.lit(cuts), F.col("slot")) if cuts else F.lit(0)
+    edge = ranked.withColumn("p", p).groupBy("lane", "p").agg(F.min(F.struct("k", "h")).alias("low"), F.min("i").alias("start"))
+    edges = edge.groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("low", "p", "start"))).alias("edges"))
+    edges = scratch.write(edges.select("lane", F.col("edges.low").alias("lows"), F.col("edges.p").alias("ps"), F.col("edges.start").alias("begins")), "edges")
+    own = join_small(keyed, edges, "lane", "inner", len(share) * parts, 40)
+    own = own.withColumn("e", last_at_most(F.col("lows"), F.struct("k", "h")) - 1)
+    own = own.select("lane", "k", "h", "row", F.get("ps", F.col("e")).alias("p"), F.get("begins", F.col("e")).alias("begin"))
+    dealt = own.repartitionById(parts, "p")
+    no = F.row_number().over(Window.partitionBy("p", "lane").orderBy("k", "h"))
+    placed = slot_of(dealt.withColumn("no", no).drop("k", "h"), F.col("begin") + F.col("no") - 1)
+    if not small:  # joined by shuffle
+        placed = placed.repartitionById(parts, "p")
     base = F.col("cycle") * length
-    return at.select(
-        *(F.col(f"row.{c}").alias(c) for c in kept),
+    return placed.withColumn("in_block", F.col("i") % block_docs).sortWithinPartitions("slot", "in_block").select(
+        *(F.col(f"row.`{c}`").alias(c) for c in kept),
         "block_no",
-        (base + F.col("r")).alias("release"),
-        (base + F.col("d")).alias("deadline"),
-        (base + F.col("at")).alias("slot"),
-        (F.col("i") % block_docs).alias("in_block"),
+        (base + F.floor(F.col("j") * length / F.col("share"))).alias("release"),
+        (base + F.ceil((F.col("j") + 1) * length / F.col("share"))).alias("deadline"),
+        "slot",
+        "in_block",
     )
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows with their own columns only, range-partitioned and sorted into the mixed order."""
+    """The rows with their own columns only, partitioned and sorted into the mixed order."""
     id_col, source_col = options.pop("id_col", "doc_id"), options.pop("source_col", "source")
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.struct(*docs.columns).alias("all"))
-    mixed = pfair_mix(whole, **options)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "slot", "in_block").sortWithinPartitions("slot", "in_block").select("all.*")
+    whole = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    return pfair_mix(whole, **options).select("all.*")

@@ -10,7 +10,7 @@ from quire.llm.fingerprint import imatch
 from quire.llm.html_text import main_text
 from quire.llm.jaccard_join import jaccard_links
 from quire.llm.packing import pack
-from quire.llm.pfair_mix import pfair_mix
+from quire.llm.pfair_mix import pfair_mix, target_weights
 from quire.llm.toxicity import score
 from quire.llm.url_filter import judge
 from quire.llm.warc_bundles import read_bundles, write_bundles
@@ -61,12 +61,12 @@ def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair_mix(docs)
+    return pfair_mix(_table(spark, sf_dir, "documents"))
 
 
 def op10_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), str(tokenizer_path()))
+    docs = _table(spark, sf_dir, "documents")
+    return pack(docs, str(tokenizer_path()), target_weights(docs))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives, text of unknown kind is the unlabelled rest; clean labels
-are not used. With class prior pi the risk of a classifier g is
+Confirmed toxic documents are the positives, text of unknown kind is the unlabelled rest. No document counts as
+negative because its label says so; labels of clean documents enter the class prior only, which is the mean of
+the labels that may be learnt from. With class prior pi the risk of a classifier g is
 
     R = pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.words import Words, mix, slices
 from quire.plans import scratch
-from quire.plans.joins import join_small
+from quire.plans.joins import without
 
 BITS = 20
 MOST_POSITIVE = 2000
@@ -233,6 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.struct(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(kept))).alias("row"),
         F.col(text_col).cast("string").alias("text"),
     )
+    scratch.bound_arrow(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     if model is None:
         scored = rows.select("row", F.lit(0.0).alias("score"))
@@ -252,7 +254,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    flagged = score(keyed, labels, "i", "t", ["h"]).where("predicted = 1").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
-    flagged = scratch.write(flagged.distinct(), "toxic", 1000)
-    same = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
-    return join_small(docs, flagged, same, "left_anti", flagged.count())
+    flagged = score(keyed, labels, "i", "t", ["h"]).where("predicted = 1").select("doc_id", "h")
+    flagged = scratch.write(flagged.distinct(), "toxic")
+    return without(docs, [F.col(id_col).cast("long"), F.xxhash64(text_col)], flagged, flagged.count())

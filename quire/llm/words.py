@@ -1,11 +1,13 @@
 """Vectorised 64-bit hashes of the words of many texts.
 
-Works on the bytes of Arrow string columns: A-Z count as a-z, words are runs of bytes other than
-space and 0x09-0x0D. Everything is numpy on slices of bounded size.
+A word is hashed eight bytes at a time with a non-linear mix after each step, so that no rule of spelling
+makes two words collide. Works on the bytes of Arrow string columns: A-Z count as a-z, words are runs of
+bytes other than space and 0x09-0x0D. Everything is numpy on slices of bounded size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +27,13 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = _splitmix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_BYTE[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_pows: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    got = _pows.get(base)
-    if got is None or len(got) < n:
-        size = max(n, SLICE_BYTES + 1)
-        got = np.full(size, base, dtype=np.uint64)
-        got[0] = 1
-        with np.errstate(over="ignore"):
-            got = np.multiply.accumulate(got)
-        _pows[base] = got
-    return got[:n]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_GOLD = _U(0x9E3779B97F4A7C15)
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,11 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a slice of texts: ``hash``, byte ``start`` and ``end``, and ``first`` word of each text."""
+    """Words of a slice of texts: ``hash``, byte ``start`` and ``end``, and ``first`` word of each text.
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    ``fold``: what each byte counts as; ``separators``: whether it parts words.
+    """
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, fold: np.ndarray = _FOLD, separators: np.ndarray = _SEP):
         n = len(data)
-        word = ~_SEP[data]
+        word = ~separators[data]
         inner = word.copy()
         inner[1:] &= word[:-1]
         inner[:1] = False
@@ -67,16 +60,29 @@ class Words:
         stop[:-1] = ~inner[1:]
         self.end = np.flatnonzero(word & stop) + 1
         self.first = np.searchsorted(self.start, offs)
-        self._sum = np.zeros(n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[data] * _powers(_BASE, n), out=self._sum[1:])
+        self._low = np.zeros(n + 8, np.uint8)
+        self._low[:n] = fold[data]
+        #: The eight bytes from each position on, as one number.
+        self._eight = np.ndarray((n + 1,), np.dtype("<u8"), self._low.data, 0, (1,))
         self.hash = self.span(self.start, self.end)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each span, with its length."""
+        """Hash of the bytes of each span, eight at a time, mixed after each step; long ones by BLAKE2b."""
+        size = end - start
         with np.errstate(over="ignore"):
-            h = (self._sum[end] - self._sum[start]) * _powers(_BASE_INV, len(self._sum))[start]
-            return _splitmix(h + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            h = _splitmix(size.astype(np.uint64) * _GOLD)
+            h = _splitmix((h ^ (self._eight[start] & _MASK[np.minimum(size, 8)])) * _GOLD)
+            left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+            k = 8
+            while len(left):
+                some = self._eight[start[left] + k] & _MASK[np.minimum(size[left] - k, 8)]
+                h[left] = _splitmix((h[left] ^ some) * _GOLD)
+                k += 8
+                left = left[size[left] > k]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self._low[start[i] : end[i]].tobytes(), digest_size=8).digest()
+            h[i] = int.from_bytes(digest, "little")
+        return h
 
 
 def slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

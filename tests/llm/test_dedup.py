@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import chunk_dedup, exact_dedup, fingerprint, jaccard_join
 from tests.llm.common import awkward, empty
@@ -33,10 +34,33 @@ def test_content_sort_brute_force(spark):
     assert exact_dedup.content_sort(empty(spark)).count() == 0
 
 
-def test_content_sort_spreads_a_large_group(spark):
+def test_content_sort_spreads_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 20_000)
     docs = spark.range(3000).selectExpr("id as doc_id", "'Same' as text").union(spark.range(5).selectExpr("id + 9000", "concat('t', id)"))
-    got = exact_dedup.content_sort(docs).groupBy("keep_id", "group_size").count().collect()
-    assert {(r["keep_id"], r["group_size"]): r["count"] for r in got if r["group_size"] > 1} == {(2999, 3000): 3000}
+    nulls = spark.range(200).selectExpr("cast(null as long) as doc_id", "if(id < 100, 'same', 'Other') as text")
+    got = exact_dedup.content_sort(docs.union(nulls))
+    sizes = got.groupBy("keep_id", "group_size").agg({"*": "count", "kept": "max"}).collect()
+    assert {(r["keep_id"], r["group_size"]): r["count(1)"] for r in sizes if r["group_size"] > 1} == {(2999, 3100): 3100, (None, 100): 100}
+    assert got.where("kept").count() == 7 and got.where("kept and doc_id = 2999").count() == 1
+    runs, joined = exact_dedup._runs(docs, "doc_id", "text", [])
+    assert runs.where("hot").select("part").distinct().count() == 12 and joined.where("best").count() == 1
+
+
+def test_content_sort_needs_no_digest(spark, monkeypatch):
+    """Equal texts are found by neighbouring comparisons: constant digests and hashes change no group."""
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda norm: F.lit(5).cast("long"))
+    monkeypatch.setattr(F, "sha2", lambda col, bits: F.lit("00"))
+    texts = [(i, f"{'x' * 70} tail {i % 7}") for i in range(400)] + [(1000 + i, f"t{i % 3}") for i in range(30)] + [(None, "T1")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for hot in (1 << 30, 100):
+        monkeypatch.setattr(exact_dedup, "HOT_BYTES", hot)
+        best, count = {}, Counter()
+        for i, t in texts:
+            best[t.lower()] = max(best.get(t.lower(), 0), i or 0)
+            count[t.lower()] += 1
+        want = Counter((i, best[t.lower()], count[t.lower()], i == best[t.lower()]) for i, t in texts)
+        got = exact_dedup.content_sort(docs).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
 
 
 def shingles(text):

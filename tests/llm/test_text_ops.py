@@ -77,8 +77,37 @@ def test_pfair_edges(spark):
     assert mixed.columns == docs.columns and mixed.count() == docs.count()
     assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
     assert pfair_mix.pfair_mix(empty(spark)).count() == 0
-    many = spark.range(300).selectExpr("id as doc_id", "cast(id as string) as source")
-    assert pfair_mix.pfair_mix(many, max_lanes=20).count() == 300
+
+
+def test_pfair_keeps_one_lane_for_each_source(spark):
+    """Many sources, named weights, blocks of one document, and a partition order that is the mixed order."""
+    many = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'big', concat('s', id % 600)) as source", "repeat('x', 50) as text")
+    got = pfair_mix.pfair_mix(many, {"big": 0.25, "s1": 0.25}, block_docs=1, slots=100).withColumn("p", F.spark_partition_id())
+    rows = got.toPandas()
+    assert sorted(rows.doc_id) == list(range(3000)) and rows.p.nunique() > 1
+    assert rows.slot.is_unique and ((rows.release <= rows.slot) & (rows.slot < rows.deadline)).all()
+    ends = rows.groupby("p").slot.agg(["min", "max"])
+    assert (ends["min"].to_numpy()[1:] > ends["max"].to_numpy()[:-1]).all()
+    first = rows[rows.slot < 20]
+    assert abs((first.source == "s1").sum() - 5) <= 1 and abs((first.source == "big").sum() - 5) <= 1
+
+
+def test_pfair_keeps_repeated_rows_apart(spark):
+    docs = spark.range(500).selectExpr("if(id < 300, 7, id) as doc_id", "'t' as text", "'s' as source").union(spark.range(200).selectExpr("cast(null as long)", "'n'", "'s'"))
+    got = pfair_mix.pfair_mix(docs, block_docs=4).toPandas()
+    assert len(got) == 700 and not got.duplicated(["slot", "in_block"]).any()
+
+
+def test_pfair_slots_by_a_plain_scheduler(spark):
+    """A second scheduler, that looks for the earliest deadline in every slot, gives the same slots."""
+    share = {"a": 7, "b": 5, "c": 4, "d": 1, "e": 3}
+    length, done, want = 20, dict.fromkeys(share, 0), []
+    for now in range(length):
+        ready = [(-(-(done[s] + 1) * length // n), s) for s, n in share.items() if done[s] < n and done[s] * length // n <= now]
+        _, s = min(ready)
+        want.append((s, done[s], now))
+        done[s] += 1
+    assert [(s, j, at) for s, j, _, _, at in pfair_mix.cycle(share)] == want
 
 
 def check_packing(rows, docs, tokenizer):
@@ -134,6 +163,64 @@ def test_packing_holds_sources_to_their_weights():
     assert np.abs(np.cumsum(held[:, :full], axis=1) - ideal).max() <= 3 * packing.GRAIN
 
 
+def test_nested_queues_hold_every_source_to_its_weight():
+    totals, weights = [30_000 + 100 * i for i in range(23)], [200 + 10 * i for i in range(23)]
+    layout = packing.Layout(totals, weights, most=4)
+    assert len(layout.inner) == 6
+    spans, held = defaultdict(list), np.zeros((23, 400))
+    for q, n in enumerate(totals):
+        cut = np.arange(0, n, 777)
+        row, start, length, seq, off = layout.place(np.full(len(cut), q), cut, np.minimum(777, n - cut))
+        for r in range(len(cut)):  # every document whole and in order of its tokens
+            mine = row == r
+            order = np.argsort(start[mine])
+            assert (np.cumsum(length[mine][order]) - length[mine][order] == start[mine][order]).all() and length[mine].sum() == min(777, n - cut[r])
+        np.add.at(held[q], seq, length)
+        for a, b, c in zip(seq.tolist(), off.tolist(), length.tolist(), strict=True):
+            spans[a].append((b, c))
+    for parts in spans.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+    got = held[:, :100].sum(axis=1) / held[:, :100].sum()
+    assert np.abs(got - np.array(weights) / sum(weights)).max() < 0.002
+
+
+def exact_place(totals, weights, q, t):
+    """Position of token t of queue q in the stream, in Python's integers."""
+    g, steps, total = packing.GRAIN, packing.WINDOW // packing.GRAIN, sum(weights)
+
+    def sent(i, k):
+        return min(i * steps * weights[k] // total * g, totals[k])
+
+    i = -(-(t // g + 1) * total // (steps * weights[q])) - 1
+    return sum(sent(i, k) for k in range(len(totals))) + sum(sent(i + 1, k) - sent(i, k) for k in range(q)) + t - sent(i, q)
+
+
+@pytest.mark.parametrize("size", [10**6, 10**10, 10**13])
+@pytest.mark.parametrize("tilt", [(1, 1, 1), (0.5, 0.499, 0.001), (0.001, 0.9, 0.099)])
+def test_places_are_exact_at_any_size(size, tilt):
+    totals = [size, size // 3 + 7, size // 50 + 1]
+    share = list(packing.whole_weights(dict(zip("abc", tilt, strict=True))).values())
+    layout = packing.Layout(totals, share)
+    rng = np.random.default_rng(3)
+    seen = set()
+    for q, n in enumerate(totals):
+        first = np.sort(rng.choice(n - 500, 40)) if n > 500 else np.array([0])
+        row, start, length, seq, off = layout.place(np.full(len(first), q), first, np.full(len(first), 400))
+        for r, s, k, x, o in zip(*(v.tolist() for v in (row, start, length, seq, off)), strict=True):
+            pos = exact_place(totals, share, q, int(first[r]) + s)
+            if pos < layout.full:
+                assert (x, o) == divmod(pos, 4096)
+            assert exact_place(totals, share, q, int(first[r]) + s + k - 1) == pos + k - 1
+            seen.add(pos)
+    assert len(seen) > 100
+    with pytest.raises(OverflowError):
+        packing.Layout([1 << 57], [1])
+
+
 def test_url_rules_and_parts(spark):
     rows = [
         (1, "http://WWW.Example.ORG/es/1"), (2, "https://a.example.org/en/12?x"), (3, "http://x.org#f"), (4, "http://b.com/fr/"), (5, "http://b.com/de/2"),
