@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans import scratch
+from quire.plans.joins import join_small
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with a > b."""
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """One star step over at most ``most`` edges (a, b) with a > b.
+
+    A hub's edges meet its minimum by broadcast while minima are few, else in a join that may be split.
+    """
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(low, "u")
+    joined = join_small(near, low, "u", "inner", 2 * most)
     moved = joined.where("v > u" if large else "v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -40,7 +44,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        now = scratch.write(_star(_star(now, True), False), "edges")
+        now = scratch.write(_star(_star(now, True, mark[0]), False, 2 * mark[0]), "edges")
         if (then := now.agg(*sums).first()) == mark:
             break
         mark = then

@@ -7,15 +7,20 @@
    much of the page's text the container holds, and added up per host in Spark.
 3. Pages are extracted again with their host's winning path. A page without that path uses its own best one.
 
-Menus, headers, footers, side bars, notices, adverts, forms and reader comments are left out by tag, role and
-class or id words wherever they stand.
+Menus, headers, footers, side bars, notices, adverts, forms and reader comments are candidates by tag, by role, or
+by a class or id name all of whose words say so (``sidebar``, ``ad-slot``, but not ``has-sidebar``). A candidate is
+left out unless it holds a main element, or holds most of the page's text while next to nothing stands outside
+the candidates: then it is the page, and what lies in it is judged by itself.
+
+One pass reads a page. Open elements are at most DEEPEST; start tags beyond that do not nest, as in browsers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,111 +49,183 @@ NOISE = set(
     "pager pagination popup promo promotion promoted recommended related reply replies respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget widgets alert overlay paywall".split()
 )
-NOISE_OF_ARTICLES = set("ad ads advert comment comments promo related reply sponsored".split())
+COMMENTS = set("comment comments disqus reply replies respond".split())
+#: Words that may stand next to those in a name that still says noise.
+NEUTRAL = set(
+    "area article articles bar block blog body bottom box button buttons col column container content footer form global group "
+    "inner item items l left links list main module page post posts primary r right row secondary section site slot sticky the top "
+    "unit user users wrap wrapper".split()
+)
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu navigation search".split())
+DEEPEST = 400
+#: An end tag of an inline element, and what a new paragraph ends, stays inside these.
+BARRIER = CONTAINER | set("li dd dt th blockquote".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def says_noise(name: str) -> str:
+    """'' for a class or id name of the page's own; else 'noise', 'comments' or 'header'."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    telling = words & NOISE
+    if not telling or words - NOISE - NEUTRAL:
+        return ""
+    return "comments" if telling & COMMENTS else "header" if telling <= {"header", "masthead"} else "noise"
+
+
 class _Open:
-    """An open element."""
+    """An open element: its tag, container, innermost candidate for noise, and what holds for text in it."""
 
-    __slots__ = ("box", "drop", "heading", "link", "only_heads", "tag")
+    __slots__ = ("article", "box", "heading", "heads", "link", "noise", "tag")
 
-    def __init__(self, tag: str, box: int, drop: bool, link: bool, heading: bool, only_heads: bool):
-        self.tag, self.box, self.drop, self.link, self.heading, self.only_heads = tag, box, drop, link, heading, only_heads
+    def __init__(self, tag: str, box: int, noise: int, link: bool, heading: bool, heads: bool, article: bool):
+        self.tag, self.box, self.noise, self.link, self.heading, self.heads, self.article = tag, box, noise, link, heading, heads, article
 
 
 class Page:
     """Containers (tag, path, parent) and text blocks (text, container, letters in links, heading) of one page."""
 
     def __init__(self, source: str):
-        self.tags, self.paths, self.parents = ["html"], [""], [-1]
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self._stack = [_Open("html", 0, False, False, False, False)]
+        self.tags, self.labels, self.parents = ["html"], [""], [-1]
+        self.keys = [b""]
+        #: Candidates for noise: the one around it, whether of comments, whether a main stands in it.
+        self.around, self.comments, self.holds_main = [-1], [False], [False]
+        found: list[tuple[str, int, int, bool, int]] = []
+        self._found = found
+        self._stack = [_Open("html", 0, 0, False, False, False, False)]
+        self._open = Counter(["html"])
         self._text: list[str] = []
         self._link = 0
         self._read(source)
+        stands = self._standing()
+        self.blocks = [x[:4] for x in found if not stands[x[4]]]
+
+    def _standing(self) -> list[bool]:
+        """For each candidate whether text in it is left out (0 stands for no candidate)."""
+        n = len(self.around)
+        inside = [0] * n
+        for text, _, _, _, k in self._found:
+            inside[k] += len(text)
+        own = list(inside)
+        children: list[list[int]] = [[] for _ in range(n)]
+        for k in range(n - 1, 0, -1):
+            inside[self.around[k]] += inside[k]
+            children[self.around[k]].append(k)
+            self.holds_main[self.around[k]] |= self.holds_main[k]
+        out, free = [True] * n, own[0]
+        out[0] = False
+        todo = list(children[0])
+        for k in todo:  # a candidate with a main is the page
+            if self.holds_main[k]:
+                out[k], free = False, free + own[k]
+                todo += children[k]
+        todo = [k for k in todo if out[k]]
+        while todo:
+            most = max(todo, key=lambda k: (inside[k], -k))
+            if self.comments[most] or 2 * inside[most] <= inside[0] or 5 * free >= inside[0]:
+                break
+            out[most], free = False, free + own[most]
+            todo = children[most]  # it holds more than half, so no other outer one can
+        return out
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
                 top = self._stack[-1]
-                self.blocks.append((text, top.box, self._link, any(e.heading for e in self._stack)))
+                self._found.append((text, top.box, self._link, top.heading, top.noise))
             self._text, self._link = [], 0
 
     def _say(self, text: str) -> None:
         top = self._stack[-1]
-        if text and not top.drop and (not top.only_heads or any(e.heading for e in self._stack)):
+        if text and (not top.heads or top.heading):
             text = entities.unescape(text) if "&" in text else text
             self._text.append(text)
             if top.link:
                 self._link += len(text.strip())
 
     def _pop_to(self, at: int) -> None:
+        for e in self._stack[at:]:
+            self._open[e.tag] -= 1
         del self._stack[at:]
 
-    def _start(self, tag: str, attrs: str) -> None:
-        if tag in BLOCK:
-            self._flush()
-            for i in range(len(self._stack) - 1, 0, -1):  # a block ends an open paragraph or heading
-                if self._stack[i].tag == "p" or (self._stack[i].tag in HEADING and tag in HEADING):
-                    self._pop_to(i)
-                    break
-                if self._stack[i].tag in CONTAINER or self._stack[i].tag in ("li", "dd", "dt", "th", "blockquote"):
-                    break
-            if tag in ("li", "dd", "dt", "td", "th", "tr"):
-                same = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
-                stop = ("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", *(("tr",) if tag in ("td", "th") else ()))
+    def _close_before(self, tag: str) -> None:
+        """What the start of a block ends: an open paragraph or heading, an item of the same list, a cell."""
+        for i in range(len(self._stack) - 1, 0, -1):
+            kind = self._stack[i].tag
+            if kind == "p" or (kind in HEADING and tag in HEADING):
+                self._pop_to(i)
+                break
+            if kind in BARRIER:
+                break
+        if tag in ("li", "dd", "dt", "td", "th", "tr"):
+            same = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
+            stop = ("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", *(("tr",) if tag in ("td", "th") else ()))
+            if any(self._open[t] for t in same):
                 for i in range(len(self._stack) - 1, 0, -1):
                     if self._stack[i].tag in same:
                         self._pop_to(i)
                         break
                     if self._stack[i].tag in stop:
                         break
+
+    def _start(self, tag: str, attrs: str) -> None:
+        if tag in BLOCK:
+            self._flush()
+            self._close_before(tag)
         top = self._stack[-1]
         names: dict[str, str] = {}
-        if attrs and ("=" in attrs or "hidden" in attrs):
+        if attrs and ("=" in attrs or "hidden" in attrs.lower()):
             for k, a, b, c in _ATTR.findall(attrs):
                 names.setdefault(k.lower(), entities.unescape(a or b or c))
-        words = {w.lower() for k in ("class", "id") if k in names for w in _WORD.findall(names[k])}
-        in_article = any(self.tags[b] in ("article", "main") for b in self._chain(top.box))
-        drop, heads = top.drop, top.only_heads
-        if tag in ("html", "body"):
-            pass
-        elif tag in ("article", "main"):
-            drop = drop or bool(words & NOISE_OF_ARTICLES)
-        elif tag == "header" or (tag not in HEADING and words & {"header", "masthead"} and not words & (NOISE - {"header", "masthead"})):
-            if in_article:
-                heads = True
-            else:
-                drop = True
-        else:
-            drop = drop or tag in DROPPED or bool(words & NOISE) or names.get("role", "").lower() in ROLES or "hidden" in names
         if tag in VOID:
             if tag == "br":
                 self._say(" ")
             return
+        kinds = {says_noise(x) for k in ("class", "id") for x in names.get(k, "").split()} - {""}
+        noise, heads = False, top.heads
+        if tag in ("article", "main"):
+            noise = tag == "article" and "comments" in kinds or "hidden" in names
+            self.holds_main[top.noise] |= tag == "main" and not noise
+        elif tag not in ("html", "body"):
+            role = names.get("role", "").lower()
+            noise = tag in DROPPED or bool(kinds - {"header"}) or role in ROLES or "hidden" in names
+            if tag == "header" or ("header" in kinds and tag not in HEADING):
+                heads |= top.article
+                noise |= not top.article
+        if len(self._stack) > DEEPEST:
+            return
+        inner = top.noise
+        if noise:
+            self.around.append(top.noise)
+            self.comments.append("comments" in kinds or self.comments[top.noise])
+            self.holds_main.append(False)
+            inner = len(self.around) - 1
         box = top.box
         if tag in CONTAINER:
             label = tag + "".join(f".{x}" for x in sorted({re.sub(r"\d+", "", c) for c in names.get("class", "").lower().split()} - {""}))
             self.tags.append(tag)
-            self.paths.append(f"{self.paths[box]}>{label}"[-2000:])
+            self.labels.append(label)
+            self.keys.append(hashlib.blake2b(self.keys[box] + b">" + label.encode(errors="replace"), digest_size=16).digest())
             self.parents.append(box)
             box = len(self.tags) - 1
-        self._stack.append(_Open(tag, box, drop, top.link or tag == "a", tag in HEADING, heads))
+        article = top.article or tag in ("article", "main")
+        self._stack.append(_Open(tag, box, inner, top.link or tag == "a", top.heading or tag in HEADING, heads, article))
+        self._open[tag] += 1
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
+        if tag == "html" or not self._open[tag]:
+            return
+        inline = tag not in BLOCK or tag == "p" or tag in HEADING
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i].tag == tag:
                 self._pop_to(i)
                 return
-            if self._stack[i].tag in CONTAINER and tag not in CONTAINER and tag not in ("html", "form", "ul", "ol", "table", "nav", "aside", "header", "footer"):
+            if inline and self._stack[i].tag in BARRIER:
                 return
 
     def _chain(self, box: int) -> Iterator[int]:
@@ -157,9 +234,9 @@ class Page:
             box = self.parents[box]
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, last = 0, source.rfind(">")
         while True:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             if m is None:
                 self._say(source[at:])
                 break
@@ -174,30 +251,29 @@ class Page:
             elif tag in RAW:
                 if not m[3].endswith("/"):
                     found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-                    if found is None:
-                        break
-                    end = source.find(">", found.end())
+                    end = -1 if found is None else source.find(">", found.end())
                     if end < 0:
                         break
                     at = end + 1
             else:
                 self._start(tag, m[3])
                 if m[3].endswith("/") and tag not in VOID and tag not in BLOCK and len(self._stack) > 1 and self._stack[-1].tag == tag:
-                    self._stack.pop()
+                    self._pop_to(len(self._stack) - 1)
         self._flush()
 
-    def best(self) -> tuple[str, float]:
-        """Path of the best container and its share of the text (no text: '', 0)."""
+    def best(self) -> tuple[int, float]:
+        """The best container and its share of the text (no text: 0, 0)."""
         own: dict[int, float] = defaultdict(float)
         heads_only: dict[int, bool] = defaultdict(lambda: True)
-        total = 0.0
+        held = [0] * len(self.parents)
         for text, box, link, heading in self.blocks:
-            weight = max(0, len(text) - 2 * link) * (0.5 if heading else 1)
-            own[box] += weight
-            total += len(text)
+            own[box] += max(0, len(text) - 2 * link) * (0.5 if heading else 1)
+            held[box] += len(text)
             heads_only[box] &= heading
-        if not total:
-            return "", 0.0
+        for box in range(len(held) - 1, 0, -1):
+            held[self.parents[box]] += held[box]
+        if not held[0]:
+            return 0, 0.0
         score = dict(own)
         for box, w in own.items():
             if self.parents[box] >= 0:
@@ -212,29 +288,36 @@ class Page:
                 if self.tags[up] in ("body", "html") or up not in own or not heads_only[up]:
                     break
                 box = up
-        held = sum(len(t) for t, b, _, _ in self.blocks if box in self._chain(b))
-        return self.paths[box], held / total
-
-    def text(self, path: str | None) -> str:
-        """The blocks below the containers of ``path``, else of the page's own best one."""
-        if path is None or path not in self.paths:
-            path = self.best()[0]
-        keep = [False] * len(self.paths)
-        for b, p in enumerate(self.paths):
-            keep[b] = p == path or (self.parents[b] >= 0 and keep[self.parents[b]])
+        return box, held[box] / held[0]
+
+    def path(self, box: int) -> str:
+        """The container's path in words, at most 300 characters of its end."""
+        return ">".join(self.labels[b] for b in reversed(list(self._chain(box))))[-300:]
+
+    def text(self, key: bytes | None) -> str:
+        """The blocks below the containers with that path, else of the page's own best one."""
+        if key is None or key not in self.keys:
+            key = self.keys[self.best()[0]]
+        keep = [False] * len(self.keys)
+        for b, k in enumerate(self.keys):
+            keep[b] = k == key or (self.parents[b] >= 0 and keep[self.parents[b]])
         return "\n".join(t for t, b, _, _ in self.blocks if keep[b])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        votes: dict[tuple[str, bytes], float] = defaultdict(float)
+        label: dict[bytes, str] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            path, share = Page(source.as_py() or "").best()
+            page = Page(source.as_py() or "")
+            box, share = page.best()
             if share:
-                votes[host, path] += share
+                votes[host, page.keys[box]] += share
+                label[page.keys[box]] = page.path(box)
+        rows = [(host, key, label[key], v) for (host, key), v in votes.items()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.float64())],
-            names=["host", "path", "vote"],
+            [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.string(), pa.float64()), strict=True)], names=["host", "path", "label", "vote"]
         )
 
 
@@ -248,18 +331,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: page_id, url, text, n_chars (code points).
 
     Null html is empty and gives an empty text. Pages without a host (null url, no ://) vote together as host
-    ''. Of equal votes one path is chosen by its hash. Null and repeated ids come back as they are. An empty input gives
-    an empty result; other columns are ignored.
+    ''. Of equal votes the path with the greater digest wins. Null and repeated ids come back as they are. An
+    empty input gives an empty result; other columns are ignored.
     """
+    scratch.bound_arrow(pages.sparkSession)
     rows = pages.select(
         F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"),
         host_and_path(F.col(url_col).cast("string"))[0].alias("host"),
         F.col(html_col).cast("string").alias("html"),
     )
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, vote double").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    order = F.struct(F.round("votes", 6), F.hash("path"), F.col("path"))
-    winners = scratch.write(votes.groupBy("host").agg(F.max_by("path", order).alias("path")), "paths")
-    hosts = winners.count()
-    joined = join_small(rows, winners, "host", "left", hosts, 160).select("row", "html", "path")
+    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path binary, label string, vote double")
+    votes = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.max("label").alias("label"))
+    order = F.struct(F.round("votes", 6), F.col("path"))
+    winners = scratch.write(votes.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max_by("label", order).alias("label")), "paths")
+    joined = join_small(rows, winners.select("host", "path"), "host", "left", winners.count(), 160).select("row", "html", "path")
     kind = rows.schema["row"].dataType.simpleString()
     return joined.mapInArrow(_extract, f"row {kind}, text string").select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -302,6 +302,51 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Head</h1><p>A first paragraph of the article that runs on for a while.</p><p>And a second one, no shorter than it.</p>"
+WANT = "Head\nA first paragraph of the article that runs on for a while.\nAnd a second one, no shorter than it."
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<div class="layout has-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<div class="site no-header-search">{}</div>',
+        '<div class="ad-free-reading"><main>{}</main></div>', '<article class="post related-no ad-supported">{}</article>',
+        '<div class="sidebar"><main>{}</main></div>', '<form><div class="content">{}</div></form>', '<div id="widgets"><div>{}</div></div>',
+        '<nav>Home</nav><div class="body">{}</div><div class="comments"><p>A reader writes very much more than there is in the article, on and on and on, and then again.</p></div>',
+        '<div class="text">{}</div><div class="related-posts"><article><p>Another article that you may like.</p></article></div><div id="cookie-notice">Cookies</div>',
+        '<main><article>{}</article><article class="comment"><p>I do not agree with this at all.</p></article></main>',
+    ],
+)
+def test_class_words_do_not_hide_the_article(wrap):
+    page = html_text.Page(f"<html><body>{wrap.format(ARTICLE)}</body></html>")
+    assert page.text(None) == WANT
+
+
+def test_a_vote_overrules_a_page(spark):
+    story = "<p>" + "A line of the story, told at some length. " * 3 + "</p>"
+    aside = "<p>" + "A long box that stands on this page only. " * 9 + "</p>"
+    plain = f'<body><div class="story">{story}</div><div class="extra"><p>Short.</p></div></body>'
+    odd = f'<body><div class="story">{story}</div><div class="extra">{aside}</div></body>'
+    assert "box" in html_text.Page(odd).text(None)
+    pages = spark.createDataFrame([(i, "http://h.example/", plain) for i in range(5)] + [(9, "http://h.example/", odd), (10, "http://other.example/", odd)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert got[9] == got[0] and "box" not in got[9] and "box" in got[10]
+    tie = [(1, "http://t.example/", f'<body><div class="a">{story}</div></body>'), (2, "http://t.example/", f'<body><div class="b">{story}</div></body>')]
+    tied = html_text.main_text(spark.createDataFrame(tie, "page_id long, url string, html string")).collect()
+    assert len({r["text"] for r in tied}) == 1 and tied[0]["text"]
+
+
+def test_reading_a_page_takes_linear_time():
+    import time
+
+    cases = ["<a " * 300_000, "<div>" * 50_000 + "x", "<div>x" * 50_000, "<b>" * 20_000 + "<p>y</p>" * 20_000, "<b>" * 20_000 + "</i></a>" * 20_000]
+    cases += ["<li>" * 20_000 + "<ul>" + "<b>" * 20_000 + "<li></li>" * 20_000, "<!-- " * 100_000, '<a "' * 100_000, "<script>" * 100_000, "<p class='" * 50_000]
+    for case in cases:
+        start = time.process_time()
+        html_text.Page(case).text(None)
+        assert time.process_time() - start < 6, case[:20]
+
+
 def test_main_text_of_all_pages(spark):
     """On the given pages the article is one element, so a plain reader gives the truth."""
     import html
