@@ -38,10 +38,8 @@ def op1_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch.new_path(spark, "warc")
-    if write_bundles(_table(spark, sf_dir, "pages"), folder).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_bundles(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = write_bundles(_table(spark, sf_dir, "pages"), scratch.new_path(spark, "warc"))
+    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

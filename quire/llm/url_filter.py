@@ -1,12 +1,14 @@
 """URL filter: rules first, then word segmentation of hosts and naive Bayes.
 
-Names in hosts are written without spaces. A unigram model, counted over all texts, splits a name into the
-words of the greatest total probability (Viterbi). Host words and path tokens, told apart by a prefix, are
-the tokens of a multinomial naive Bayes classifier. It learns from the urls that the rules decide and judges
-the others.
-
-Bounded data: the unigram model keeps at most MOST_WORDS words of at most MOST_LETTERS letters, the classifier
-at most MOST_TOKENS tokens, the most frequent ones. Both are counted over all rows and broadcast.
+Names in urls are written without spaces. A unigram model, counted over all words of all texts, splits a run of
+letters into the words of the greatest total probability (Viterbi). Host words and path tokens, told apart by a
+prefix, are the tokens of a multinomial naive Bayes classifier. It learns from the urls that the rules decide
+and judges the others.
+
+Neither vocabulary is cut or broadcast whole. Each distinct run of letters meets, in a Spark join, the counts of
+the words that stand in it: its own stretches of up to ANCHOR letters, and longer words by their first ANCHOR
+letters. It is split once, with those words; urls then look up their runs. Token counts come from counts of
+runs, so a run that a third of all urls have is counted before anything is joined.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import LOWER, UPPER
 from quire.plans import scratch
+from quire.plans.joins import join_small
 
-MOST_WORDS = 50_000
-MOST_LETTERS = 20
-MOST_TOKENS = 100_000
+ANCHOR = 24
 
 #: (verdict, host suffix, start of the path)
 RULES = [
@@ -54,39 +55,36 @@ def by_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def most_frequent(counted: DataFrame, count: str, most: int, name: str) -> list:
-    """Rows above the smallest count at which at most ``most`` rows remain; a histogram of counts finds it.
-
-    Rows of one count stay or go together, so no task sorts or sends more than its share of what is kept.
-    """
-    counted = scratch.write(counted, name)
-    left, least = most, 0
-    for r in counted.groupBy(count).agg(F.count("*").alias("rows")).orderBy(F.col(count).desc()).limit(most).collect():
-        left -= r["rows"]
-        if left < 0:
-            least = r[count]
-            break
-    return counted.where(F.col(count) > least).collect()
-
-
-def unigrams(texts: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Negative log probabilities of the most frequent words of all texts."""
+def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words of all texts: lower-cased runs of letters."""
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")
-    counted = texts.select(word).where((F.col("word") != "") & (F.char_length("word") <= MOST_LETTERS)).groupBy("word").count()
-    top = most_frequent(counted, "count", MOST_WORDS, "words")
-    total = sum(r["count"] for r in top)
-    return {r["word"]: -math.log(r["count"] / total) for r in top}
+    return texts.select(word).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def runs_of(host: Column, path: Column) -> Column:
+    """(kind, run) of a url in order: letters or digits of the host's labels but the last, then of the path."""
+    labels = F.split(host, r"\.")
+    labels = F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))
 
+    def runs(names: Column, kind: str) -> Column:
+        found = F.flatten(F.transform(names, lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"\p{N}+|\p{L}+"), F.lit(0))))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("run")))
 
-def segment(name: str, cost: dict[str, float], unknown: float = 12.0) -> list[str]:
-    """The words of least total cost; a run of letters that no word covers costs ``unknown`` a letter."""
-    n = len(name)
+    return F.concat(runs(labels, "h"), runs(F.array(path), "p"))
+
+
+def segment(name: str, cost: dict[str, float], unknown: float) -> list[str]:
+    """The words of least total cost; a letter that no word covers costs ``unknown``."""
+    n, sizes = len(name), sorted({1, *map(len, cost)})
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
     for j in range(1, n + 1):
-        for i in range(max(0, j - MOST_LETTERS), j):
+        for size in sizes:
+            i = j - size
+            if i < 0:
+                break
             c = cost.get(name[i:j])
             if c is None:
-                if j - i > 1:
+                if size > 1:
                     continue
                 c = unknown
             if best[i] + c < best[j]:
@@ -99,37 +97,33 @@ def segment(name: str, cost: dict[str, float], unknown: float = 12.0) -> list[st
     return out[::-1]
 
 
-def tokens(host: str, path: str, cost: dict[str, float]) -> list[str]:
-    """h:word of each host label but the last, p:word of the path; digits count as their length."""
-    import regex
-
-    out = []
-    for kind, names in (("h", host.split(".")[:-1]), ("p", regex.split(r"[^\p{L}\p{N}]+", path.lower()))):
-        for part in names:
-            for run in regex.findall(r"\p{N}+|[^\p{N}]+", part):
-                if run[0].isdigit():
-                    out.append(f"{kind}:#{min(len(run), 9)}")
-                else:
-                    out += [f"{kind}:{w}" for w in segment(run[:2000], cost)] if len(run) <= 2000 else [f"{kind}:{run[:32]}"]
-    return out
-
-
-def _tokenize(shared):
+def _segment_all(total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, seen = shared.value, {}
         for batch in batches:
             out = []
-            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[h] = tokens(h, "", cost)
-                out.append(seen[h] + tokens("", p, cost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["host", "path", "row", "tokens"])
+            for name, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append(segment(name, {w["word"]: math.log(total / w["n"]) for w in words or []}, math.log(total) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
     return run
 
 
+def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct runs of letters, by the counts (word, n) of all words."""
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
+    size = F.char_length("run")
+    at = runs.select("run", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), F.col("size") - F.col("at") + 1))
+    short = at.select("run", F.explode(F.transform(lengths, lambda k: F.substring("run", F.col("at"), k))).alias("word")).distinct()
+    short = short.join(counts, "word").select("run", "word", "n")
+    long = counts.where(F.char_length("word") > ANCHOR).withColumn("start", F.substring("word", 1, ANCHOR))
+    fits = F.substring("run", F.col("at"), F.char_length("word")) == F.col("word")
+    anchors = at.where(F.col("size") - F.col("at") >= ANCHOR).withColumn("start", F.substring("run", F.col("at"), F.lit(ANCHOR)))
+    long = anchors.join(long, "start").where(fits).select("run", "word", "n").distinct()
+    found = short.union(long).groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    return runs.join(found, "run", "left").mapInArrow(_segment_all(float(total)), "run string, words array<string>")
+
+
 def judge(
     pages: DataFrame,
     texts: DataFrame,
@@ -140,50 +134,50 @@ def judge(
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score, words.
 
-    ``score`` is the classifier's log odds for block (of every page), ``words`` its tokens. Without a rule,
-    block is the verdict if the score is above 0. A null url, or one without ://, has an empty host and path
-    and no tokens; it gets the prior's verdict. If the rules decide no url as one of the two verdicts, all
-    scores are 0 and the others are allowed. Rows are judged one by one: null and repeated ids come back as
+    ``score`` is the classifier's log odds for block (of every page), ``words`` its tokens: h:word of each host
+    label but the last, p:word of the path; digits count as their number. Without a rule, block is the verdict if
+    the score is above 0. A null url, or one without ://, has an empty host and path and no tokens; it gets the
+    prior's verdict. If the rules decide no url as one of the two verdicts, all scores are 0 and the others are
+    allowed. Urls of any length are split whole. Rows are judged one by one: null and repeated ids come back as
     they are. An empty input gives an empty result.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("found", by_rule(F.col("host"), F.col("path"), rules))
-    shared = pages.sparkSession.sparkContext.broadcast(unigrams(texts, text_col))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.select("host", "path", F.struct("page_id", "found").alias("row")).mapInArrow(
-        _tokenize(shared), f"host string, path string, row struct<page_id:{kind},found:struct<rule:string,verdict:string>>, tokens array<string>"
-    )
-    rows = scratch.write(rows.select("row.*", "host", "path", "tokens"), "urls")
-    seen = rows.where("found is not null").select((F.col("found.verdict") == "block").alias("block"), "tokens")
-    n = {r["block"]: r["n"] for r in seen.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    each = seen.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")
-    )
-    top = most_frequent(each.withColumn("n", F.col("a") + F.col("b")), "n", MOST_TOKENS, "tokens")
-    odds, start = {}, 0.0
+    rows = rows.withColumn("found", by_rule(F.col("host"), F.col("path"), rules)).withColumn("no", F.monotonically_increasing_id())
+    rows = scratch.write(rows, "urls")
+    each = rows.select("no", "found", F.posexplode(runs_of(F.col("host"), F.col("path"))).alias("at", "x")).select("no", "found", "at", "x.*")
+    block = F.col("found.verdict") == "block"
+    runs = each.groupBy("kind", "run").agg(F.count_if(block).alias("b"), F.count_if(~block).alias("a"))
+    runs = scratch.write(runs, "runs")
+    letters = runs.where(~F.col("run").rlike(r"^\p{N}")).select("run").distinct()
+    split = segments(letters, scratch.write(word_counts(texts, text_col), "words"))
+    digits = F.array(F.concat(F.lit("#"), F.least(F.char_length("run"), F.lit(9)).cast("string")))
+    split = runs.join(split, "run", "left").withColumn("words", F.coalesce("words", digits))
+    tokens = F.transform("words", lambda w: F.concat("kind", F.lit(":"), w))
+    split = scratch.write(split.select("kind", "run", "a", "b", tokens.alias("tokens")), "split")
+
+    n = {r["block"]: r["n"] for r in rows.where("found is not null").groupBy(block.alias("block")).agg(F.count("*").alias("n")).collect()}
+    seen = split.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = scratch.write(seen.where("a + b > 0"), "tokens")
+    size, all_a, all_b = seen.agg(F.count("*") + 1, F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    start, odds = 0.0, F.lit(0.0)
     if len(n) == 2:
-        size, all_a, all_b = len(top) + 1, sum(r["a"] for r in top), sum(r["b"] for r in top)
         start = math.log(n[True] / n[False])
-        odds = {r["token"]: math.log((r["b"] + 1) / (all_b + size)) - math.log((r["a"] + 1) / (all_a + size)) for r in top}
-        odds[""] = math.log(1 / (all_b + size)) - math.log(1 / (all_a + size))
-    model = pages.sparkSession.sparkContext.broadcast((odds, start))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, start = model.value
-        rest = odds.get("", 0.0)
-        for batch in batches:
-            at = batch.schema.get_field_index("tokens")
-            value = [start + sum(odds.get(t, rest) for t in ts) for ts in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, "score"])
-
-    scored = rows.mapInArrow(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
-    return scored.select(
+        a, b = (F.coalesce(c, F.lit(0)) + 1 for c in ("a", "b"))
+        odds = F.log(b / (all_b + size)) - F.log(a / (all_a + size))
+    scores = split.select("kind", "run", F.explode("tokens").alias("token")).join(seen, "token", "left").groupBy("kind", "run").agg(F.sum(odds).alias("odds"))
+    scored = scratch.write(split.select("kind", "run", "tokens").join(scores, ["kind", "run"]), "scored")
+    about = scored.agg(F.count("*"), F.max(F.octet_length("run") + F.octet_length(F.array_join("tokens", " ")))).first()
+    met = join_small(each.select("no", "at", "kind", "run"), scored, ["kind", "run"], "inner", about[0], 100 + (about[1] or 0))
+    by_row = met.groupBy("no").agg(F.sum("odds").alias("odds"), F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("t"))
+    whole = rows.join(by_row, "no", "left")
+    whole = whole.withColumn("score", F.lit(start) + F.coalesce("odds", F.lit(0.0)))
+    return whole.select(
         "page_id",
         "host",
         "path",
         "found.rule",
         F.coalesce("found.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"),
         "score",
-        F.array_join("tokens", " ").alias("words"),
+        F.coalesce(F.array_join(F.flatten("t.tokens"), " "), F.lit("")).alias("words"),
     )

@@ -6,8 +6,9 @@ then the number of frames, a descriptor byte and a magic number), so that any Zs
 a whole and a reader can fetch one frame. An index maps each record to (bundle, frame, offset in the frame,
 length).
 
-Tasks write whole bundles of bounded size under a temporary name and rename them to a name made from the
-partition and the bundle's number; an attempt that is run again replaces its own files. Records with equal
+Tasks write whole bundles of bounded size under names of their own and return index rows. The index is a table
+that Spark commits: it names only bundles of attempts that succeeded, and records are read by it alone, so what a
+lost or repeated attempt leaves behind is never seen. Records with equal
 payloads of LEAST_REVISIT bytes or more are stored once: the one with the smallest page id is the response,
 the others are revisits with its identifier.
 """
@@ -18,10 +19,11 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans import scratch
@@ -118,20 +120,31 @@ def frame_table(tail: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", tail, at + 8 * i) for i in range(count)]
 
 
+class Reader:
+    """Reads frames of one bundle by its seek table."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        store, path = _store(uri)
+        self.file = store.open_input_file(path)
+        size = self.file.size()
+        self.file.seek(size - 9)
+        count = struct.unpack("<I", self.file.read(4))[0]
+        self.file.seek(size - 9 - 8 * count)
+        self.table = frame_table(self.file.read(8 * count + 9))
+        self.starts = [0, *accumulate(c for c, _ in self.table)]
+
+    def frame(self, no: int) -> bytes:
+        import zstandard
+
+        packed, size = self.table[no]
+        self.file.seek(self.starts[no])
+        return zstandard.ZstdDecompressor().decompress(self.file.read(packed), max_output_size=size)
+
+
 def read_record(uri: str, frame: int, offset: int, length: int) -> bytes:
     """One record of a bundle: reads the seek table and one frame only."""
-    import zstandard
-
-    store, path = _store(uri)
-    with store.open_input_file(path) as f:
-        size = f.size()
-        f.seek(size - 9)
-        count = struct.unpack("<I", f.read(4))[0]
-        f.seek(size - 9 - 8 * count)
-        table = frame_table(f.read(8 * count + 9))
-        f.seek(sum(c for c, _ in table[:frame]))
-        raw = zstandard.ZstdDecompressor().decompress(f.read(table[frame][0]), max_output_size=table[frame][1])
-    return raw[offset : offset + length]
+    return Reader(uri).frame(frame)[offset : offset + length]
 
 
 def _write(folder: str):
@@ -144,13 +157,10 @@ def _write(folder: str):
 
         def flush() -> pa.RecordBatch:
             nonlocal made, bundle
-            name = f"part-{task.partitionId():06d}-{made:05d}.warc.zst"
-            # The attempt's own name starts with a dot, which Spark's readers skip.
-            own = f"{path}/.{name}.{task.taskAttemptId()}"
+            name = f"part-{task.partitionId():06d}-{made:05d}-{uuid.uuid4().hex}.warc.zst"
             data = bundle.data()
-            with store.open_output_stream(own) as f:
+            with store.open_output_stream(f"{path}/{name}", compression=None) as f:  # by its name pyarrow would compress again
                 f.write(data)
-            store.move(own, f"{path}/{name}")
             rows = bundle.entries
             made, bundle = made + 1, Bundle()
             ids, frames, offsets, lengths = (list(x) for x in zip(*rows, strict=True))
@@ -216,47 +226,43 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     return scratch.write(chosen.mapInArrow(_write(folder), INDEX), "index")
 
 
-def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """All records below ``folder``: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
+def _rows(data: bytes) -> tuple:
+    headers, payload = parse(data)
+    full = headers["WARC-Type"] == "response"
+    ref, page = headers.get("X-Refers-To-Page"), headers.get("X-Page-ID")
+    return (
+        None if page is None else int(page),
+        headers.get("WARC-Target-URI", ""),
+        headers["WARC-Type"],
+        len(payload) if full else int(headers["X-Payload-Length"]),
+        hashlib.sha256(payload).hexdigest() if full else headers["WARC-Payload-Digest"].removeprefix("sha256:"),
+        None if ref is None else int(ref),
+        payload if full else None,
+    )
+
+
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+
+
+def read_bundles(index: DataFrame) -> DataFrame:
+    """The records of an index: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    A response's length and digest are those of the payload that was read; a revisit's are its headers'.
+    Records are found by bundle, frame and offset; a frame is read once for all its records. A response's length
+    and digest are those of the payload that was read; a revisit's are its headers'. An empty index gives an empty
+    result.
     """
-    import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        reader = None
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_buffer().to_pybytes()
-                at = 0
-                for packed, size in frame_table(data):
-                    raw = zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size)
-                    at += packed
-                    out: list[list] = [[] for _ in range(7)]
-                    x = 0
-                    while x < len(raw):
-                        end = raw.index(b"\r\n\r\n", x)
-                        length = int(raw[x:end].rpartition(b"Content-Length: ")[2])
-                        headers, payload = parse(raw[x : end + 8 + length])
-                        x = end + 8 + length
-                        full = headers["WARC-Type"] == "response"
-                        ref = headers.get("X-Refers-To-Page")
-                        page = headers.get("X-Page-ID")
-                        row = (
-                            None if page is None else int(page),
-                            headers["WARC-Target-URI"] if "WARC-Target-URI" in headers else "",
-                            headers["WARC-Type"],
-                            len(payload) if full else int(headers["X-Payload-Length"]),
-                            hashlib.sha256(payload).hexdigest() if full else headers["WARC-Payload-Digest"].removeprefix("sha256:"),
-                            None if ref is None else int(ref),
-                            payload if full else None,
-                        )
-                        for o, v in zip(out, row, strict=True):
-                            o.append(v)
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(o, k) for o, k in zip(out, kinds, strict=True)],
-                        names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"],
-                    )
-
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content").mapInArrow(run, schema)
+            for uri, no, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if reader is None or reader.uri != uri:
+                    reader = Reader(uri)
+                raw = reader.frame(no)
+                out = [_rows(raw[p["offset"] : p["offset"] + p["length"]]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
+
+    scratch.bound_arrow(index.sparkSession)
+    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # a frame is bounded
+    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORD)

@@ -132,6 +132,41 @@ def test_chunks_find_shifted_passages(spark):
     assert {r["doc_id"] for r in odd} == {8, 9}
 
 
+def brute_passages(texts, least, across):
+    """(doc, start, end of the passage) by chunk bytes themselves instead of digests."""
+    places = defaultdict(set)
+    chunks = {}
+    for i, t in texts.items():
+        data = t.encode()
+        ends = chunk_dedup.cuts(np.frombuffer(data, np.uint8))
+        chunks[i] = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+        for a, b in chunks[i]:
+            places[data[a:b]].add((i, a))
+    found = set()
+    for i, t in texts.items():
+        data, run = t.encode(), []
+        for a, b in [*chunks[i], (-1, -1)]:
+            at = places[data[a:b]] if b > a else set()
+            if len({d for d, _ in at}) > 1 or (not across and len(at) > 1):
+                run.append((a, b))
+            else:
+                if run and run[-1][1] - run[0][0] >= least:
+                    found.add((i, run[0][0], run[-1][1]))
+                run = []
+    return found
+
+
+def test_passages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for across in (True, False):
+        got = chunk_dedup.repeated_passages(docs, 120, across).collect()
+        want = brute_passages(texts, 120, across)
+        assert {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in got} == want and want
+        for r in got:  # stretches fill their passage, and their first copy is not later
+            assert r["passage_start"] <= r["start_byte"] < r["end_byte"] <= r["passage_end"] and r["first_doc_id"] <= r["doc_id"]
+
+
 def test_chunk_cuts_cover_and_follow_content():
     data = np.random.default_rng(1).integers(0, 256, 20_000).astype(np.uint8)
     ends = chunk_dedup.cuts(data)

@@ -1,6 +1,7 @@
 """Toxicity, mixing, packing, urls, WARC and HTML: round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -243,11 +244,73 @@ def test_url_rules_and_parts(spark):
 
 
 def test_segmentation_takes_the_likeliest_words():
-    import math
-
     cost = {w: -math.log(p) for w, p in (("sea", 0.4), ("side", 0.3), ("seas", 0.1), ("ide", 0.001), ("hotel", 0.1))}
-    assert url_filter.segment("seasidehotel", cost) == ["sea", "side", "hotel"]
-    assert url_filter.segment("seaq", cost) == ["sea", "q"] and url_filter.segment("", cost) == []
+    assert url_filter.segment("seasidehotel", cost, 12) == ["sea", "side", "hotel"]
+    assert url_filter.segment("seaq", cost, 12) == ["sea", "q"] and url_filter.segment("", cost, 12) == []
+
+
+def test_url_scores_by_brute_force(spark):
+    """All words of all texts count: dynamic programming over every stretch, then naive Bayes, in plain Python."""
+    import random
+    import re
+
+    random.seed(8)
+    words = ["".join(random.choices("abcde", k=random.randrange(2, 6))) for _ in range(60)] + ["abcdefghij" * 4]
+    texts = [(" ".join(random.choices(words, k=40)) + " Once-only ABC9de",) for _ in range(30)] + [(None,), ("",)]
+    urls = []
+    for i in range(120):
+        site, tld = "".join(random.choices(words, k=random.randrange(1, 4))), random.choice(("com", "org", "net"))
+        urls.append((i, f"http://{site}.{tld}/{random.choice(('fr', 'de', 'en', 'es'))}/{''.join(random.choices(words, k=2))}-{i}.html"))
+    urls += [(200, "http://" + "abcdefghij" * 400 + ".net/x"), (None, None), (201, "http://a.b.net/" + "zq" * 1500), (201, "http://" + words[-1] + words[0] + ".net/9876543210123")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = sorted(((r["host"], r["path"], r["words"], round(r["score"], 6)) for r in url_filter.judge(pages, spark.createDataFrame(texts, "text string")).collect()))
+
+    count = defaultdict(int)
+    for (t,) in texts:
+        for w in re.findall(r"[a-z]+", (t or "").lower()):
+            count[w] += 1
+    total = sum(count.values())
+    cost = {w: math.log(total / n) for w, n in count.items()}
+
+    def split(name):
+        best = [(0.0, 0)]
+        for j in range(1, len(name) + 1):
+            ways = [(best[j - k][0] + cost[name[j - k : j]], j - k) for k in {len(w) for w in cost} if k <= j and name[j - k : j] in cost]
+            if name[j - 1] not in cost:
+                ways.append((best[j - 1][0] + math.log(total) + 1, j - 1))
+            best.append(min(ways, key=lambda x: x[0]))
+        out, j = [], len(name)
+        while j:
+            out.append(name[best[j][1] : j])
+            j = best[j][1]
+        return out[::-1]
+
+    def tokens(host, path):
+        return [
+            f"{kind}:#{min(len(x), 9)}" if x[0].isdigit() else f"{kind}:{w}"
+            for kind, part in (("h", ".".join(host.split(".")[:-1])), ("p", path.lower()))
+            for x in re.findall(r"[0-9]+|[a-z]+", part)
+            for w in ([x] if x[0].isdigit() else split(x))
+        ]
+
+    rows = url_filter.judge(pages, spark.createDataFrame(texts, "text string")).select("host", "path", "rule", "verdict").collect()
+    seen, docs = {"block": defaultdict(int), "allow": defaultdict(int)}, defaultdict(int)
+    for r in rows:
+        if r["rule"]:
+            docs[r["verdict"]] += 1
+            for t in tokens(r["host"], r["path"]):
+                seen[r["verdict"]][t] += 1
+    size = len(set(seen["block"]) | set(seen["allow"])) + 1
+    everything = {v: sum(x.values()) for v, x in seen.items()}
+
+    def score(ts):
+        return math.log(docs["block"] / docs["allow"]) + sum(
+            math.log((seen["block"][t] + 1) / (everything["block"] + size)) - math.log((seen["allow"][t] + 1) / (everything["allow"] + size)) for t in ts
+        )
+
+    want = sorted((r["host"], r["path"], " ".join(tokens(r["host"], r["path"])), round(score(tokens(r["host"], r["path"])), 6)) for r in rows)
+    assert docs["block"] and docs["allow"]
+    assert [(h, p, s) for h, p, _, s in got] == [(h, p, s) for h, p, _, s in want] and [x[2] for x in got] == [x[2] for x in want]
 
 
 def test_warc_round_trip(spark):
@@ -255,8 +318,12 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, frame int, digest string")
     folder = scratch.new_path(spark, "warc")
     index = warc_bundles.write_bundles(pages, folder)
-    got = warc_bundles.read_bundles(spark, folder).collect()
-    assert len(got) == len(rows)
+    lost = warc_bundles.Bundle()  # of an attempt that did not succeed
+    lost.add(99, warc_bundles.record(99, "u", b"lost", "d", None, False, ""))
+    with open(f"{folder.removeprefix('file://')}/part-000000-00000-lost.warc.zst", "wb") as f:
+        f.write(lost.data())
+    got = warc_bundles.read_bundles(index).collect()
+    assert len(got) == len(rows) and 99 not in {r["page_id"] for r in got}
     kinds = defaultdict(list)
     for r in got:
         kinds[r["page_id"]].append((r["record_type"], r["refers_to"]))
@@ -278,7 +345,8 @@ def test_warc_round_trip(spark):
             whole = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
         assert whole.count(b"WARC-Record-ID: ") >= 1
     nothing = scratch.new_path(spark, "warc")
-    assert warc_bundles.write_bundles(pages.limit(0), nothing).isEmpty()
+    index = warc_bundles.write_bundles(pages.limit(0), nothing)
+    assert index.isEmpty() and warc_bundles.read_bundles(index).isEmpty()
 
 
 PAGE = """<html><body class="home has-sidebar"><header class="top"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
