@@ -1,7 +1,7 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over a text's bytes: h = 2h + gear[byte] in 32 bits, so it depends on the last 32
-bytes only. A chunk ends where its top bits are zero, between LEAST and MOST bytes. Cut points follow the
+bytes only. A chunk ends where it is below 2^32 / CUT_ODDS, between LEAST and MOST bytes. Cut points follow the
 content: after an insertion the chunks soon fall into step again. Chunks are deduplicated by digest; a
 run of chunks that other places have too is a repeated passage, however many documents its chunks were first
 seen in. Each chunk's kept copy is the one with the smallest (document, offset).
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from quire.llm.words import mix, slices
 from quire.plans import scratch
 
-CUT_BITS = 4
+CUT_ODDS = 24
 LEAST, MOST = 16, 256
 REPORT_BYTES = 120
 _GEAR = (mix(np.arange(1001, 1001 + 256, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -44,7 +44,7 @@ def cuts(data: np.ndarray) -> list[int]:
     """Ends of the chunks of one text."""
     n = len(data)
     out, last = [], 0
-    for c in (np.flatnonzero(gear(data) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
+    for c in (np.flatnonzero(gear(data) < np.uint32((1 << 32) // CUT_ODDS)) + 1).tolist():
         while c - last > MOST:
             last += MOST
             out.append(last)
