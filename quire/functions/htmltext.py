@@ -33,6 +33,6 @@ def inject(source: Column, base: str, style: str) -> Column:
     based = F.when(low.rlike(r"<base[\s>]"), source).otherwise(F.concat(head, tag, F.substr(source, F.char_length(head) + 1)))
     lower = F.lower(based)
     sheet = F.lit(f"<style>{style}</style>")
-    close = F.instr(lower, "</head>")
-    end = F.when(close > 0, close).otherwise(F.instr(lower, "</body>"))
+    close, body = (F.regexp_instr(lower, F.lit(rf"</{t}\s*>")) for t in ("head", "body"))
+    end = F.when(close > 0, close).otherwise(body)
     return F.when(end > 0, F.concat(F.substr(based, F.lit(1), end - 1), sheet, F.substr(based, end))).otherwise(F.concat(based, sheet))

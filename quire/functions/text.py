@@ -107,3 +107,41 @@ def upper_median(values: Column) -> Column:
     """Element size / 2 of the sorted array: of an even number the upper middle one."""
     s = F.array_sort(values)
     return F.get(s, (F.size(s) / 2).cast("int"))
+
+
+def value_text(value: Column) -> Column:
+    """A number as text: whole if it is one within a millionth, else with up to two decimals."""
+    whole = F.abs(value - F.round(value)) < 1e-6
+    short = F.regexp_replace(F.format_string("%.2f", value), r"0+$", "")
+    return F.when(value.isNull(), "").when(whole, F.format_string("%.0f", value)).otherwise(F.regexp_replace(short, r"\.$", ""))
+
+
+def xml_escape(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def ellipsis(text: Column, most: int) -> Column:
+    """``text`` if it has at most ``most`` characters, else its beginning and …; '' if not even that fits."""
+    cut = F.concat(F.rtrim(F.left(text, F.lit(max(0, most - 1)))), F.lit("…")) if most > 0 else F.lit("")
+    return F.when(F.char_length(text) <= most, text).otherwise(cut)
+
+
+def sentence(items: Column) -> Column:
+    """'Removed a, b and c.' of an array; null if it is empty."""
+    rest, last = F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.element_at(items, -1)
+    listed = F.when(F.size(items) == 1, last).otherwise(F.concat(F.array_join(rest, ", "), F.lit(" and "), last))
+    return F.when(F.size(items) > 0, F.concat(F.lit("Removed "), listed, F.lit(".")))
+
+
+def path_of_file_url(url: Column) -> Column:
+    """The POSIX path that a file: URL names, or null; query and fragment don't belong to it."""
+    rest = F.regexp_extract(url, r"(?is)^file://([^?#]*)", 1)
+    path = F.regexp_replace(percent_decode(rest), r"^localhost", "")
+    return F.when(F.lower(F.left(url, F.lit(7))).eqNullSafe("file://") & F.startswith(path, F.lit("/")), path)
+
+
+def file_url_of_path(path: Column) -> Column:
+    """file: URL of an absolute POSIX path."""
+    return F.concat(F.lit("file://"), percent_encode(path))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.plans.blocks import free_number
+
 from quire.functions.ranges import pages_of
 
 
@@ -44,8 +46,18 @@ def uncovered(docs: DataFrame, specs: list[str]) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_except(F.sequence(F.lit(1), "n_pages"), covered)).alias("page_no"))
 
 
+def numbers_taken(names: DataFrame, key: str, name: str, form: str) -> DataFrame:
+    """(key, name, taken): for names that others follow in a numbered form (base, number), the sorted numbers from 2 on."""
+    found = names.distinct().where(F.col(name).rlike(form))
+    split = found.select(key, F.regexp_extract(name, form, 1).alias(name), F.regexp_extract(name, form, 2).cast("long").alias("n"))
+    return split.where("n > 1").groupBy(key, name).agg(F.sort_array(F.collect_list("n")).alias("taken"))
+
+
 def part_names(groups: DataFrame, stem: Column, pattern: str = "{name}-{n}") -> DataFrame:
-    """(doc_id, part, file): names of parts (doc_id, part, n_parts), numbers padded, clashes numbered."""
+    """(doc_id, part, file): names of parts (doc_id, part, n_parts), numbers padded, clashes numbered.
+
+    A clash takes the next number whose name no part of the document has.
+    """
     from quire.functions.text import safe_name
 
     if "{n}" not in pattern:
@@ -53,10 +65,11 @@ def part_names(groups: DataFrame, stem: Column, pattern: str = "{name}-{n}") ->
     digits = F.char_length(F.col("n_parts").cast("string"))
     name = F.replace(F.replace(F.lit(pattern), F.lit("{name}"), stem), F.lit("{n}"), F.lpad(F.col("part").cast("string"), digits, F.lit("0")))
     named = groups.withColumn("base", safe_name(name))
-    k = F.row_number().over(Window.partitionBy("doc_id", F.lower("base")).orderBy("part"))
-    return named.withColumn("k", k).select(
-        "doc_id", "part", F.when(F.col("k") == 1, F.col("base")).otherwise(F.format_string("%s (%d)", "base", "k")).alias("file")
-    )
+    low = named.withColumn("low", F.lower("base"))
+    k = F.row_number().over(Window.partitionBy("doc_id", "low").orderBy("part"))
+    taken = numbers_taken(low.select("doc_id", "low"), "doc_id", "low", r"^(.*) \(([1-9][0-9]{0,8})\)$")
+    fresh = F.concat(F.col("base"), F.lit(" ("), free_number(F.col("k"), F.col("taken")).cast("string"), F.lit(")"))
+    return low.withColumn("k", k).join(taken, ["doc_id", "low"], "left").select("doc_id", "part", F.when(F.col("k") == 1, F.col("base")).otherwise(fresh).alias("file"))
 
 
 def arrange(docs: DataFrame, order: str = "", delete: str | None = None, rotate: list[tuple[str, int]] = (), blank_after: list[int] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.plans.blocks import free_number, number_in_order
+
 from quire.functions.geometry import intersects
 from quire.plans import scratch
 
@@ -108,6 +110,15 @@ def siblings(nodes: DataFrame) -> DataFrame:
 
 
 def rename_clashes(fields: DataFrame) -> DataFrame:
-    """(file_ord, name, new_name): a name that an earlier file has too gets _2, _3, ... ."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("file_ord"))
-    return fields.withColumn("k", k).select("file_ord", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("k").cast("string"))).alias("new_name"))
+    """(file_ord, name, new_name): a name that an earlier file has too gets _2, _3, ... .
+
+    Numbers that would give a name of the input are left out, so new names are unique.
+    """
+    numbered = number_in_order(fields.select("file_ord", "name"), ["name"], "file_ord", "k")
+    form = r"^(.*)_([1-9][0-9]{0,8})$"
+    base, n = F.regexp_extract("name", form, 1), F.regexp_extract("name", form, 2)
+    names = fields.select("name").distinct().where(F.col("name").rlike(form)).select(base.alias("base"), n.cast("long").alias("n"))
+    taken = names.where("n > 1").groupBy("base").agg(F.sort_array(F.collect_list("n")).alias("taken"))
+    joined = numbered.join(taken, F.col("name") == F.col("base"), "left")
+    fresh = F.concat_ws("_", "name", free_number(F.col("k"), F.col("taken")).cast("string"))
+    return joined.select("file_ord", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(fresh).alias("new_name"))

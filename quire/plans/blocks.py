@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MOST_CUTS = 1000
 
@@ -72,6 +73,29 @@ def blocks_of(df: DataFrame, key: str, rows_per_block: int = 1000) -> Callable[[
     return block
 
 
+def number_in_order(df: DataFrame, group: list[str], order: str, name: str) -> DataFrame:
+    """``df`` with the row's number (from 1) in its group by a numeric column; ties in any order.
+
+    A group may hold all rows: windows run over its blocks, and over one row for each block.
+    """
+    rows = df.withColumn("_blk", blocks_of(df, order)(order))
+    keys = [*group, "_blk"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(k).alias(f"{k}_") for k in keys), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    own = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    joined = own.join(starts, same).withColumn(name, F.col("_start") + F.col("_k"))
+    return joined.drop("_blk", "_k", "_start", *(f"{k}_" for k in keys))
+
+
+def free_number(k: Column, taken: Column) -> Column:
+    """The k-th number that is not in the sorted array ``taken`` (null: none)."""
+    return F.aggregate(F.coalesce(taken, F.array().cast("array<long>")), k.cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+
+
 def last_at_most(edges: Column, key: Column) -> Column:
     """Number of elements of the sorted array ``edges`` that are at or below ``key``; a binary search in SQL."""
     steps = F.lit([1 << i for i in reversed(range(31))])

@@ -65,7 +65,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positioned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of printed part lists, one page per brand: (page, text, x0, y0, x1, y1)."""
+    """Words of printed part lists, fifty rows of a brand to a page: (page, text, x0, y0, x1, y1)."""
     part = table(spark, sf_dir, "part").select(
         "p_brand",
         F.row_number().over(_brand_order()).alias("row"),
@@ -76,7 +76,7 @@ def positioned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("cells"),
     )
     return part.select("p_brand", "row", F.explode("cells").alias("c")).select(
-        F.col("p_brand").alias("page"),
+        F.concat("p_brand", F.lit("/"), F.floor((F.col("row") - 1) / 50).cast("string")).alias("page"),
         F.col("c.w").alias("text"),
         F.col("c.x").alias("x0"),
         (F.col("row") * 14.0).alias("y0"),

@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 
 from quire.functions import csvtext
 from quire.functions.text import csv_field
+from quire.operators.arrange import numbers_taken
+from quire.plans.blocks import free_number
 
 # What a folder is searched for.
-EXTENSIONS = {"pdf", "png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp", "csv", "tsv", "txt", "html", "htm", "docx", "xlsx", "pptx", "odt", "ods", "odp"}
+EXTENSIONS = {"pdf", "png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp", "csv", "tsv", "txt", "html", "htm", "doc", "docx", "rtf", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp"}
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +53,11 @@ def csv_text(cells: DataFrame, key: str = "page") -> DataFrame:
 
 
 def unique_names(files: DataFrame) -> DataFrame:
-    """(name, ord, unique): 'x.pdf', 'x (2).pdf', ... for names given more than once."""
-    k = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("ord"))
+    """(name, ord, unique): 'x.pdf', 'x (2).pdf', ... for names given more than once, never a name that is given."""
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)?$", 1)
-    return files.withColumn("k", k).select("name", "ord", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("k").cast("string"), F.lit(")"), ext)).alias("unique"))
+    parts = files.select("name", "ord", stem.alias("stem"), ext.alias("ext"), F.lower(stem).alias("low"), F.lower(ext).alias("low_ext"))
+    k = F.row_number().over(Window.partitionBy("low", "low_ext").orderBy("ord"))
+    taken = numbers_taken(parts.select("low_ext", "low"), "low_ext", "low", r"^(.*) \(([1-9][0-9]{0,8})\)$")
+    named = parts.withColumn("k", k).join(taken, ["low_ext", "low"], "left")
+    fresh = F.concat("stem", F.lit(" ("), free_number(F.col("k"), F.col("taken")).cast("string"), F.lit(")"), "ext")
+    return named.select("name", "ord", F.when(F.col("k") == 1, F.col("name")).otherwise(fresh).alias("unique"))
