@@ -42,7 +42,7 @@ NUM, DEN = 4, 5
 WIDTH = 5
 NO_ID = -(1 << 62)
 FLUSH_TOKENS = 400_000
-BUCKET_DOCS = 8000
+BUCKET_DOCS, LEAST_BUCKETS = 8000, 64
 FEW = 8
 BLOCK = 128
 LINK_BLOCK = 256
@@ -348,7 +348,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(counted, member, sets of representatives, label): the join down to the components of its links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(4, docs.count() // BUCKET_DOCS)
+    buckets = max(LEAST_BUCKETS, docs.count() // BUCKET_DOCS)
     counted = scratch.write(
         docs.mapInArrow(_emit_tokens(buckets), "bucket int, kind int, ids binary, nums binary, vals binary")
         .groupBy("bucket")
