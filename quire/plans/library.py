@@ -328,7 +328,7 @@ def uniform_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w, range(1, 4) t(c) WHERE n >= 2""")
 def tables_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells found from positions alone; they equal the rows that were printed."""
-    return tables.detect(bridge.positioned_words(spark, sf_dir))
+    return tables.detect(bridge.positioned_words(spark, sf_dir, 50))
 
 
 @query("dedup_remap", """

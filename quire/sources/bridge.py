@@ -64,8 +64,8 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.unionByName(c).unionByName(n)
 
 
-def positioned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of printed part lists, fifty rows of a brand to a page: (page, text, x0, y0, x1, y1)."""
+def positioned_words(spark: SparkSession, sf_dir: str, page_rows: int | None = None) -> DataFrame:
+    """Words of printed part lists, a page per brand or per ``page_rows`` rows of one: (page, text, x0, y0, x1, y1)."""
     part = table(spark, sf_dir, "part").select(
         "p_brand",
         F.row_number().over(_brand_order()).alias("row"),
@@ -75,8 +75,11 @@ def positioned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit(260.0).alias("x"), F.col("p_size").cast("string").alias("w")),
         ).alias("cells"),
     )
+    page = F.col("p_brand")
+    if page_rows:
+        page = F.concat(page, F.lit("/"), F.floor((F.col("row") - 1) / page_rows).cast("string"))
     return part.select("p_brand", "row", F.explode("cells").alias("c")).select(
-        F.concat("p_brand", F.lit("/"), F.floor((F.col("row") - 1) / 50).cast("string")).alias("page"),
+        page.alias("page"),
         F.col("c.w").alias("text"),
         F.col("c.x").alias("x0"),
         (F.col("row") * 14.0).alias("y0"),
