@@ -6,8 +6,8 @@ common order of shingles two partners meet in their prefixes.
 
 1. *Count filter.* Under hash order each document gives a prefix that is longer by ``ell(n)`` than
    the plain one; partners share at least ``ell`` tokens of it. Tokens are counted in hash buckets
-   (packed arrays; a token that repeats inside a task is counted there and sent once), and
-   documents with too few shared tokens have no partner.
+   (packed arrays; a token that repeats inside a task is counted there and sent once), added up in
+   parts of the documents (packed again), and documents with too few shared tokens have no partner.
 2. *Sets.* The others' whole sets are built; equal sets collapse to one representative.
 3. *Grouped prefix join.* With the shingles ordered rare first, documents of one size and one
    prefix form a group. Group pairs come from prefix tokens that two groups share, filtered by size
@@ -124,32 +124,63 @@ def _emit_tokens(buckets: int):
     return run
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """Shared tokens of one bucket, added up by document."""
-    ids, sizes, shared, rows = [], [], [], []
-    owner, token = [], []
-    for kind, i, n, v in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "nums", "vals")), strict=True):
-        i, n = np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)
-        if kind == 0:
-            ids.append(i)
-            sizes.append(n)
-            shared.append(np.frombuffer(v, np.int32))
-            rows.append(np.ones(len(i), np.int32))
-        else:
-            owner.append(np.repeat(i, n))
-            token.append(np.frombuffer(v, np.uint32))
-    if owner:
-        owner, token = np.concatenate(owner), np.concatenate(token)
-        order = np.argsort(token, kind="stable")
-        owner, token = owner[order], token[order]
-        same = token[1:] == token[:-1]
-        both = np.append(same, False) | np.append(False, same)
-        who, times = np.unique(owner[both & (owner != NO_ID)], return_counts=True)
-        ids.append(who)
-        sizes.append(np.zeros(len(who), np.int32))
-        shared.append(times.astype(np.int32))
-        rows.append(np.zeros(len(who), np.int32))
-    return pa.table({"doc": np.concatenate(ids), "n": np.concatenate(sizes), "shared": np.concatenate(shared), "rows": np.concatenate(rows)})
+def _sums(ids: list, columns: list[list]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct ids in order, the greatest of the first column for each, and the sums of the others."""
+    who, at = np.unique(np.concatenate(ids), return_inverse=True)
+    n, *counts = (np.concatenate(c).astype(np.int64) for c in columns)
+    most = np.zeros(len(who), np.int64)
+    np.maximum.at(most, at, n)
+    added = [np.zeros(len(who), np.int64) for _ in counts]
+    for a, c in zip(added, counts, strict=True):
+        np.add.at(a, at, c)
+    return who, [most, *added]
+
+
+def _count_bucket(buckets: int):
+    """Shared tokens of one bucket added up by document, packed into one row for each part of the documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes, shared, rows = [], [], [], []
+        owner, token = [], []
+        for kind, i, n, v in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "nums", "vals")), strict=True):
+            i, n = np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)
+            if kind == 0:
+                ids.append(i)
+                sizes.append(n)
+                shared.append(np.frombuffer(v, np.int32))
+                rows.append(np.ones(len(i), np.int32))
+            else:
+                owner.append(np.repeat(i, n))
+                token.append(np.frombuffer(v, np.uint32))
+        if owner:
+            owner, token = np.concatenate(owner), np.concatenate(token)
+            order = np.argsort(token, kind="stable")
+            owner, token = owner[order], token[order]
+            same = token[1:] == token[:-1]
+            both = np.append(same, False) | np.append(False, same)
+            who, times = np.unique(owner[both & (owner != NO_ID)], return_counts=True)
+            ids.append(who)
+            sizes.append(np.zeros(len(who), np.int32))
+            shared.append(times.astype(np.int32))
+            rows.append(np.zeros(len(who), np.int32))
+        who, values = _sums(ids, [sizes, shared, rows])
+        part = mix(who.view(np.uint64)) % np.uint64(buckets)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        found = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        packed = [[_packed(x) for x in np.split(c[order], found[1:])] if len(part) else [] for c in (who, *values)]
+        return pa.table(
+            [pa.array(part[found].astype(np.int64)), *(pa.array(c, pa.binary()) for c in packed)], names=["part", "ids", "n", "shared", "rows"]
+        )
+
+    return run
+
+
+def _count_part(table: pa.Table) -> pa.Table:
+    """What all buckets counted of one part of the documents, added up."""
+    ids, *columns = ([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)] for c in ("ids", "n", "shared", "rows"))
+    who, (n, shared, rows) = _sums(ids, columns)
+    return pa.table({"doc": pa.array(who), "n": pa.array(n.astype(np.int32)), "shared": pa.array(shared), "rows": pa.array(rows)})
 
 
 def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +383,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     counted = scratch.write(
         docs.mapInArrow(_emit_tokens(buckets), "bucket int, kind int, ids binary, nums binary, vals binary")
         .groupBy("bucket")
-        .applyInArrow(_count_bucket, "doc long, n int, shared int, rows int")
-        .groupBy("doc")
-        .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.sum("rows").alias("rows")),
+        .applyInArrow(_count_bucket(buckets), "part long, ids binary, n binary, shared binary, rows binary")
+        .groupBy("part")
+        .applyInArrow(_count_part, "doc long, n int, shared long, rows long"),
         "counted",
     )
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
