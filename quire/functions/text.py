@@ -145,3 +145,38 @@ def path_of_file_url(url: Column) -> Column:
 def file_url_of_path(path: Column) -> Column:
     """file: URL of an absolute POSIX path."""
     return F.concat(F.lit("file://"), percent_encode(path))
+
+
+# Primary language tags and the recogniser's codes for them.
+LANGUAGES = {
+    "ar": "ara", "bg": "bul", "bn": "ben", "ca": "cat", "cs": "ces", "da": "dan", "de": "deu", "el": "ell",
+    "en": "eng", "es": "spa", "et": "est", "fa": "fas", "fi": "fin", "fr": "fra", "he": "heb", "hi": "hin",
+    "hr": "hrv", "hu": "hun", "id": "ind", "it": "ita", "ja": "jpn", "ko": "kor", "lt": "lit", "lv": "lav",
+    "nb": "nor", "nl": "nld", "no": "nor", "pl": "pol", "pt": "por", "ro": "ron", "ru": "rus", "sk": "slk",
+    "sl": "slv", "sr": "srp", "sv": "swe", "ta": "tam", "th": "tha", "tr": "tur", "uk": "ukr", "vi": "vie",
+}
+
+
+def language_code(tag: Column) -> Column:
+    """A recogniser's code of a language tag: by its primary part; Chinese by its script; codes stay as they are."""
+    pairs = [F.lit(x) for pair in LANGUAGES.items() for x in pair]
+    known = F.trim(tag)
+    low = F.lower(known)
+    is_code = known.rlike("[+_]") | ((F.octet_length(known) == 3) & ~known.contains("-"))
+    chinese = F.when(low.rlike("hant|-(tw|hk|mo)$"), "chi_tra").otherwise("chi_sim")
+    found = F.try_element_at(F.create_map(*pairs), F.split_part(low, F.lit("-"), F.lit(1)))
+    return F.when(low.startswith("zh"), chinese).when(is_code, known).otherwise(F.coalesce(found, known))
+
+
+def password_problem(user: Column, owner: Column, short: Column) -> Column:
+    """Why passwords can't be used (missing, letters, length), null if they can; ``short``: 128-bit encryption.
+
+    That takes printable ASCII of at most 32 letters, the other at most 127 bytes. An empty owner's password is the user's.
+    """
+    user = F.coalesce(user, F.lit(""))
+    owner = F.coalesce(F.nullif(owner, F.lit("")), user)
+    most = F.greatest(F.octet_length(user), F.octet_length(owner))
+    strange = ~F.concat(user, owner).rlike("^[\\x20-\\x7e]*\\z")
+    return (
+        F.when(most == 0, "missing").when(short & strange, "letters").when(most > F.when(short, 32).otherwise(127), "length")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +77,36 @@ def summary(old: DataFrame, new: DataFrame) -> DataFrame:
         F.coalesce("added_lines", F.lit(0)).alias("added_lines"),
         F.col("pages").isNull().alias("identical"),
     )
+
+
+def unified_diff(old: DataFrame, new: DataFrame, context: int = 2) -> DataFrame:
+    """(doc_id, page_no, diff): of each page that changed, a unified diff with ``context`` lines around changes."""
+    empty = F.array().cast("array<string>")
+    both = page_texts(old, "old").join(page_texts(new, "new"), ["doc_id", "page_no"], "full")
+    changed = both.where(~F.col("old").eqNullSafe(F.col("new"))).select("doc_id", "page_no", *(F.coalesce(c, empty).alias(c) for c in ("old", "new")))
+
+    @F.pandas_udf("string")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        hunks = (difflib.unified_diff(list(x), list(y), n=context, lineterm="") for x, y in zip(a, b, strict=True))
+        return pd.Series(["\n".join(list(h)[2:]) for h in hunks])  # without the two lines of file names
+
+    return changed.select("doc_id", "page_no", diff("old", "new").alias("diff"))
+
+
+def page_report(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, old_pages, new_pages, changed, report): page counts, changed pages in order, and all as one JSON text."""
+    found = presence(old, new).groupBy("doc_id").agg(
+        F.count_if(F.col("presence") != "added").alias("old_pages"),
+        F.count_if(F.col("presence") != "removed").alias("new_pages"),
+        F.array_sort(F.collect_list(F.when(F.col("text_changed"), F.col("page_no")))).alias("changed"),
+    )
+    return found.withColumn("report", F.to_json(F.struct("doc_id", "old_pages", "new_pages", "changed")))
+
+
+def text_report(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, report): a heading with page counts and the unified diffs of the changed pages in order."""
+    diffs = unified_diff(old, new).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "diff"))).alias("diffs"))
+    parts = F.transform("diffs", lambda d: F.concat(F.lit("Page "), d["page_no"], F.lit("\n"), d["diff"], F.lit("\n")))
+    head = F.concat(F.lit("Comparison\nOld: "), "old_pages", F.lit(" pages\nNew: "), "new_pages", F.lit(" pages\n\n"))
+    verdict = F.coalesce(F.array_join(parts, "\n"), F.lit("No differences were found.\n"))
+    return page_report(old, new).join(diffs, "doc_id", "left").select("doc_id", F.concat(head, verdict).alias("report"))

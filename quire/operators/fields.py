@@ -122,3 +122,16 @@ def rename_clashes(fields: DataFrame) -> DataFrame:
     joined = numbered.join(taken, F.col("name") == F.col("base"), "left")
     fresh = F.concat_ws("_", "name", free_number(F.col("k"), F.col("taken")).cast("string"))
     return joined.select("file_ord", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(fresh).alias("new_name"))
+
+
+def display_values(fields: DataFrame, options: DataFrame) -> DataFrame:
+    """``fields`` (field, kind, value as an array of texts) with shown: for a choice the display text of its option.
+
+    The values that are not empty are joined by comma and blank. Of options (field, idx, export, display) with
+    one export text the first counts; a value without an option is shown as it is.
+    """
+    joined = F.array_join(F.filter("value", lambda v: v != ""), ", ")
+    first = options.groupBy("field", F.col("export").alias("_text")).agg(F.min_by("display", "idx").alias("_shown"))
+    found = fields.withColumn("_text", joined).join(first, ["field", "_text"], "left")
+    shown = F.when(F.col("kind") == "choice", F.coalesce("_shown", "_text")).otherwise(F.col("_text"))
+    return found.select(*fields.columns, F.coalesce(shown, F.lit("")).alias("shown"))

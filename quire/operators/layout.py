@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,3 +57,38 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         .join(median, "page")
         .select("page", "line_no", "text", "joins", (F.col("size") > HEADING * F.col("median")).alias("heading"))
     )
+
+
+def reading_order(words: DataFrame) -> DataFrame:
+    """``words`` (page, x0, y0, y1, ..) with row and place: the row on the page from the top, and the place in reading order.
+
+    Words in the order of their centres start a new row where the centre lies more than SAME_ROW of the
+    larger height below the one before; a row reads from left to right. Ties go by x0, then by text. Pages
+    are windows of their own; words without a position come first on their page.
+    """
+    down = Window.partitionBy("page").orderBy("_mid", "x0", "text")
+    far = F.col("_mid") - F.lag("_mid").over(down) > SAME_ROW * F.greatest("_size", F.lag("_size").over(down))
+    sized = words.withColumn("_mid", (F.col("y0") + F.col("y1")) / 2).withColumn("_size", F.col("y1") - F.col("y0"))
+    rows = sized.withColumn("_new", far.cast("int")).withColumn("row", (F.coalesce(F.sum("_new").over(down), F.lit(0)) + 1).cast("int"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("row", "x0", "_mid", "text"))
+    return rows.withColumn("place", place).drop("_mid", "_size", "_new")
+
+
+def place_marks(lines: DataFrame, labels: Column, per_page: int, pitch: float = 14.0, advance: float = 5.0) -> DataFrame:
+    """Marks with rectangles, numbered down each document: (doc_id, mark_no, page_no, label, x0, y0, x1, y1).
+
+    ``labels`` are the texts found on a line, in its order; each is looked for after the end of the one before.
+    Lines stand ``pitch`` apart, letters ``advance`` wide. Marks go by page, then from the top, then from the left.
+    """
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,label:string>>").alias("out"))
+
+    def step(done: Column, label: Column) -> Column:
+        at = F.position(label, F.col("text"), done["at"])
+        return F.struct((at + F.char_length(label)).alias("at"), F.concat(done["out"], F.array(F.struct(at.alias("at"), label.alias("label")))).alias("out"))
+
+    each = lines.select("doc_id", "page_no", "line_no", F.explode(F.aggregate(labels, start, step, lambda done: done["out"])).alias("m"))
+    x0, y0 = (F.col("m.at") - 1) * advance, ((F.col("line_no") - 1) % per_page) * pitch
+    placed = each.select(
+        "doc_id", "page_no", F.col("m.label").alias("label"), x0.alias("x0"), y0.alias("y0"), (x0 + F.char_length("m.label") * advance).alias("x1"), (y0 + pitch).alias("y1")
+    )
+    return placed.withColumn("mark_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "y0", "x0")))

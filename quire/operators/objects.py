@@ -144,3 +144,31 @@ def tile_centres(pages: DataFrame, angle: float) -> DataFrame:
 def without_redacted(fields: DataFrame, marks: DataFrame) -> DataFrame:
     """Fields (doc_id, page_no, ...) of pages that no mark is on."""
     return fields.join(marks.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+
+
+def rule_report(rows: DataFrame, key: str) -> DataFrame:
+    """What keeps each file from the archive rules, by reason: (key, fonts, cmyk, bare_annotations, keepable, summary).
+
+    ``rows`` has kind (font, colour or annotation), name, and ok: the font is embedded, the colour is not
+    CMYK, the annotation has an appearance. One aggregation; names come sorted and once.
+    """
+    bad = ~F.coalesce("ok", F.lit(False))
+    found = rows.groupBy(key).agg(
+        F.array_sort(F.collect_set(F.when(bad & (F.col("kind") == "font"), F.col("name")))).alias("names"),
+        F.count_if(bad & (F.col("kind") == "colour")).alias("colours"),
+        F.count_if(bad & (F.col("kind") == "annotation")).alias("bare_annotations"),
+    )
+    n, bare = F.size("names"), F.col("bare_annotations")
+    fonts = F.when(n == 1, F.concat(F.lit("the font "), F.get("names", F.lit(0)), F.lit(" is not embedded"))).when(
+        n > 1, F.concat(n.cast("string"), F.lit(" fonts are not embedded ("), F.array_join("names", ", "), F.lit(")"))
+    )
+    colour = F.when(F.col("colours") > 0, "it uses CMYK colour without a colour profile")
+    notes = F.when(bare == 1, "1 annotation has no fixed appearance").when(bare > 1, F.concat(bare.cast("string"), F.lit(" annotations have no fixed appearance")))
+    return found.select(
+        key,
+        F.array_join("names", ", ").alias("fonts"),
+        (F.col("colours") > 0).alias("cmyk"),
+        "bare_annotations",
+        ((n == 0) & (F.col("colours") == 0) & (bare == 0)).alias("keepable"),
+        F.concat_ws("; ", fonts, colour, notes).alias("summary"),
+    )

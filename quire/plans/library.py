@@ -276,7 +276,13 @@ def compare_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.line_diff(old, bridge.new_version(old))
 
 
-@query("compare_summary")
+@query("compare_summary", f"""
+    WITH {S_NEW},
+    gone AS (SELECT * FROM lines EXCEPT SELECT * FROM newer), come AS (SELECT * FROM newer EXCEPT SELECT * FROM lines),
+    c AS (SELECT doc_id, page_no, 1 AS removed, 0 AS added FROM gone UNION ALL SELECT doc_id, page_no, 0, 1 FROM come)
+    SELECT d.doc_id, coalesce(array_to_string(list_sort(list(DISTINCT page_no) FILTER (WHERE page_no IS NOT NULL)), ','), '') AS changed_pages,
+           coalesce(sum(removed), 0)::BIGINT AS removed_lines, coalesce(sum(added), 0)::BIGINT AS added_lines, count(page_no) = 0 AS identical
+    FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = bridge.lines(spark, sf_dir)
     return compare.summary(old, bridge.new_version(old))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,14 @@ def unique_names(files: DataFrame) -> DataFrame:
     named = parts.withColumn("k", k).join(taken, ["low_ext", "low"], "left")
     fresh = F.concat("stem", F.lit(" ("), free_number(F.col("k"), F.col("taken")).cast("string"), F.lit(")"), "ext")
     return named.select("name", "ord", F.when(F.col("k") == 1, F.col("name")).otherwise(fresh).alias("unique"))
+
+
+def write_reports(reports: DataFrame, path: str, column: str = "report") -> None:
+    """Write a column of report texts (JSON texts are one line each) as text files below ``path``."""
+    reports.select(column).write.text(path)
+
+
+def guard_output(inputs: list[str], out: str) -> None:
+    """Raise ValueError if ``out`` is one of the inputs, also by another spelling or link."""
+    if os.path.realpath(out) in {os.path.realpath(p) for p in inputs}:
+        raise ValueError(f"{out} is also an input; choose another name")
