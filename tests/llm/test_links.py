@@ -31,3 +31,29 @@ def test_every_link_inside_a_component_counts(spark, monkeypatch):
     assert [(r["class_id"], r["n_links"]) for r in rows if r["doc_id"] is None] == [(None, None)] * 2
     short = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
     assert {r["doc_id"]: r["component_id"] for r in rows} == short
+
+
+def test_shared_tokens_of_parts_equal_a_plain_count():
+    """All buckets' packed sums, added up by part, against counting tokens one by one; ids repeat, sets are empty."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quire.llm import jaccard_join as j
+
+    rng, buckets = np.random.default_rng(5), 7
+    docs = [(int(i), np.unique(rng.integers(0, 60, rng.integers(0, 9))).astype(np.uint64)) for i in rng.integers(0, 40, 90)]
+    tasks = [pa.Table.from_batches([j._pack([i for i, _ in p], [len(t) for _, t in p], [t for _, t in p], buckets)]) for p in (docs[:30], docs[30:60], docs[60:])]
+    sent = pa.concat_tables(tasks)
+
+    def groups(table, key):
+        k = np.array(table.column(key))
+        return [table.filter(pa.array(k == b)) for b in np.unique(k)]
+
+    packed = pa.concat_tables([j._count_bucket(buckets)(t) for t in groups(sent, "bucket")])
+    assert len(packed) <= buckets * buckets
+    got = [r for t in groups(packed, "part") for r in j._count_part(t).to_pylist()]
+    times = Counter(t for _, s in docs for t in s.tolist())
+    want = {i: (max(len(s) for k, s in docs if k == i), sum(times[t] > 1 for k, s in docs if k == i for t in s.tolist()), sum(k == i for k, _ in docs)) for i, _ in docs}
+    assert {r["doc"]: (r["n"], r["shared"], r["rows"]) for r in got} == want and len(got) == len(want)
