@@ -8,6 +8,9 @@ common order of shingles two partners meet in their prefixes.
    the plain one; partners share at least ``ell`` tokens of it. Tokens are counted in hash buckets
    (packed arrays; a token that repeats inside a task is counted there and sent once), added up in
    parts of the documents (packed again), and documents with too few shared tokens have no partner.
+   Both exchanges go digit by digit: a row packs what goes to one of FAN next places, and what is packed for
+   one place is gathered before it is cut again. So rows grow in proportion to the documents, and their
+   number a document is FAN / BUCKET_DOCS for each digit, however many buckets there are.
 2. *Sets.* The others' whole sets are built; equal sets collapse to one representative.
 3. *Grouped prefix join.* With the shingles ordered rare first, documents of one size and one
    prefix form a group. Group pairs come from prefix tokens that two groups share, filtered by size
@@ -25,11 +28,12 @@ common order of shingles two partners meet in their prefixes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +46,7 @@ NUM, DEN = 4, 5
 WIDTH = 5
 NO_ID = -(1 << 62)
 FLUSH_TOKENS = 400_000
-BUCKET_DOCS, LEAST_BUCKETS = 8000, 64
+BUCKET_DOCS, FAN = 8000, 64
 FEW = 8
 BLOCK = 128
 LINK_BLOCK = 256
@@ -61,8 +65,50 @@ def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def _pack(ids: list, sizes: list, tokens: list, buckets: int) -> pa.RecordBatch:
-    """One row of sizes and counts known at once, and one row of packed tokens for each bucket."""
+def digits(docs: int) -> list[int]:
+    """The bases of the digits that name a bucket: FAN each, the last one less if there are several."""
+    buckets, fans = max(1, docs // BUCKET_DOCS), []
+    while FAN ** (len(fans) + 1) < buckets:
+        fans.append(FAN)
+    return [*fans, -(-buckets // FAN ** len(fans)) if fans else FAN]
+
+
+def _lots(fans: list[int], level: int) -> int:
+    """Groups that rows of one place are gathered in when ``level`` digits are left to be read."""
+    return math.prod(fans[len(fans) - level :]) if level else 1
+
+
+def _digit(x: np.ndarray, fans: list[int], k: int) -> np.ndarray:
+    return ((x >> np.uint64(32)) // np.uint64(math.prod(fans[:k])) % np.uint64(fans[k])).astype(np.int64)
+
+
+def _split_tokens(owner: np.ndarray, token: np.ndarray, fans: list[int], k: int, at: int, lot: int) -> Iterator[tuple]:
+    """Rows of packed tokens by their k-th digit: each owner once, its number of tokens, and the tokens."""
+    digit = _digit(token, fans, k)
+    order = np.lexsort((owner, digit))
+    digit, owner, token = digit[order], owner[order], token[order]
+    edge = np.searchsorted(digit, np.arange(fans[k] + 1))
+    kept = token.astype(np.uint32) if k + 1 == len(fans) else token  # the high half is for the next digits
+    for d in np.flatnonzero(np.diff(edge)).tolist():
+        own = owner[edge[d] : edge[d + 1]]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        times = np.diff(np.append(first, len(own))).astype(np.int32)
+        yield at * fans[k] + d, lot, 1, _packed(own[first]), _packed(times), _packed(kept[edge[d] : edge[d + 1]])
+
+
+TOKENS = "at long, lot long, kind int, ids binary, nums binary, vals binary"
+COUNTS = "at long, lot long, ids binary, n binary, shared binary, rows binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def _pack(ids: list, sizes: list, tokens: list, fans: list[int]) -> pa.RecordBatch:
+    """One row of sizes and counts known at once, and one row of packed tokens for each first digit."""
     ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int32)
     token = np.concatenate(tokens)
     row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in tokens])
@@ -74,30 +120,15 @@ def _pack(ids: list, sizes: list, tokens: list, buckets: int) -> pa.RecordBatch:
     many = np.repeat(copies >= 3, copies)
     known = np.bincount(row[many], minlength=len(ids)).astype(np.int32)
     send = ~many | new
-    owner = np.where(many, -1, row)[send]  # -1 stands for rows that are counted already
-    token = mix(token[send])
-    bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((owner, bucket))
-    token, bucket, owner = token[order].astype(np.uint32), bucket[order], owner[order]
-    out = [[int(ids[0] % buckets)], [0], [_packed(ids)], [_packed(sizes)], [_packed(known)]]
-    edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        own = owner[edge[b] : edge[b + 1]]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        who = own[at]
-        out[0].append(b)
-        out[1].append(1)
-        out[2].append(_packed(np.where(who < 0, NO_ID, ids[who])))
-        out[3].append(_packed(np.diff(np.append(at, len(own))).astype(np.int32)))
-        out[4].append(_packed(token[edge[b] : edge[b + 1]]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])],
-        names=["bucket", "kind", "ids", "nums", "vals"],
-    )
+    owner = np.where(many[send], NO_ID, ids[row[send]])  # NO_ID stands for rows that are counted already
+    lot = int(mix(ids[:1].view(np.uint64))[0] % np.uint64(_lots(fans, len(fans) - 1)))
+    rows = [(int(ids[0] % fans[0]), lot, 0, _packed(ids), _packed(sizes), _packed(known))]
+    rows += _split_tokens(owner, mix(token[send]), fans, 0, 0, lot)
+    return _batch(rows, TOKENS)
 
 
-def _emit_tokens(buckets: int):
-    """Map side of the count filter: packed prefix tokens by bucket, and what is known at once."""
+def _emit_tokens(fans: list[int]):
+    """Map side of the count filter: packed prefix tokens by the bucket's first digit, and what is known at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,10 +147,36 @@ def _emit_tokens(buckets: int):
                     tokens.append(s[: n - alpha(n) + ell(n)] if n else s)
                     held += len(tokens[-1])
                 if held >= FLUSH_TOKENS:
-                    yield _pack(ids, sizes, tokens, buckets)
+                    yield _pack(ids, sizes, tokens, fans)
                     ids, sizes, tokens, held = [], [], [], 0
         if ids:
-            yield _pack(ids, sizes, tokens, buckets)
+            yield _pack(ids, sizes, tokens, fans)
+
+    return run
+
+
+def _tokens_of(table: pa.Table, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and tokens of packed rows."""
+    owner, token = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32 if last else np.uint64)]
+    for kind, i, n, v in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "nums", "vals")), strict=True):
+        if kind == 1:
+            owner.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)))
+            token.append(np.frombuffer(v, token[0].dtype))
+    return np.concatenate(owner), np.concatenate(token)
+
+
+def _route_tokens(fans: list[int], k: int):
+    """What was gathered for one place, cut by the k-th digit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at, lot = table.column("at")[0].as_py(), table.column("lot")[0].as_py()
+        rows = [
+            (at * fans[k] + j % fans[k], lot // fans[k], 0, *x)
+            for j, (kind, *x) in enumerate(zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "nums", "vals")), strict=True))
+            if kind == 0
+        ]
+        rows += _split_tokens(*_tokens_of(table, False), fans, k, at, lot // fans[k])
+        return pa.Table.from_batches([_batch(rows, TOKENS)])
 
     return run
 
@@ -136,53 +193,75 @@ def _sums(ids: list, columns: list[list]) -> tuple[np.ndarray, list[np.ndarray]]
     return who, [most, *added]
 
 
-def _count_bucket(buckets: int):
-    """Shared tokens of one bucket added up by document, packed into one row for each part of the documents."""
+def _split_counts(who: np.ndarray, values: list[np.ndarray], fans: list[int], k: int, at: int, lot: int) -> pa.Table:
+    """Rows of packed counts by the k-th digit of the documents' parts."""
+    digit = _digit(mix(who.view(np.uint64)), fans, k)
+    order = np.argsort(digit, kind="stable")
+    edge = np.searchsorted(digit[order], np.arange(fans[k] + 1))
+    columns = [c[order] for c in (who, *values)]
+    rows = [(at * fans[k] + d, lot, *(_packed(c[edge[d] : edge[d + 1]]) for c in columns)) for d in np.flatnonzero(np.diff(edge)).tolist()]
+    return pa.Table.from_batches([_batch(rows, COUNTS)])
+
+
+def _count_bucket(fans: list[int]):
+    """Shared tokens of one bucket added up by document, packed by the first digit of the documents' parts."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes, shared, rows = [], [], [], []
-        owner, token = [], []
         for kind, i, n, v in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "nums", "vals")), strict=True):
-            i, n = np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)
             if kind == 0:
-                ids.append(i)
-                sizes.append(n)
+                ids.append(np.frombuffer(i, np.int64))
+                sizes.append(np.frombuffer(n, np.int32))
                 shared.append(np.frombuffer(v, np.int32))
-                rows.append(np.ones(len(i), np.int32))
-            else:
-                owner.append(np.repeat(i, n))
-                token.append(np.frombuffer(v, np.uint32))
-        if owner:
-            owner, token = np.concatenate(owner), np.concatenate(token)
-            order = np.argsort(token, kind="stable")
-            owner, token = owner[order], token[order]
-            same = token[1:] == token[:-1]
-            both = np.append(same, False) | np.append(False, same)
-            who, times = np.unique(owner[both & (owner != NO_ID)], return_counts=True)
-            ids.append(who)
-            sizes.append(np.zeros(len(who), np.int32))
-            shared.append(times.astype(np.int32))
-            rows.append(np.zeros(len(who), np.int32))
+                rows.append(np.ones(len(ids[-1]), np.int32))
+        owner, token = _tokens_of(table, True)
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        same = token[1:] == token[:-1]
+        both = (np.append(same, False) | np.append(False, same))[: len(owner)]
+        who, times = np.unique(owner[both & (owner != NO_ID)], return_counts=True)
+        ids.append(who)
+        sizes.append(np.zeros(len(who), np.int32))
+        shared.append(times.astype(np.int32))
+        rows.append(np.zeros(len(who), np.int32))
         who, values = _sums(ids, [sizes, shared, rows])
-        part = mix(who.view(np.uint64)) % np.uint64(buckets)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        found = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-        packed = [[_packed(x) for x in np.split(c[order], found[1:])] if len(part) else [] for c in (who, *values)]
-        return pa.table(
-            [pa.array(part[found].astype(np.int64)), *(pa.array(c, pa.binary()) for c in packed)], names=["part", "ids", "n", "shared", "rows"]
-        )
+        return _split_counts(who, values, fans, 0, 0, table.column("at")[0].as_py() % _lots(fans, len(fans) - 1))
+
+    return run
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, *columns = ([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)] for c in ("ids", "n", "shared", "rows"))
+    return _sums(ids, columns)
+
+
+def _route_counts(fans: list[int], k: int):
+    """Counts gathered for one place, added up and cut by the k-th digit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at, lot = table.column("at")[0].as_py(), table.column("lot")[0].as_py()
+        return _split_counts(*_added(table), fans, k, at, lot // fans[k])
 
     return run
 
 
 def _count_part(table: pa.Table) -> pa.Table:
     """What all buckets counted of one part of the documents, added up."""
-    ids, *columns = ([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)] for c in ("ids", "n", "shared", "rows"))
-    who, (n, shared, rows) = _sums(ids, columns)
+    who, (n, shared, rows) = _added(table)
     return pa.table({"doc": pa.array(who), "n": pa.array(n.astype(np.int32)), "shared": pa.array(shared), "rows": pa.array(rows)})
 
 
+def shared_tokens(docs: DataFrame, fans: list[int]) -> DataFrame:
+    """(doc, n, shared, rows): a document's shingles, its prefix tokens that others have too, and its rows."""
+    rows = docs.mapInArrow(_emit_tokens(fans), TOKENS)
+    for k in range(1, len(fans)):
+        rows = rows.groupBy("at", "lot").applyInArrow(_route_tokens(fans, k), TOKENS)
+    rows = rows.groupBy("at", "lot").applyInArrow(_count_bucket(fans), COUNTS)
+    for k in range(1, len(fans)):
+        rows = rows.groupBy("at", "lot").applyInArrow(_route_counts(fans, k), COUNTS)
+    return rows.groupBy("at", "lot").applyInArrow(_count_part, "doc long, n int, shared long, rows long")
+
+
 def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
@@ -197,20 +276,23 @@ def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc", "n", "sig1", "sig2", "hashes"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        good = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            good[i] = common * DEN >= (len(x) + len(y) - common) * NUM
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _verify(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            good = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                good[i] = common * den >= (len(x) + len(y) - common) * num
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+
+    return run
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, name: str, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough; only sets of paired documents move."""
     pairs = scratch.write(pairs, f"{name}_pairs")
     used = scratch.write(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), f"{name}_used")
@@ -218,10 +300,10 @@ def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify, "a long, b long")
+    return both.mapInArrow(_verify(num, den), "a long, b long")
 
 
-def _alike(table: pa.Table) -> np.ndarray:
+def _alike(table: pa.Table, num: int, den: int) -> np.ndarray:
     """Which sets of a task link with which, by matrix products."""
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
     size = np.array([len(s) for s in sets])
@@ -239,25 +321,28 @@ def _alike(table: pa.Table) -> np.ndarray:
         part[row[x:y], col[x:y] - c] = 1
         common += part @ part.T
     common = np.rint(common).astype(np.int64)
-    good = common * DEN >= (size[:, None] + size[None, :] - common) * NUM
-    return good
+    return common * den >= (size[:, None] + size[None, :] - common) * num
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(num: int, den: int):
     """Links between the two sides of one pair of blocks, or inside one block."""
-    side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc", "c"))
-    good = _alike(table)
-    good &= comp[:, None] != comp[None, :]
-    good &= (side[:, None] < side[None, :]) | (side.min() == side.max())
-    a, b = np.nonzero(good)
-    return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b])})
+
+    def run(table: pa.Table) -> pa.Table:
+        side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc", "c"))
+        good = _alike(table, num, den)
+        good &= comp[:, None] != comp[None, :]
+        good &= (side[:, None] < side[None, :]) | (side.min() == side.max())
+        a, b = np.nonzero(good)
+        return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b])})
+
+    return run
 
 
 def _block_counts(table: pa.Table) -> pa.Table:
     """Documents that each set of one pair of blocks, or of one block, links with there."""
     side, doc, size = (table.column(c).to_numpy() for c in ("side", "doc", "size"))
-    good = _alike(table)
-    if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+    good = _alike(table, NUM, DEN)
+    if all(table.column(f"i{x}")[0] == table.column(f"j{x}")[0] for x in "kzm"):
         np.fill_diagonal(good, False)
     else:
         good &= side[:, None] != side[None, :]
@@ -265,35 +350,60 @@ def _block_counts(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc[links > 0]), "links": pa.array(links[links > 0])})
 
 
-def _dense_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def dense_links(rest: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Links across components in buckets of many documents.
 
     Buckets of one main component are one cluster. Its documents outside that component are cut into
-    blocks of about BLOCK and meet each other's blocks and those of the main component: all pairs are
-    verified on whole sets, block against block, and only links become rows.
+    blocks of about BLOCK and meet each other's blocks and those of the main component: all pairs that
+    sizes allow are verified on whole sets, block against block, and only links become rows.
     """
-    return _block_pairs(rest, sets.select("doc", "hashes"), BLOCK).applyInArrow(_block_links, "a long, b long")
+    return _block_pairs(rest, sets.select("doc", "hashes"), BLOCK, num, den).applyInArrow(_block_links(num, den), "a long, b long")
 
 
-def _block_pairs(rest: DataFrame, sets: DataFrame, block: int):
-    """The sets of each pair of blocks of a cluster ``main``, but not of two blocks of its main component."""
+def _block_pairs(rest: DataFrame, sets: DataFrame, block: int, num: int = NUM, den: int = DEN):
+    """The sets of each pair of blocks of a cluster ``main``, but not of two blocks of its main component.
+
+    Blocks hold sets of one size class z. Sets that link differ in size by at most den / num, so classes a little
+    wider than that meet only themselves and their neighbours; no other block pair is sent anywhere.
+    """
     docs = rest.select("main", "doc", "c", (F.col("c") != F.col("main")).alias("minor")).distinct()
-    docs = scratch.write(docs, "dense")
-    sizes = docs.groupBy("main").agg(F.count_if("minor").alias("nm"), F.count_if(~F.col("minor")).alias("nj"))
-    sizes = sizes.select("main", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("nm", "nj")))
-    own = docs.join(sizes, "main").withColumn("k", F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("nm")).otherwise(F.col("nj"))).cast("int"))
-    low, high = F.col("nm") > 0, F.col("nj") > 0
-    # Task (i, j): minor block i against minor block j >= i, or against main block j (as -1 - j).
-    upto = F.when(F.col("k") > 0, F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"))))
-    onto = F.transform(F.sequence(F.col("k"), F.col("nm") - 1), lambda j: F.struct(F.col("k").alias("i"), j.cast("int").alias("j"), F.lit(0).alias("side")))
-    main = F.when(high, F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.col("k").alias("i"), (-1 - j).cast("int").alias("j"), F.lit(0).alias("side"))))
-    none = F.slice(onto, 1, 0)
-    of_minor = F.concat(F.coalesce(upto, none), onto, F.coalesce(main, none))
-    of_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.cast("int").alias("i"), (-1 - F.col("k")).cast("int").alias("j"), F.lit(1).alias("side")))
-    tasks = own.where(low).withColumn("t", F.explode(F.when(F.col("minor"), of_minor).otherwise(of_main)))
     used = scratch.write(docs.select(F.col("doc").alias("d")).distinct(), "dense_used")
     sets = join_small(sets, used, sets["doc"] == F.col("d"), "left_semi", used.count())
-    return tasks.select("main", "t.i", "t.j", "t.side", "doc", "c").join(sets, "doc").groupBy("main", "i", "j")
+    z = F.floor(F.log(F.octet_length("hashes") / 8) / (1.0001 * math.log(den / num))).cast("int")
+    docs = scratch.write(docs.join(sets.select("doc", z.alias("z")), "doc"), "dense")
+    sizes = docs.groupBy("main", "z").agg(*(F.ceil(F.count_if(x) / block).cast("int").alias(n) for x, n in ((F.col("minor"), "nm"), (~F.col("minor"), "nj"))))
+    # At most a hundred classes a cluster: sizes are numbers of 32 bits.
+    sizes = sizes.groupBy("main").agg(F.map_from_entries(F.collect_list(F.struct("z", F.struct("nm", "nj")))).alias("of"))
+    own = docs.join(sizes, "main")
+    here = F.col("of")[F.col("z")]
+    own = own.withColumn("k", F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), here["nm"]).otherwise(here["nj"])).cast("int"))
+
+    def upto(n: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda k: k < n)
+
+    def task(ik: Column, iz: Column, jk: Column, jz: Column, major: bool, side: Column) -> Column:
+        return F.struct(ik.alias("ik"), iz.alias("iz"), F.lit(0).alias("im"), jk.alias("jk"), jz.alias("jz"), F.lit(int(major)).alias("jm"), side.cast("int").alias("side"))
+
+    k, z = F.col("k"), F.col("z")
+
+    def onto_minor(step: int) -> Column:
+        """Tasks of a minor block with the minor blocks of the class ``step`` away: the lower block is side 0."""
+        if step == 0:
+            return F.transform(upto(F.col("of")[z]["nm"]), lambda x: task(F.least(k, x), z, F.greatest(k, x), z, False, k > x))
+        if step < 0:
+            return F.transform(upto(F.col("of")[z + step]["nm"]), lambda x: task(x, z + step, k, z, False, F.lit(1)))
+        return F.transform(upto(F.col("of")[z + step]["nm"]), lambda x: task(k, z, x, z + step, False, F.lit(0)))
+
+    def onto_main(step: int) -> Column:
+        return F.transform(upto(F.col("of")[z + step]["nj"]), lambda x: task(k, z, x, z + step, True, F.lit(0)))
+
+    def from_main(step: int) -> Column:
+        return F.transform(upto(F.col("of")[z + step]["nm"]), lambda x: task(x, z + step, k, z, True, F.lit(1)))
+
+    of_minor = [f(step) for step in (-1, 0, 1) for f in (onto_minor, onto_main)]
+    of_main = [from_main(step) for step in (-1, 0, 1)]
+    tasks = own.withColumn("t", F.explode(F.when(F.col("minor"), F.concat(*of_minor)).otherwise(F.concat(*of_main))))
+    return tasks.select("main", "t.*", "doc", "c").join(sets, "doc").groupBy("main", "ik", "iz", "im", "jk", "jz", "jm")
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str):
@@ -379,15 +489,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(counted, member, sets of representatives, label): the join down to the components of its links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(LEAST_BUCKETS, docs.count() // BUCKET_DOCS)
-    counted = scratch.write(
-        docs.mapInArrow(_emit_tokens(buckets), "bucket int, kind int, ids binary, nums binary, vals binary")
-        .groupBy("bucket")
-        .applyInArrow(_count_bucket(buckets), "part long, ids binary, n binary, shared binary, rows binary")
-        .groupBy("part")
-        .applyInArrow(_count_part, "doc long, n int, shared long, rows long"),
-        "counted",
-    )
+    counted = scratch.write(shared_tokens(docs, digits(docs.count())), "counted")
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
     open_ = counted.where((F.col("doc") >= NO_ID) & (F.col("n") > 0) & (F.col("shared") >= 1 + F.floor(least / 20)))
     open_ = scratch.write(open_.select(F.col("doc").alias("doc_"), "rows"), "open")
@@ -431,7 +533,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         F.col("p").alias("a"), F.col("doc").alias("b")
     )
     own = grouped.where("doc != gid").select(F.col("gid").alias("a"), F.col("doc").alias("b"))
-    first = scratch.write(_links(stars.union(own).distinct(), sets, "star"), "links")
+    first = scratch.write(links_of(stars.union(own).distinct(), sets, "star"), "links")
     label = scratch.write(components(first), "labels")
 
     # What is left: pairs of different components that share a prefix token.
@@ -448,8 +550,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         & ((F.col("c") == F.col("main")) | (F.col("doc") < F.col("doc_m")))
         & _may_link("n", "pos", "n_m", "pos_m")
     )
-    second = _links(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets, "few")
-    third = _dense_links(rest.where(F.col("df") > FEW), sets)
+    second = links_of(pairs.select(F.col("doc_m").alias("a"), F.col("doc").alias("b")).distinct(), sets, "few")
+    third = dense_links(rest.where(F.col("df") > FEW), sets)
     known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     joined = scratch.write(second.union(third).union(known), "joined")
     label = components(joined)
