@@ -9,6 +9,8 @@ from quire.llm.exact_dedup import content_sort
 from quire.llm.fingerprint import imatch
 from quire.llm.html_text import main_text
 from quire.llm.jaccard_join import jaccard_links
+from quire.llm.merkle import manifest
+from quire.llm.merkle_sql import merkle_sql
 from quire.llm.packing import pack
 from quire.llm.pfair_mix import pfair_mix, target_weights
 from quire.llm.toxicity import score
@@ -71,6 +73,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_words": op1_host_words,
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
@@ -82,9 +88,11 @@ QUERIES = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_drr_packing": op10_drr_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": merkle_sql(),
     "op4_warc_bundles": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
