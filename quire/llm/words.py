@@ -41,30 +41,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         return _splitmix(x)
 
 
-class Words:
-    """Words of a slice of texts: ``hash``, byte ``start`` and ``end``, and ``first`` word of each text.
-
-    ``fold``: what each byte counts as; ``separators``: whether it parts words.
-    """
+class Spans:
+    """Hashes of spans of bytes; ``fold``: what each byte counts as."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, fold: np.ndarray = _FOLD, separators: np.ndarray = _SEP):
+    def __init__(self, data: np.ndarray, fold: np.ndarray):
         n = len(data)
-        word = ~separators[data]
-        inner = word.copy()
-        inner[1:] &= word[:-1]
-        inner[:1] = False
-        at = offs[:-1][offs[:-1] < n]
-        inner[at] = False  # a text's first byte continues no word
-        self.start = np.flatnonzero(word & ~inner)
-        stop = np.ones(n, dtype=bool)
-        stop[:-1] = ~inner[1:]
-        self.end = np.flatnonzero(word & stop) + 1
-        self.first = np.searchsorted(self.start, offs)
         self._low = np.zeros(n + 8, np.uint8)
         self._low[:n] = fold[data]
         #: The eight bytes from each position on, as one number.
         self._eight = np.ndarray((n + 1,), np.dtype("<u8"), self._low.data, 0, (1,))
-        self.hash = self.span(self.start, self.end)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span, eight at a time, mixed after each step; long ones by BLAKE2b."""
@@ -85,6 +70,29 @@ class Words:
         return h
 
 
+class Words(Spans):
+    """Words of a slice of texts: ``hash``, byte ``start`` and ``end``, and ``first`` word of each text.
+
+    ``separators``: whether a byte parts words.
+    """
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, fold: np.ndarray = _FOLD, separators: np.ndarray = _SEP):
+        super().__init__(data, fold)
+        n = len(data)
+        word = ~separators[data]
+        inner = word.copy()
+        inner[1:] &= word[:-1]
+        inner[:1] = False
+        at = offs[:-1][offs[:-1] < n]
+        inner[at] = False  # a text's first byte continues no word
+        self.start = np.flatnonzero(word & ~inner)
+        stop = np.ones(n, dtype=bool)
+        stop[:-1] = ~inner[1:]
+        self.end = np.flatnonzero(word & stop) + 1
+        self.first = np.searchsorted(self.start, offs)
+        self.hash = self.span(self.start, self.end)
+
+
 def slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of about SLICE_BYTES; nulls are empty texts."""
     if pa.types.is_string(text.type) or pa.types.is_binary(text.type):
