@@ -11,14 +11,17 @@ from quire.llm.html_text import main_text
 from quire.llm.jaccard_join import jaccard_links
 from quire.llm.merkle import manifest
 from quire.llm.merkle_sql import merkle_sql
+from quire.llm.minhash import near_components
 from quire.llm.packing import pack
 from quire.llm.pfair_mix import pfair_mix, target_weights
+from quire.llm.token_align import align
 from quire.llm.toxicity import score
 from quire.llm.url_filter import judge
 from quire.llm.warc_bundles import read_bundles, write_bundles
 from quire.plans import scratch
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED_TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def tokenizer_path() -> str:
@@ -77,6 +80,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(_table(spark, sf_dir, "documents"), *(public_tokenizers.path(x) for x in ALIGNED_TOKENIZERS))
+
+
+def op13_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_words": op1_host_words,
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
@@ -89,6 +102,8 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_drr_packing": op10_drr_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_align": op12_token_align,
+    "op13_tensored_minhash": op13_tensored_minhash,
 }
 
 ORACLE_SQL = {

@@ -40,9 +40,10 @@ def brute(rows):
         for t in by:
             ey.append(ey[-1] + len(t))
         cuts = sorted(set(ex[1:]) & set(ey[1:]))
+        at_x, at_y = ({e: k for k, e in enumerate(ends)} for ends in (ex, ey))
         groups = []
         for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
-            groups.append((x[ex.index(lo) : ex.index(hi)], y[ey.index(lo) : ey.index(hi)]))
+            groups.append((x[at_x[lo] : at_x[hi]], y[at_y[lo] : at_y[hi]]))
         links = [(g[-1], k[-1]) for g, k in groups]
         counts.update(links)
         docs.append((i, len(x), len(y), groups, links))
