@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators import graph
-from quire.plans import scratch
+from quire.operators import trees
 
 
 def fates(annots: DataFrame) -> DataFrame:
@@ -28,25 +28,15 @@ def annotation_summary(annots: DataFrame, key: str) -> DataFrame:
     return annots.groupBy(key).agg(F.count_if(link).alias("links"), F.count_if(other).alias("annotations"))
 
 
-def visible_counts(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+def visible_counts(nodes: DataFrame) -> DataFrame:
     """(node, n_visible) of outline items (node, parent, open) with children: items shown below it, negative if closed.
 
-    An item shows below another if all between them are open. Each round goes one level down along open items.
+    An item shows below another if all between them are open. Any depth takes the rounds of ``trees.subtree_sums``.
     """
-    edges = nodes.where("parent is not null").select(F.col("parent").alias("up"), F.col("node").alias("down"), "open")
-    reached = scratch.write(edges.select(F.col("up").alias("top"), "down", "open"), "outline")
-    levels = [reached]
-    for _ in range(deepest):
-        onward = reached.where("open").select("top", F.col("down").alias("up"))
-        reached = scratch.write(onward.join(edges, "up").select("top", "down", "open"), "outline")
-        if reached.isEmpty():
-            break
-        levels.append(reached)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
-    shown = every.groupBy(F.col("top").alias("node")).agg(F.count("*").alias("n"))
-    return shown.join(nodes.select("node", "open"), "node").select("node", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("n_visible"))
+    sums = trees.subtree_sums(nodes, F.lit(1), F.col("open")).withColumnRenamed("node", "n")
+    parents = nodes.select(F.col("parent").alias("p")).distinct()
+    shown = nodes.join(parents, F.col("node") == F.col("p"), "left_semi").join(sums, F.col("node") == F.col("n"))
+    return shown.select("node", F.when(F.col("open"), F.col("total")).otherwise(-F.col("total")).alias("n_visible"))
 
 
 def bookmark_states(bookmarks: DataFrame, first: DataFrame, second: DataFrame, pages: DataFrame) -> DataFrame:
