@@ -104,9 +104,10 @@ def page_report(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def text_report(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, report): a heading with page counts and the unified diffs of the changed pages in order."""
+    """(doc_id, report): how many pages each version has and which differ, then their unified diffs in page order."""
     diffs = unified_diff(old, new).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "diff"))).alias("diffs"))
-    parts = F.transform("diffs", lambda d: F.concat(F.lit("Page "), d["page_no"], F.lit("\n"), d["diff"], F.lit("\n")))
-    head = F.concat(F.lit("Comparison\nOld: "), "old_pages", F.lit(" pages\nNew: "), "new_pages", F.lit(" pages\n\n"))
-    verdict = F.coalesce(F.array_join(parts, "\n"), F.lit("No differences were found.\n"))
-    return page_report(old, new).join(diffs, "doc_id", "left").select("doc_id", F.concat(head, verdict).alias("report"))
+    found = page_report(old, new).join(diffs, "doc_id", "left")
+    listed = F.when(F.size("changed") > 0, F.concat(F.lit("changed: "), F.array_join(F.col("changed").cast("array<string>"), ", "))).otherwise("nothing changed")
+    head = F.concat_ws("; ", F.concat(F.col("old_pages").cast("string"), F.lit(" before")), F.concat(F.col("new_pages").cast("string"), F.lit(" after")), listed)
+    pages = F.transform(F.coalesce("diffs", F.array().cast("array<struct<page_no:int,diff:string>>")), lambda d: F.concat(F.lit("--- "), d["page_no"].cast("string"), F.lit("\n"), d["diff"]))
+    return found.select("doc_id", F.concat(F.array_join(F.concat(F.array(head), pages), "\n"), F.lit("\n")).alias("report"))

@@ -89,12 +89,11 @@ def column_widths(cells: DataFrame, key: str, avail: float, letter: float = 5.0,
     by = cells.groupBy(key, "col").agg(F.max(F.char_length("text") * letter).alias("line"), F.max(F.array_max(words) * letter).alias("word"))
     wish, floor = F.col("line") + 2 * pad, F.lit(4 * letter)
     need = F.least(F.greatest(F.least("word", F.lit(avail / 3)), floor) + 2 * pad, F.greatest(wish, floor + 2 * pad))
-    each = by.select(key, "col", wish.alias("wish"), need.alias("need")).withColumn("wish", F.greatest("wish", "need"))
+    each = by.select(key, "col", wish.alias("wish"), need.alias("need")).withColumn("extra", F.greatest(F.col("wish") - F.col("need"), F.lit(0.0)))
     whole = Window.partitionBy(key)
-    each = each.withColumn("all_wish", F.sum("wish").over(whole)).withColumn("all_need", F.sum("need").over(whole))
-    share = F.col("need") + (F.col("wish") - F.col("need")) / (F.col("all_wish") - F.col("all_need")) * (avail - F.col("all_need"))
-    width = F.when(F.col("all_wish") <= avail, F.col("wish")).when(F.col("all_need") >= avail, F.col("need") * avail / F.col("all_need")).otherwise(share)
-    return each.select(key, "col", width.alias("width"))
+    needed, extra = F.sum("need").over(whole), F.sum("extra").over(whole)
+    given = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (avail - needed) / F.nullif(extra, F.lit(0.0)))), F.lit(0.0))
+    return each.select(key, "col", ((F.col("need") + given * F.col("extra")) * F.least(F.lit(1.0), avail / needed)).alias("width"))
 
 
 def best_layout(sizes: DataFrame, layouts: list[tuple[int, float, float]]) -> DataFrame:
@@ -109,26 +108,44 @@ def best_layout(sizes: DataFrame, layouts: list[tuple[int, float, float]]) -> Da
     return pairs.select("x.*").orderBy(F.desc("coverage"), "layout").limit(1)
 
 
+#: Fixed values of a tiling: steps along and across in parts of the stamp and of the page, and the least step.
+ALONG, ACROSS, LEAST_STEP = (1.3, 0.04), (2.2, 0.07), 12.0
+
+
+def _crossed(slope: Column, offset: Column, half: Column) -> tuple[Column, Column]:
+    """The open interval of u in which |slope * u + offset| < half; without a slope all u, or none."""
+    a, b = (-half - offset) / F.nullif(slope, F.lit(0.0)), (half - offset) / F.nullif(slope, F.lit(0.0))
+    never = (slope == 0) & (F.abs(offset) >= half)
+    low = F.when(never, F.lit(1.0)).otherwise(F.coalesce(F.least(a, b), F.lit(float("-inf"))))
+    return low, F.when(never, F.lit(0.0)).otherwise(F.coalesce(F.greatest(a, b), F.lit(float("inf"))))
+
+
 def tile_centres(pages: DataFrame, angle: float) -> DataFrame:
     """(page, row_no, col_no, x, y) of a stamp (bw, bh) tiled over pages (page, w, h, bw, bh).
 
-    The grid lies along the rotated axes, odd rows are moved by half a step; stamps that touch the page stay.
+    The grid lies along the rotated axes, odd rows are moved by half a step; stamps that touch the page stay. A stamp
+    touches if its centre is in the page grown by the stamp's upright half sizes. The corners of that box in the rotated
+    frame bound the rows; in a row its sides cut out one stretch of the axis, and just its columns are made.
     """
     a = F.radians(F.lit(angle))
     cos, sin = F.cos(a), F.sin(a)
-    half_w = (F.col("bw") * F.abs(cos) + F.col("bh") * F.abs(sin)) / 2
-    half_h = (F.col("bw") * F.abs(sin) + F.col("bh") * F.abs(cos)) / 2
-    step_x = F.greatest(F.col("bw") * 1.3 + 0.04 * F.col("w"), F.lit(12.0))
-    step_y = F.greatest(F.col("bh") * 2.2 + 0.07 * F.col("h"), F.lit(12.0))
-    reach = F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")) / 2
-    sized = pages.withColumns({"hw": half_w, "hh": half_h, "sx": step_x, "sy": step_y})
-    rows, cols = (F.ceil(reach / F.col(s)).cast("int") + 1 for s in ("sy", "sx"))
-    grid = sized.withColumn("row_no", F.explode(F.sequence(-rows, rows))).withColumn("col_no", F.explode(F.sequence(-cols, cols)))
-    along = F.col("col_no") * F.col("sx") + F.when(F.pmod("row_no", F.lit(2)) == 1, F.col("sx") / 2).otherwise(0.0)
-    across = F.col("row_no") * F.col("sy")
-    at = grid.withColumn("x", F.col("w") / 2 + along * cos - across * sin).withColumn("y", F.col("h") / 2 + along * sin + across * cos)
-    touches = (F.col("x") + F.col("hw") > 0) & (F.col("x") - F.col("hw") < F.col("w")) & (F.col("y") + F.col("hh") > 0) & (F.col("y") - F.col("hh") < F.col("h"))
-    return at.where(touches).select("page", "row_no", "col_no", "x", "y")
+    box = pages.select(
+        "*",
+        ((F.col("w") + F.col("bw") * F.abs(cos) + F.col("bh") * F.abs(sin)) / 2).alias("half_x"),
+        ((F.col("h") + F.col("bw") * F.abs(sin) + F.col("bh") * F.abs(cos)) / 2).alias("half_y"),
+        F.greatest(ALONG[0] * F.col("bw") + ALONG[1] * F.col("w"), F.lit(LEAST_STEP)).alias("along"),
+        F.greatest(ACROSS[0] * F.col("bh") + ACROSS[1] * F.col("h"), F.lit(LEAST_STEP)).alias("across"),
+    )
+    corner = F.floor((F.col("half_x") * F.abs(sin) + F.col("half_y") * F.abs(cos)) / F.col("across")).cast("int")
+    rows = box.withColumn("row_no", F.explode(F.sequence(-corner, corner)))
+    v = F.col("row_no") * F.col("across")
+    by_x, by_y = _crossed(cos, -v * sin, F.col("half_x")), _crossed(sin, v * cos, F.col("half_y"))
+    moved = F.when(F.pmod("row_no", F.lit(2)) == 1, 0.5).otherwise(0.0)
+    first = F.floor(F.greatest(by_x[0], by_y[0]) / F.col("along") - moved).cast("int") + 1
+    last = F.ceil(F.least(by_x[1], by_y[1]) / F.col("along") - moved).cast("int") - 1
+    cells = rows.withColumn("last", last).withColumn("first", first).where("first <= last").withColumn("col_no", F.explode(F.sequence("first", "last")))
+    u = (F.col("col_no") + moved) * F.col("along")
+    return cells.select("page", "row_no", "col_no", (F.col("w") / 2 + u * cos - v * sin).alias("x"), (F.col("h") / 2 + u * sin + v * cos).alias("y"))
 
 
 def without_redacted(fields: DataFrame, marks: DataFrame) -> DataFrame:
@@ -136,29 +153,31 @@ def without_redacted(fields: DataFrame, marks: DataFrame) -> DataFrame:
     return fields.join(marks.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
 
 
+#: What each kind of finding is called in a summary.
+REASONS = (("font", "fonts that the file lacks"), ("colour", "colours outside any profile"), ("annotation", "annotations without a look of their own"))
+
+
 def rule_report(rows: DataFrame, key: str) -> DataFrame:
     """What keeps each file from the archive rules, by reason: (key, fonts, cmyk, bare_annotations, keepable, summary).
 
     ``rows`` has kind (font, colour or annotation), name, and ok: the font is embedded, the colour is not
-    CMYK, the annotation has an appearance. One aggregation; names come sorted and once.
+    CMYK, the annotation has an appearance. One aggregation; names come sorted and once. The summary lists each
+    reason with its names, or else its number.
     """
     bad = ~F.coalesce("ok", F.lit(False))
-    found = rows.groupBy(key).agg(
-        F.array_sort(F.collect_set(F.when(bad & (F.col("kind") == "font"), F.col("name")))).alias("names"),
-        F.count_if(bad & (F.col("kind") == "colour")).alias("colours"),
-        F.count_if(bad & (F.col("kind") == "annotation")).alias("bare_annotations"),
-    )
-    n, bare = F.size("names"), F.col("bare_annotations")
-    fonts = F.when(n == 1, F.concat(F.lit("the font "), F.get("names", F.lit(0)), F.lit(" is not embedded"))).when(
-        n > 1, F.concat(n.cast("string"), F.lit(" fonts are not embedded ("), F.array_join("names", ", "), F.lit(")"))
+    counts = rows.groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(bad & (F.col("kind") == "font"), F.col("name")))), ", ").alias("fonts"),
+        *(F.count_if(bad & (F.col("kind") == kind)).alias(f"n_{kind}") for kind, _ in REASONS),
     )
-    colour = F.when(F.col("colours") > 0, "it uses CMYK colour without a colour profile")
-    notes = F.when(bare == 1, "1 annotation has no fixed appearance").when(bare > 1, F.concat(bare.cast("string"), F.lit(" annotations have no fixed appearance")))
-    return found.select(
+    # A font without a name is not listed, so it keeps nothing back.
+    counts = counts.withColumn("n_font", F.when(F.col("fonts") == "", 0).otherwise(F.col("n_font")))
+    found = F.array(*(F.struct(F.lit(said).alias("said"), F.col(f"n_{kind}").alias("n"), (F.col("fonts") if kind == "font" else F.col(f"n_{kind}").cast("string")).alias("what")) for kind, said in REASONS))
+    found = F.filter(found, lambda x: x["n"] > 0)
+    return counts.select(
         key,
-        F.array_join("names", ", ").alias("fonts"),
-        (F.col("colours") > 0).alias("cmyk"),
-        "bare_annotations",
-        ((n == 0) & (F.col("colours") == 0) & (bare == 0)).alias("keepable"),
-        F.concat_ws("; ", fonts, colour, notes).alias("summary"),
+        "fonts",
+        (F.col("n_colour") > 0).alias("cmyk"),
+        F.col("n_annotation").alias("bare_annotations"),
+        (F.size(found) == 0).alias("keepable"),
+        F.array_join(F.transform(found, lambda x: F.concat(x["said"], F.lit(": "), x["what"])), "; ").alias("summary"),
     )

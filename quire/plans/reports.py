@@ -71,10 +71,8 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a AS (SELECT o.l_orderkey, coalesce(list_sort(list(DISTINCT name) FILTER (WHERE kind = 0)), []) AS names, count(*) FILTER (WHERE kind = 1) AS colours,
                  count(*) FILTER (WHERE kind = 2) AS bare FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN r ON r.l_orderkey = o.l_orderkey GROUP BY o.l_orderkey)
     SELECT l_orderkey, array_to_string(names, ', ') AS fonts, colours > 0 AS cmyk, bare AS bare_annotations, len(names) = 0 AND colours = 0 AND bare = 0 AS keepable,
-           concat_ws('; ', CASE WHEN len(names) = 1 THEN 'the font ' || names[1] || ' is not embedded'
-                                WHEN len(names) > 1 THEN len(names) || ' fonts are not embedded (' || array_to_string(names, ', ') || ')' END,
-                     CASE WHEN colours > 0 THEN 'it uses CMYK colour without a colour profile' END,
-                     CASE WHEN bare = 1 THEN '1 annotation has no fixed appearance' WHEN bare > 1 THEN bare || ' annotations have no fixed appearance' END) AS summary
+           concat_ws('; ', CASE WHEN len(names) > 0 THEN 'fonts that the file lacks: ' || array_to_string(names, ', ') END,
+                     CASE WHEN colours > 0 THEN 'colours outside any profile: ' || colours END, CASE WHEN bare > 0 THEN 'annotations without a look of their own: ' || bare END) AS summary
     FROM a""")
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order items as the fonts, colours and annotations of a file each."""
