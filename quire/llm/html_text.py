@@ -62,7 +62,9 @@ DEEPEST = 400
 BARRIER = CONTAINER | set("li dd dt th blockquote".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute, its name and its value: what stands in a value is no name.
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = set("class id role hidden".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -179,7 +181,8 @@ class Page:
         names: dict[str, str] = {}
         if attrs and ("=" in attrs or "hidden" in attrs.lower()):
             for k, a, b, c in _ATTR.findall(attrs):
-                names.setdefault(k.lower(), entities.unescape(a or b or c))
+                if (k := k.lower()) in _READ:
+                    names.setdefault(k, entities.unescape(a or b or c))
         if tag in VOID:
             if tag == "br":
                 self._say(" ")
@@ -284,12 +287,20 @@ class Page:
         if inside is not None:
             box = inside
         else:
+            if self.tags[box] == "section" and self._has_peer(box, held):
+                box = self.parents[box]
+                chain = list(self._chain(box))
             for up in chain[1:]:
                 if self.tags[up] in ("body", "html") or up not in own or not heads_only[up]:
                     break
                 box = up
         return box, held[box] / held[0]
 
+    def _has_peer(self, box: int, held: list[int]) -> bool:
+        """Whether a section beside this one holds a quarter as much text or more: then both are parts of one article."""
+        up = self.parents[box]
+        return any(b != box and self.tags[b] == "section" and 4 * held[b] >= held[box] for b, p in enumerate(self.parents) if p == up)
+
     def path(self, box: int) -> str:
         """The container's path in words, at most 300 characters of its end."""
         return ">".join(self.labels[b] for b in reversed(list(self._chain(box))))[-300:]

@@ -455,3 +455,21 @@ def test_pipeline_keeps_what_each_stage_keeps(spark):
         assert after == want, name
     packed = pipe.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == after and start > len(after)
+
+
+def words(n, name):
+    return " ".join(f"{name}{i}" for i in range(n)) + "."
+
+
+@pytest.mark.parametrize("attr", ['style="overflow:hidden"', 'title="hidden gems"', 'aria-hidden="false"', 'data-role="banner"', "data-x='id=ads class=sidebar' title=role", 'onclick="this.hidden = true"', 'data-class="comments"'])
+def test_what_stands_in_a_value_is_no_attribute(attr):
+    page = f'<html><body><div class="intro"><p>{words(60, "a")}</p></div><div {attr}><p>{words(120, "b")}</p></div></body></html>'
+    assert words(120, "b") in html_text.Page(page).text(None)
+    for plain in ("hidden", "class=sidebar", "role='banner'", "x=1 HIDDEN=''", "/class=ads"):
+        page = f"<html><body><div><p>{words(60, 'a')}</p></div><div {plain}><p>{words(40, 'b')}</p></div></body></html>"
+        assert html_text.Page(page).text(None) == words(60, "a")
+
+
+def test_sections_side_by_side_are_one_article():
+    page = f'<html><body><div class="page"><section class="one"><p>{words(150, "a")}</p></section><section><h2>Next</h2><p>{words(120, "b")}</p></section></div></body></html>'
+    assert html_text.Page(page).text(None) == "\n".join((words(150, "a"), "Next", words(120, "b")))
