@@ -56,7 +56,7 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_table(spark, sf_dir, "documents"))
+    return repeated_passages(_table(spark, sf_dir, "documents"), across=False)
 
 
 def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
