@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,14 +81,17 @@ def recent(uses: DataFrame, key: str, item: str, order: list[str], most: int = 5
     return latest.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", item)
 
 
-def column_widths(cells: DataFrame, key: str, avail: float, letter: float = 5.0, pad: float = 4.0) -> DataFrame:
+def column_widths(cells: DataFrame, key: str, avail: float, letter: float = 5.0, pad: float = 4.0, measure: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, col, width): columns of cells (key, col, text) that share ``avail``.
 
+    ``measure`` gives a text's width (None: ``letter`` for each character); ``letter`` is also the unit of the least width.
+
     A column would like its longest text and needs its longest word, at least four letters and at most a third. If
     not all wishes fit, the rest goes by what each wishes beyond its need; if the needs don't fit, they shrink alike.
     """
-    words = F.transform(F.split("text", r"\s+"), lambda w: F.char_length(w))
-    by = cells.groupBy(key, "col").agg(F.max(F.char_length("text") * letter).alias("line"), F.max(F.array_max(words) * letter).alias("word"))
+    measure = measure or (lambda t: F.char_length(t) * letter)
+    words = F.transform(F.split("text", r"\s+"), measure)
+    by = cells.groupBy(key, "col").agg(F.max(measure(F.col("text"))).alias("line"), F.max(F.array_max(words)).alias("word"))
     wish, floor = F.col("line") + 2 * pad, F.lit(4 * letter)
     need = F.least(F.greatest(F.least("word", F.lit(avail / 3)), floor) + 2 * pad, F.greatest(wish, floor + 2 * pad))
     each = by.select(key, "col", wish.alias("wish"), need.alias("need")).withColumn("extra", F.greatest(F.col("wish") - F.col("need"), F.lit(0.0)))
