@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import appearance, glyphs, options
 from quire.operators import objects
 from quire.plans.registry import query
+from quire.sources import csvfiles
 from quire.sources.bridge import table
 
 
@@ -95,3 +96,30 @@ def run_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     got = table(spark, sf_dir, "events").select("event_id", text.alias("o"))
     return got.select("event_id", options.tool_options(F.col("o")).alias("tool"), options.kept_options(F.col("o")).alias("kept"), options.password(F.col("o")).alias("password"))
+
+
+S_TABLES = """
+    c AS (SELECT p_brand AS file, p_size AS page, 3 * (p_partkey % 2) AS table_no, p_partkey AS row_no, '"' || replace(p_name || ', "' || p_size || '"', '"', '""') || '",' || p_type || ',' || p_partkey AS line FROM part),
+    t AS (SELECT file, page, table_no, string_agg(line, chr(13) || chr(10) ORDER BY row_no) || chr(13) || chr(10) AS body FROM c GROUP BY ALL)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables: a file for each brand, a page for each size, odd and even parts apart."""
+    named = F.concat("p_name", F.lit(', "'), F.col("p_size").cast("string"), F.lit('"'))
+    own = F.array(named, F.col("p_type"), F.col("p_partkey").cast("string"))
+    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_size").alias("page"), (F.col("p_partkey") % 2 * 3).alias("table_no"), F.col("p_partkey").alias("row_no"), F.posexplode(own).alias("pos", "text"))
+    return cells.select("file", "page", "table_no", "row_no", (F.col("pos") + 1).alias("col_no"), "text")
+
+
+@query("csv_table_files", f"""
+    WITH {S_TABLES} SELECT file || '-p' || page || '-t' || row_number() OVER (PARTITION BY file, page ORDER BY table_no) || '.csv' AS name, body AS csv FROM t""")
+def csv_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of delimited text for each table."""
+    return csvfiles.table_files(_cells(spark, sf_dir))
+
+
+@query("csv_single_files", f"""
+    WITH {S_TABLES} SELECT file || '-tables.csv' AS name, string_agg(body, chr(13) || chr(10) ORDER BY page, table_no) AS csv FROM t GROUP BY file""")
+def csv_single_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of a file in one text."""
+    return csvfiles.table_files(_cells(spark, sf_dir), single_file=True)
