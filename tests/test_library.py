@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import library, objects, reports, setting, structures  # noqa: F401
+from quire.plans import library, moves, objects, reports, setting, structures  # noqa: F401
 from quire.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
