@@ -75,8 +75,8 @@ def overlaps(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
 def walk(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     """(node, depth, path, value) from rows (node, parent, label, value): dotted names, values inherited.
 
-    Rows with a null parent are roots. One join per level with the last level only; deeper rows, orphans and
-    cycles are never reached and so not listed.
+    Rows with a null parent are roots. One join per level with the last level only; orphans and cycles are never
+    reached and so not listed. A tree deeper than ``most_depth`` raises.
     """
     level = nodes.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("label").alias("path"), "value")
     level = scratch.write(level, "walk")
@@ -90,7 +90,7 @@ def walk(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
+    raise RuntimeError(f"the tree is deeper than {most_depth}")
 
 
 def keep_with_descendants(nodes: DataFrame, alive: DataFrame) -> DataFrame:

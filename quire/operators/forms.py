@@ -60,12 +60,12 @@ def detach_places(fields: DataFrame, places: DataFrame) -> DataFrame:
     taken = taken.groupBy("field").agg(F.collect_set("n").alias("taken"))
     moved = asked.where("problem is null and n_places > 1").groupBy("field").agg(F.array_sort(F.collect_list(F.struct("ord", "place", "value"))).alias("p"))
     moved = moved.join(taken, "field", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    none = F.slice(F.array(F.struct(F.lit(0).alias("place"), F.lit("").alias("value"), F.lit(0).alias("n"))), 1, 0)
+    none = F.array().cast("array<struct<place:int,value:string,n:int>>")
 
     def name(state, p):
         # Of at most size + 1 numbers from the place on, one is free.
         near = F.sequence(p["place"], p["place"] + F.size(state["taken"]))
-        n = F.get(F.filter(near, lambda k: ~F.array_contains(state["taken"], k)), F.lit(0))
+        n = F.get(F.filter(near, lambda k: ~F.array_contains(state["taken"], k)), F.lit(0)).cast("int")
         return F.struct(F.concat(state["taken"], F.array(n)).alias("taken"), F.concat(state["made"], F.array(F.struct(p["place"].alias("place"), p["value"].alias("value"), n.alias("n")))).alias("made"))
 
     made = moved.select("field", F.explode(F.aggregate("p", F.struct(F.col("taken"), none.alias("made")), name, lambda s: s["made"])).alias("m"))

@@ -149,3 +149,12 @@ def test_font_use_through_forms(spark):
     # p1: A visibly on the page and at the form's start, invisibly in the form; B invisibly on the page and in its own
     # form; C visibly there. The form that draws itself starts again with no font.
     assert got == sorted([("p1", "fa", True, False), ("p1", "fa", False, False), ("p1", "fb", False, False), ("p1", "fc", True, False), ("p1", None, None, True)], key=str)
+
+
+def test_a_walk_too_deep_raises(spark):
+    from quire.operators import fields
+
+    rows = spark.range(9).selectExpr("id as node", "nullif(id, 0) - 1 as parent", "concat('f', id) as label", "cast(null as string) as value")
+    assert fields.walk(rows, 8).count() == 9
+    with pytest.raises(RuntimeError):
+        fields.walk(rows, 5)
