@@ -81,7 +81,7 @@ def walk(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     level = nodes.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("label").alias("path"), "value")
     level = scratch.write(level, "walk")
     out = level
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, most_depth + 2):  # the last round finds nothing
         up = level.select(F.col("node").alias("parent"), F.col("path").alias("p"), F.col("value").alias("v"))
         nxt = nodes.join(up, "parent").select(
             "node", F.lit(depth).alias("depth"), F.concat_ws(".", "p", "label").alias("path"), F.coalesce("value", "v").alias("value")
