@@ -9,6 +9,7 @@ from quire.llm.exact_dedup import content_sort
 from quire.llm.fingerprint import imatch
 from quire.llm.html_text import main_text
 from quire.llm.jaccard_join import jaccard_links
+from quire.llm.links_sql import JACCARD_SQL, NEAR_SQL
 from quire.llm.merkle import manifest
 from quire.llm.merkle_sql import merkle_sql
 from quire.llm.minhash import near_components
@@ -107,7 +108,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_jaccard_join": JACCARD_SQL,
     "op11_merkle_manifest": merkle_sql(),
+    "op13_tensored_minhash": NEAR_SQL,
     "op4_warc_bundles": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
