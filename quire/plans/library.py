@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import csvtext, fuzzy, geometry, htmltext, text
-from quire.functions.patterns import found_in
+from quire.functions.patterns import found_in, may_hold
 from quire.functions.ranges import format_ranges
 from quire.operators import arrange, compare, fields, graph, layout, report, tables
 from quire.plans.registry import query
@@ -42,7 +42,7 @@ def find_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str, patterns: list[str]) -> DataFrame:
-    rows = bridge.lines(spark, sf_dir)
+    rows = bridge.lines(spark, sf_dir).where(may_hold(F.col("text"), patterns))
     each = F.array(*(F.struct(F.lit(p).alias("pattern"), found_in(F.col("text"), p).alias("labels")) for p in patterns))
     found = rows.select("doc_id", "page_no", F.explode(each).alias("m")).select("doc_id", "page_no", "m.pattern", F.explode("m.labels").alias("label"))
     return found.groupBy("doc_id", "page_no", "pattern").agg(F.count("*").alias("n_marks"), F.min("label").alias("first_label"))
