@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, matrix
 from quire.operators import forms
+from quire.plans.library import S_LINES
 from quire.plans.registry import query
 from quire.plans.setting import _units
+from quire.sources import bridge, recogniser
 from quire.sources.bridge import table
 
 
@@ -124,3 +128,26 @@ def text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = forms.text_layer(words, 2.5, 842.0)
     return made.withColumns({"size": F.round("size", 4), "stretch": F.round("stretch", 3), "x": F.round("x", 4), "y": F.round("y", 4)})
+
+
+def _line_engine(page: object, rows: list) -> Iterator[tuple]:
+    """An engine over text: a word's box has five pixels a letter and ten a line; numbers are given up."""
+    for row in rows:
+        x = 0
+        for text in (row["text"] or "").split(" "):
+            yield (row["line_no"], text, x * 5.0, row["line_no"] * 12.0, len(text) * 5.0, 10.0, -1.0 if text.isdigit() else 90.0)
+            x += len(text) + 1
+
+
+@query("recognised_words", f"""
+    WITH {S_LINES.strip()}, s AS (SELECT doc_id || '/' || page_no AS page, line_no, string_split(text, ' ') AS ws FROM lines),
+    w AS (SELECT page, line_no, unnest(range(1, len(ws) + 1)) AS i, ws FROM s),
+    k AS (SELECT page, line_no, i, ws[i] AS text, 5.0::DOUBLE * (coalesce(list_sum(list_transform(ws[1:i - 1], lambda t: len(t) + 1)), 0)) AS x, line_no * 12.0::DOUBLE AS y, len(ws[i]) * 5.0::DOUBLE AS w FROM w
+          WHERE NOT regexp_full_match(ws[i], '[0-9]+') AND trim(ws[i], chr(32) || chr(9) || chr(13)) <> '')
+    SELECT page, row_number() OVER (PARTITION BY page ORDER BY line_no, i)::INTEGER AS seq, dense_rank() OVER (PARTITION BY page ORDER BY line_no)::INTEGER AS line,
+           trim(text, chr(32) || chr(9) || chr(13)) AS text, x, y, w, 10.0::DOUBLE AS h, 90.0::DOUBLE AS confidence FROM k""")
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pages through a recogniser that SQL calls."""
+    recogniser.register(spark, "recognise_lines", _line_engine)
+    lines = bridge.lines(spark, sf_dir).select(F.concat_ws("/", "doc_id", "page_no").alias("page"), "line_no", "text")
+    return spark.sql("SELECT * FROM recognise_lines(TABLE({lines}) PARTITION BY page ORDER BY line_no)", lines=lines)

@@ -78,3 +78,23 @@ def test_runs_of_a_text_layer(spark):
     assert got[1]["size"] == pytest.approx(10 / 2) and got[1]["y"] == got[3]["y"] == pytest.approx(100 - 17.2 / 2)
     width = sum(glyphs.HELVETICA[ord(c) - 32] for c in "Tap") * 5 / 1000
     assert got[1]["stretch"] == pytest.approx(100 * 15 / width) and got[5]["stretch"] == 5
+
+
+def test_an_engine_is_called_page_by_page(spark):
+    from quire.sources import recogniser
+
+    def engine(page, rows):
+        assert {r["page"] for r in rows} == {page}
+        for r in rows:
+            yield (r["no"] * 10, f"{page}{r['no']} ", 1, 2, 3.0, 4, 50)
+            yield (7, " ", 1, 2, 3, 4, 50)
+            yield (7, "flat", 1, 2, 0, 4, 50)
+            yield (7, "given up", 1, 2, 3, 4, -1)
+            yield (7, None, 1, 2, 3, 4, 50)
+
+    recogniser.register(spark, "engine_of_a_test", engine)
+    parts = spark.createDataFrame([("b", 2), ("a", 3), ("a", 1), ("a", 1)], "page string, no int")
+    sql = "SELECT * FROM engine_of_a_test(TABLE({parts}) PARTITION BY page ORDER BY no)"
+    got = sorted((r["page"], r["seq"], r["line"], r["text"], r["confidence"]) for r in spark.sql(sql, parts=parts).collect())
+    assert got == [("a", 1, 1, "a1", 50.0), ("a", 2, 1, "a1", 50.0), ("a", 3, 2, "a3", 50.0), ("b", 1, 1, "b2", 50.0)]
+    assert spark.sql(sql, parts=parts.limit(0)).count() == 0
