@@ -147,6 +147,24 @@ def file_url_of_path(path: Column) -> Column:
     return F.concat(F.lit("file://"), percent_encode(path))
 
 
+def url_of_windows_path(path: Column) -> Column:
+    """file: URL of a path with a drive or of a network share, also in its long form; null for any other path."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "")
+    slashes = F.replace(plain, F.lit("\\"), F.lit("/"))
+    drive, share = slashes.rlike("^[A-Za-z]:/"), slashes.rlike("^//[^/?.]")
+    of_drive = F.concat(F.lit("file:///"), F.left(slashes, F.lit(2)), percent_encode(F.substr(slashes, F.lit(3))))
+    return F.when(drive, of_drive).when(share, F.concat(F.lit("file:"), percent_encode(slashes)))
+
+
+def windows_path_of_url(url: Column) -> Column:
+    """The path with a drive, or on a network share, that a file: URL names, or null; query and fragment don't belong to it."""
+    known = F.lower(F.left(url, F.lit(7))).eqNullSafe("file://")
+    rest = F.regexp_replace(percent_decode(F.regexp_extract(url, r"(?is)^file://([^?#]*)", 1)), r"(?i)^localhost(?=/)", "")
+    of_drive = F.when(rest.rlike("^/[A-Za-z][:|]/"), F.concat(F.substring(rest, 2, 1), F.lit(":"), F.substr(rest, F.lit(4))))
+    of_share = F.when(rest.rlike("^[^/]+/."), F.concat(F.lit("//"), rest))
+    return F.when(known, F.replace(F.coalesce(of_drive, of_share), F.lit("/"), F.lit("\\")))
+
+
 # Primary language tags and the recogniser's codes for them.
 LANGUAGES = {
     "ar": "ara", "bg": "bul", "bn": "ben", "ca": "cat", "cs": "ces", "da": "dan", "de": "deu", "el": "ell",

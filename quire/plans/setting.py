@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import appearance, glyphs, options
+from quire.functions import appearance, glyphs, options, text
 from quire.operators import objects
 from quire.plans.registry import query
 from quire.sources import csvfiles
@@ -123,3 +123,17 @@ def csv_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_single_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables of a file in one text."""
     return csvfiles.table_files(_cells(spark, sf_dir), single_file=True)
+
+
+@query("windows_urls", """
+    WITH p AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'C:/My Docs/' WHEN 1 THEN '//?/D:/' WHEN 2 THEN '//server/a b/' ELSE '/home/' END || c_name || '%/x y.html' AS s FROM customer),
+    u AS (SELECT *, replace(s, '//?/', '') AS t FROM p),
+    e AS (SELECT *, CASE c_custkey % 4 WHEN 3 THEN NULL WHEN 2 THEN 'file:' ELSE 'file:///' END || replace(replace(replace(t, '%', '%25'), ' ', '%20'), '#', '%23') AS url FROM u)
+    SELECT c_custkey, url, CASE WHEN url IS NOT NULL THEN replace(t, '/', chr(92)) END AS path FROM e""")
+def windows_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' files on drives, long paths and shares: their addresses, and the paths read back from them."""
+    kind, slash = F.col("c_custkey") % 4, F.lit("\\")
+    start = F.when(kind == 0, "C:/My Docs/").when(kind == 1, "//?/D:/").when(kind == 2, "//server/a b/").otherwise("/home/")
+    path = F.replace(F.concat(start, "c_name", F.lit("%/x y.html")), F.lit("/"), slash)
+    made = table(spark, sf_dir, "customer").select("c_custkey", text.url_of_windows_path(path).alias("url"))
+    return made.withColumn("path", text.windows_path_of_url(F.concat("url", F.lit("?q=1#top"))))

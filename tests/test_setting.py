@@ -63,3 +63,20 @@ def test_options(spark):
     got = one(spark, rows, "t string", options.tool_options(F.col("t")), options.kept_options(F.col("t")), options.password(F.col("t")))
     assert got[0] == ('{"Password2":"p","a":{"x":[1,2]},"b":1,"n":null}', '{"a":{"x":[1,2]},"b":1,"n":null}', 's"x')
     assert got[1:5] == [("{}", "{}", None)] * 4 and got[5] == ('{"é\\"":"ü"}', '{"é\\"":"ü"}', None)
+
+
+def test_windows_paths_and_their_urls(spark):
+    from quire.functions import text
+
+    rows = [
+        ("C:\\Users\\Ana Maria\\a b#1.html", "file:///C:/Users/Ana%20Maria/a%20b%231.html", "C:\\Users\\Ana Maria\\a b#1.html"),
+        ("\\\\?\\C:\\long\\path.html", "file:///C:/long/path.html", "C:\\long\\path.html"),
+        ("\\\\?\\UNC\\srv\\share\\zoë.html", "file://srv/share/zo%C3%AB.html", "\\\\srv\\share\\zoë.html"),
+        ("\\\\srv\\share\\50%.html", "file://srv/share/50%25.html", "\\\\srv\\share\\50%.html"),
+        ("d:/mixed\\x", "file:///d:/mixed/x", "d:\\mixed\\x"),
+        ("/home/me", None, None), ("relative\\x", None, None), ("", None, None), (None, None, None), ("\\\\.\\pipe", None, None),
+    ]
+    url = text.url_of_windows_path(F.col("p"))
+    assert one(spark, [(p,) for p, _, _ in rows], "p string", url, text.windows_path_of_url(url)) == [(u, b) for _, u, b in rows]
+    urls = [("FILE://LocalHost/C:/a?b",), ("file:///C|/a#x",), ("file:///home/me",), ("http://srv/share",), ("file://srv",), (None,)]
+    assert [r[0] for r in one(spark, urls, "u string", text.windows_path_of_url(F.col("u")))] == ["C:\\a", "C:\\a", None, None, None, None]
