@@ -43,12 +43,12 @@ def resized_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("annotation_pages", """
-    WITH pages AS (SELECT n_nationkey AS page, n_nationkey + 1 AS page_no FROM nation WHERE n_nationkey < 20), l AS (SELECT c_nationkey AS page, c_custkey % 700 AS id FROM customer),
+    WITH pages AS (SELECT n_nationkey AS page, n_nationkey + 1 AS page_no FROM nation), l AS (SELECT c_nationkey AS page, c_custkey % 700 AS id FROM customer),
     f AS (SELECT id, min(page_no) AS no FROM l JOIN pages USING (page) GROUP BY id)
     SELECT o_orderkey AS id, coalesce(f.no, p.page_no) AS page_no FROM orders LEFT JOIN f ON f.id = o_orderkey LEFT JOIN pages p ON p.page = o_custkey % 30""")
 def annotation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as annotations: customers' nations list some of them, all name a page that may not exist."""
-    pages = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("page"), (F.col("n_nationkey") + 1).alias("page_no"))
+    pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page"), (F.col("n_nationkey") + 1).alias("page_no"))
     listed = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), (F.col("c_custkey") % 700).alias("id"))
     return forms.annotation_pages(listed, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 30).alias("page")), pages)
 
@@ -87,7 +87,7 @@ def signed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("detach_places", """
-    WITH f AS (SELECT 'F' || c_custkey AS field, ['text', 'choice', 'button'][c_custkey % 3 + 1] AS kind, 1 + c_custkey % 3 AS n FROM customer UNION ALL SELECT 'F' || c_custkey || ' 2', 'text', 1 FROM customer WHERE c_custkey % 4 = 0),
+    WITH f AS (SELECT 'F' || c_custkey AS field, ['text', 'choice', 'button'][c_custkey % 3 + 1] AS kind, 1 + c_custkey % 3 AS n FROM customer UNION ALL SELECT 'F' || c_custkey || ' 2', 'text', 1 FROM customer WHERE c_mktsegment = 'BUILDING'),
     p AS (SELECT min(o_orderkey) AS ord, 'F' || o_custkey AS field, 1 + o_orderkey % 3 AS place FROM orders GROUP BY ALL),
     a AS (SELECT p.*, kind, n, CASE WHEN kind IS NULL THEN 'no such field' WHEN place > n THEN 'no such place' WHEN kind = 'button' THEN 'cannot be filled by place' END AS problem FROM p LEFT JOIN f USING (field)),
     g AS (SELECT *, (field || ' 2') IN (SELECT field FROM f) AS two, list([ord, place]) FILTER (WHERE problem IS NULL AND n > 1) OVER (PARTITION BY field) AS others FROM a)
@@ -97,11 +97,11 @@ def signed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHEN place = 2 THEN field || CASE WHEN len(list_filter(others, lambda o: o[2] = 3 AND o[1] < ord)) > 0 THEN ' 4' ELSE ' 3' END
                 ELSE field || CASE WHEN len(list_filter(others, lambda o: o[2] = 2 AND o[1] < ord)) > 0 THEN ' 4' ELSE ' 3' END END AS name FROM g""")
 def detach_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as fields in one to three places, orders as values for single places; every fourth field's second name is taken."""
+    """Customers as fields in one to three places, orders as values for single places; second names of builders' fields are taken."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     key = F.col("c_custkey")
     fields = c.select(F.concat(F.lit("F"), key).alias("field"), F.get(F.array(*map(F.lit, ("text", "choice", "button"))), (key % 3).cast("int")).alias("kind"), (1 + key % 3).cast("int").alias("n_places"))
-    fields = fields.union(c.where(key % 4 == 0).select(F.concat(F.lit("F"), key, F.lit(" 2")), F.lit("text"), F.lit(1)))
+    fields = fields.union(c.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("F"), key, F.lit(" 2")), F.lit("text"), F.lit(1)))
     places = o.groupBy(F.concat(F.lit("F"), "o_custkey").alias("field"), (1 + F.col("o_orderkey") % 3).cast("int").alias("place")).agg(F.min("o_orderkey").alias("ord"))
     return forms.detach_places(fields, places.withColumn("value", F.concat(F.lit("v"), "ord")))
 

@@ -162,15 +162,15 @@ S_OPS = """
                    CASE event_type WHEN 'click' THEN 'Tj' WHEN 'view' THEN 'Tf' WHEN 'purchase' THEN 'Tr' WHEN 'signup' THEN 'Do' WHEN 'error' THEN CASE WHEN value < 5 THEN 'k' ELSE 'Tj' END ELSE 'Do' END AS op,
                    CASE WHEN event_type = 'view' THEN 'F' || CAST(floor(value) % 5 AS INT) ELSE 'X' || CAST(floor(value) % 7 AS INT) END AS name, CAST(floor(value) % 4 AS INT) AS number FROM events),
     u AS (SELECT DISTINCT user_id AS u FROM events),
-    fonts AS (SELECT 'r' || u % 3 AS scope, 'F' || k AS name, 'font' || (u % 3 * 10 + k) AS font FROM u, range(4) r(k) GROUP BY ALL),
-    forms AS (SELECT 'r' || x AS scope, 'X' || k AS name, 's' || (x * 7 + k) AS stream, CASE WHEN k % 2 = 0 THEN 'r' || (x + 1) % 3 END AS own_scope FROM range(3) a(x), range(7) b(k) WHERE EXISTS (SELECT 1 FROM u WHERE u = x * 7 + k))"""
+    fonts AS (SELECT DISTINCT 'r' || u // 7 AS scope, 'F' || k AS name, 'font' || (u // 7 * 10 + k) AS font FROM u, range(4) r(k)),
+    forms AS (SELECT 'r' || u // 7 AS scope, 'X' || u % 7 AS name, 's' || u AS stream, CASE WHEN u % 2 = 0 THEN 'r' || u // 14 END AS own_scope FROM u)"""
 
 
 @query("font_use", f"""
     WITH RECURSIVE {S_OPS},
     a AS (SELECT *, last_value(CASE WHEN op = 'Tf' THEN name END IGNORE NULLS) OVER w AS f, last_value(CASE WHEN op = 'Tr' THEN number END IGNORE NULLS) OVER w AS m FROM ops WINDOW w AS (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING)),
     does AS (SELECT DISTINCT stream, CASE op WHEN 'Tj' THEN 'show' WHEN 'Do' THEN 'draw' ELSE 'colour' END AS kind, CASE WHEN op = 'Do' THEN name END AS name, f, m FROM a WHERE op IN ('Tj', 'Do', 'k')),
-    s AS (SELECT 's' || u AS root, 's' || u AS stream, 'r' || u % 3 AS scope, NULL::VARCHAR AS font, 0 AS mode, 0 AS depth FROM u
+    s AS (SELECT 's' || u AS root, 's' || u AS stream, 'r' || u // 7 AS scope, NULL::VARCHAR AS font, 0 AS mode, 0 AS depth FROM u
           UNION SELECT s.root, forms.stream, coalesce(forms.own_scope, s.scope), CASE WHEN does.f IS NULL THEN s.font ELSE fonts.font END, coalesce(does.m, s.mode), s.depth + 1
           FROM s JOIN does ON does.stream = s.stream AND does.kind = 'draw' JOIN forms ON forms.scope = s.scope AND forms.name = does.name LEFT JOIN fonts ON fonts.scope = s.scope AND fonts.name = does.f WHERE s.depth < 12),
     z AS (SELECT DISTINCT root, stream, scope, font, mode FROM s),
@@ -179,17 +179,17 @@ S_OPS = """
     SELECT DISTINCT root, font, mode <> 3 AS visible, false AS cmyk FROM met WHERE kind = 'show' AND font IS NOT NULL
     UNION SELECT DISTINCT root, NULL, NULL, true FROM met WHERE kind = 'colour'""")
 def font_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as a stream of operations: fonts of its visible and invisible text, also through forms."""
+    """Each user's events as a stream of operations, seven users a scope of resources: fonts of visible and invisible text, also through forms."""
     events, kind, value = table(spark, sf_dir, "events"), F.col("event_type"), F.floor("value")
     op = F.when(kind == "click", "Tj").when(kind == "view", "Tf").when(kind == "purchase", "Tr").when(kind == "signup", "Do").when(kind == "error", F.when(F.col("value") < 5, "k").otherwise("Tj")).otherwise("Do")
     name = F.when(kind == "view", F.concat(F.lit("F"), (value % 5).cast("string"))).otherwise(F.concat(F.lit("X"), (value % 7).cast("string")))
     ops = events.select(F.concat(F.lit("s"), "user_id").alias("stream"), F.col("event_id").alias("seq"), op.alias("op"), name.alias("name"), (value % 4).cast("int").alias("number"))
     users = events.select("user_id").distinct()
-    scope = F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string"))
-    starts = users.select(F.concat(F.lit("s"), "user_id").alias("root"), F.concat(F.lit("s"), "user_id").alias("stream"), scope.alias("scope"))
-    fonts = users.select(scope.alias("scope"), (F.col("user_id") % 3).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).distinct()
+    group = F.floor(F.col("user_id") / 7)
+    scope = F.concat(F.lit("r"), group.cast("string")).alias("scope")
+    starts = users.select(F.concat(F.lit("s"), "user_id").alias("root"), F.concat(F.lit("s"), "user_id").alias("stream"), scope)
+    fonts = users.select(scope, group.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).distinct()
     fonts = fonts.select("scope", F.concat(F.lit("F"), "k").alias("name"), F.concat(F.lit("font"), (F.col("x") * 10 + F.col("k")).cast("string")).alias("font"))
-    forms = users.where("user_id < 21").select(F.floor(F.col("user_id") / 7).alias("x"), (F.col("user_id") % 7).alias("k"), F.concat(F.lit("s"), "user_id").alias("stream"))
-    own = F.when(F.col("k") % 2 == 0, F.concat(F.lit("r"), ((F.col("x") + 1) % 3).cast("string")))
-    forms = forms.select(F.concat(F.lit("r"), "x").alias("scope"), F.concat(F.lit("X"), "k").alias("name"), "stream", own.alias("own_scope"))
+    own = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("r"), F.floor(F.col("user_id") / 14).cast("string")))
+    forms = users.select(scope, F.concat(F.lit("X"), F.col("user_id") % 7).alias("name"), F.concat(F.lit("s"), "user_id").alias("stream"), own.alias("own_scope"))
     return content.font_use(ops, starts, forms, fonts)
