@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-A source is cut into blocks of ``block_docs`` documents. With integer shares a_s of a cycle of D
+A source is cut into blocks of ``block_docs`` documents. With whole shares a_s of a cycle of D
 slots, block j of a source (from 0) has release time floor(j * D / a_s) and deadline
 ceil((j + 1) * D / a_s). Earliest deadline first gives each slot to the released block with the
 earliest deadline. The shares add up to D, so every slot is used, every deadline is met and, while
@@ -8,6 +8,10 @@ all sources have blocks, no source is ever a whole block away from its weight. A
 a cycle's end: the schedule repeats, and a block's slot is its cycle times D plus its slot in one
 cycle. Only that one cycle (D rows) is worked out on the driver.
 
+Where the weights are in a ratio of whole numbers that add up to at most SLOTS, these are the shares: the
+bound then holds against the weights themselves in a run of any length. Other weights are rounded to parts of
+SLOTS, at least one part each. ``held`` tells the weights that a run holds; against those the bound is exact.
+
 A source that is used up leaves its slots empty; the others keep their order and proportions. No
 document is dropped or repeated.
 
@@ -20,6 +24,9 @@ by its rank there.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +37,9 @@ from quire.plans.blocks import blocks_of, last_at_most, splitters
 from quire.plans.joins import is_small, join_small
 
 NEW = ("block_no", "release", "deadline", "slot", "in_block")
+SLOTS = 1 << 18
+#: Slots of a source that one row of the schedule's table holds.
+PER_ROW = 256
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
@@ -47,6 +57,24 @@ def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
     return got
 
 
+def held(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
+    """The whole-number weights that a run holds its sources to; their sum is the length of a cycle.
+
+    Weights are read as the decimals that they print as. If their ratio has whole terms with a sum of at most
+    ``slots`` (or four for each source, if that is more), it is kept as it is, else rounded to that sum.
+    """
+    if not weights:
+        return {}
+    slots = max(slots, 4 * len(weights))
+    exact = {s: Fraction(repr(w)) for s, w in weights.items()}
+    below = lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * below) for s, x in exact.items()}
+    common = gcd(*whole.values())
+    if sum(whole.values()) <= slots * common:
+        return {s: n // common for s, n in whole.items()}
+    return shares(weights, slots)
+
+
 def cycle(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     """(source, j, release, deadline, slot) of one cycle by earliest deadline first."""
     slots = sum(share.values())
@@ -102,7 +130,7 @@ def pfair_mix(
     weights: dict[str, float] | None = None,
     temperature: float = 0.5,
     block_docs: int = 16,
-    slots: int = 1000,
+    slots: int = SLOTS,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
@@ -110,9 +138,10 @@ def pfair_mix(
 
     The mixed order is (slot, in_block), over partitions and within them. ``weights`` names target weights; a
     source without one, and every source if None, gets its number of documents to the power ``temperature``
-    (among the unnamed ones of the total that is left, or the smallest named weight). Every source is
-    scheduled by itself, whatever their number; one row per source and the slots of one cycle (``slots``, or
-    four for each source if that is more) pass through the driver. Null and empty sources are one source ''.
+    (among the unnamed ones of the total that is left, or the smallest named weight). ``held`` says to which
+    whole numbers a run holds them. Every source is scheduled by itself, whatever their number; one row per
+    source and the slots of one cycle (at most ``slots``, or four for each source if that is more) pass through
+    the driver. Null and empty sources are one source ''.
     Rows with a null id come first in their source; rows of one id follow each other by a hash of the row.
     Columns of the input named like the new ones are replaced; an empty input gives an empty result.
     """
@@ -121,24 +150,26 @@ def pfair_mix(
     keyed = _keyed(docs, kept, id_col, source_col)
     narrow = scratch.write(keyed.select("lane", "k", "h"), "keys")
     block = blocks_of(narrow, "k")
-    narrow = narrow.withColumn("blk", block("k"))
+    # Written: Catalyst may hand a join key that is a folded array on to the side that lacks its columns.
+    narrow = scratch.write(narrow.withColumn("blk", block("k")), "blocks")
     counts = scratch.write(narrow.groupBy("lane", "blk").agg(F.count("*").alias("n")), "counts")
     totals = {r["lane"]: r["n"] for r in counts.groupBy("lane").agg(F.sum("n").alias("n")).collect()}  # one row per source
     target = targets(totals, weights, temperature)
-    share = shares(target, max(slots, 4 * len(target))) if target else {}
+    share = held(target, slots)
     length = sum(share.values())
-    at: dict[str, list[int]] = {s: [] for s in share}
-    for s, _, _, _, slot in cycle(share):
-        at[s].append(slot)
-    plan = spark.createDataFrame([(s, share[s], x) for s, x in at.items()], "lane string, share long, at array<int>")
-    small = is_small(length, 4) and is_small(len(share), 100)
+    at: dict[tuple[str, int], list[int]] = defaultdict(list)
+    for s, j, _, _, slot in cycle(share):
+        at[s, j // PER_ROW].append(slot)
+    sizes = spark.createDataFrame(list(share.items()), "lane string, share long")
+    plan = spark.createDataFrame([(*key, x) for key, x in at.items()], "lane string, part long, at array<int>")
 
     def slot_of(rows: DataFrame, i: Column) -> DataFrame:
         """The rows with block_no, cycle, j and slot of the row numbered i (from 0) in its lane."""
-        rows = rows.withColumn("i", i).join(F.broadcast(plan) if small else plan, "lane")
+        rows = join_small(rows.withColumn("i", i), sizes, "lane", "inner", len(share), 100)
         rows = rows.withColumn("block_no", F.floor(F.col("i") / block_docs)).withColumn("j", F.col("block_no") % F.col("share"))
-        rows = rows.withColumn("cycle", F.floor(F.col("block_no") / F.col("share")))
-        return rows.withColumn("slot", F.col("cycle") * length + F.get("at", F.col("j").cast("int"))).drop("at")
+        rows = rows.withColumn("cycle", F.floor(F.col("block_no") / F.col("share"))).withColumn("part", F.floor(F.col("j") / PER_ROW))
+        rows = join_small(rows, plan, ["lane", "part"], "inner", len(at), 100 + 4 * PER_ROW)
+        return rows.withColumn("slot", F.col("cycle") * length + F.get("at", (F.col("j") % PER_ROW).cast("int"))).drop("at", "part")
 
     ahead = Window.partitionBy("lane").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("lane", "blk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
@@ -158,7 +189,7 @@ def pfair_mix(
     dealt = own.repartitionById(parts, "p")
     no = F.row_number().over(Window.partitionBy("p", "lane").orderBy("k", "h"))
     placed = slot_of(dealt.withColumn("no", no).drop("k", "h"), F.col("begin") + F.col("no") - 1)
-    if not small:  # joined by shuffle
+    if not (is_small(len(share), 100) and is_small(len(at), 100 + 4 * PER_ROW)):  # joined by shuffle
         placed = placed.repartitionById(parts, "p")
     base = F.col("cycle") * length
     return placed.withColumn("in_block", F.col("i") % block_docs).sortWithinPartitions("slot", "in_block").select(

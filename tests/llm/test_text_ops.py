@@ -72,6 +72,44 @@ def test_pfair_meets_every_deadline(spark, weights):
     assert (blocks.sort_values(["source", "block_no"]).groupby("source").slot.diff().dropna() > 0).all()
 
 
+def lags(rows, weights):
+    """The largest distance of any source from its weight while all sources have blocks, in blocks."""
+    blocks = rows.drop_duplicates(["source", "block_no"]).sort_values("slot")
+    last = blocks.groupby("source").slot.max().min()  # till here all sources have blocks
+    order = blocks[blocks.slot <= last]
+    assert order.slot.tolist() == list(range(len(order)))
+    t = np.arange(1, len(order) + 1)
+    total = sum(weights.values())
+    return max(np.abs(np.cumsum(order.source.to_numpy() == s) - t * w / total).max() for s, w in weights.items())
+
+
+@pytest.mark.parametrize("weights", [{"s0": 1, "s1": 1, "s2": 1}, {"s0": 0.2, "s1": 0.7, "s2": 0.3}, {"s0": 1 / 3, "s1": 0.25, "s2": 2.0}, None])
+def test_pfair_holds_the_weights_themselves_through_many_cycles(spark, weights):
+    """Against the weights that were asked for, not the rounded ones, over hundreds of short cycles."""
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    got = pfair_mix.pfair_mix(docs, weights, block_docs=2).toPandas()
+    assert len(got) == 9000 and lags(got, weights or {s: 1 for s in ("s0", "s1", "s2")}) < 1
+
+
+def test_pfair_holds_hundreds_of_tiny_sources():
+    weights = {f"s{i:03}": 1e-4 for i in range(900)} | {"big": 1.0}
+    share = pfair_mix.held(weights)
+    assert share == {f"s{i:03}": 1 for i in range(900)} | {"big": 10_000}
+    source = np.array([s for s, *_ in pfair_mix.cycle(share)] * 50)
+    t = np.arange(1, len(source) + 1)
+    for s in ("big", "s000", "s450", "s899"):
+        assert np.abs(np.cumsum(source == s) - t * weights[s] / sum(weights.values())).max() < 1
+
+
+def test_pfair_weights_that_no_short_cycle_holds():
+    root = {s: n**0.5 for s, n in (("a", 1000), ("b", 37), ("c", 5))}
+    share = pfair_mix.held(root)
+    assert sum(share.values()) == pfair_mix.SLOTS
+    assert all(abs(share[s] - w / sum(root.values()) * pfair_mix.SLOTS) <= 1 for s, w in root.items())
+    assert pfair_mix.held({"a": 1e-9, "b": 1.0})["a"] == 1  # below one part: one part
+    assert pfair_mix.held({}) == {} and pfair_mix.held({"a": 0.37}) == {"a": 1}
+
+
 def test_pfair_edges(spark):
     docs = awkward(spark)
     mixed = pfair_mix.in_mixed_order(docs)
