@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.plans import scratch
-from quire.plans.blocks import block_of, splitters
-from quire.plans.joins import join_small
+from quire.plans.blocks import blocks_of
+from quire.plans.joins import is_small, join_small
 
 LEAST, MOST = 0.002, 0.05
 RATES = 8
@@ -36,7 +36,7 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, subs): terms in the band over all documents, and the sub-lexicons that keep each.
 
-    The empty term stands in for each text, in no sub-lexicon, so that a join keeps every text.
+    The empty term stands in for each text, in no sub-lexicon, so that a broadcast join keeps every text.
     """
     n = docs.count()
     often = (
@@ -106,19 +106,17 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     lex = lexicon(rows)
-    cuts = splitters(rows, "doc_id")
     # A null id counts as the smallest one. Order: id, then a hash of the text, both descending.
     keyed = rows.withColumn("at", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h")))
-    keyed = keyed.withColumn("blk", block_of("doc_id", cuts))
-    # Each block also gets the first document of the next block below it (below the last: of the first).
+    keyed = keyed.withColumn("blk", blocks_of(rows, "doc_id")("doc_id"))
+    # Each block also gets the first document of the next block below it (the last one: of the first). Blocks
+    # grow in number with the rows; this window sees one narrow row for each.
     firsts = keyed.groupBy("blk").agg(F.max("at").alias("at"))
-    order = [r["blk"] for r in firsts.select("blk").collect()]  # at most 2000 blocks
-    order.sort(reverse=True)
-    after = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    ahead = docs.sparkSession.createDataFrame([(v, k) for k, v in after.items()], "blk int, home int")
-    ends = firsts.join(F.broadcast(ahead), "blk").select(F.col("at").alias("end"), "home")
+    above = F.lag("blk").over(Window.orderBy(F.col("blk").desc()))
+    lowest = F.min("blk").over(Window.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = scratch.write(firsts.select(F.col("at").alias("end"), F.coalesce(above, lowest).alias("home")), "ends")
     ghosts = (
-        keyed.join(F.broadcast(ends), F.col("at") == F.col("end"))  # one row for each of at most 2000 blocks
+        join_small(keyed, ends, F.col("at") == F.col("end"), "inner", ends.count(), 40)
         .dropDuplicates(["home"])
         .select("doc_id", "text", "at", F.col("home").alias("blk"), F.lit(1).alias("ghost"))
     )
@@ -147,7 +145,12 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         of_text(0), of_text(1),
     )
     one = versions.select("blk", "no", F.explode(every_term).alias("x")).select("blk", "no", "x.*")
-    with_subs = join_small(one, lex, "term", "inner", lex.count(), 80)
+    n_terms = lex.count()
+    if is_small(n_terms, 80):
+        with_subs = join_small(one, lex, "term", "inner", n_terms, 80)
+    else:  # by shuffle: the empty term, which every text has, stays out of the exchange by terms
+        heads = one.where("term = ''").withColumn("subs", F.array().cast("array<int>"))
+        with_subs = one.where("term != ''").join(lex, "term").unionByName(heads)
     coded = with_subs.groupBy("blk", "no").agg(
         F.max("about").alias("about"),
         *(F.collect_list(F.when((F.col("which") == w) & (F.col("term") != ""), F.struct("term", "subs"))).alias(f"found{w}") for w in (0, 1)),

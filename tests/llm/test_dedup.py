@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import chunk_dedup, exact_dedup, fingerprint, jaccard_join
+from quire.plans import blocks, joins
 from tests.llm.common import awkward, empty
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -196,3 +200,55 @@ def test_imatch(spark):
     odd = fingerprint.imatch(awkward(spark)).collect()
     assert len(odd) == 15 and len({r["fingerprint"] for r in odd if r["doc_id"] in (1, 2)}) == 1
     assert fingerprint.imatch(empty(spark)).count() == 0
+
+
+def xx(*values):
+    """Spark's xxhash64 of ints, longs (as 'q') and strings."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode(), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def plain_code(text, lexicon):
+    """The sub-lexicons and hashes of a text, recomputed without Spark."""
+    own = {t for t in re.split(r"[ \t\n\x0B\f\r]+", text.lower())}
+    code = {}
+    for sub in range(fingerprint.RATES * fingerprint.COPIES):
+        h = None
+        for term in sorted((t for t in own if sub in lexicon.get(t, ())), key=lambda t: t.encode()):
+            h = xx(struct.pack("<i", sub), term) if h is None else xx(struct.pack("<q", h), term)
+        if h is not None:
+            code[sub] = h % (1 << 32)
+    return code or {-1: xx(*sorted(own, key=lambda t: t.encode())) % (1 << 32)}
+
+
+def plain_likeness(a, b):
+    return sum(b.get(s) == h for s, h in a.items()) / len(a.keys() | b.keys())
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_imatch_by_brute_force(spark, monkeypatch, broadcast):
+    """Lexicon, fingerprints and likenesses recomputed plainly, over many blocks, by both joins."""
+    if not broadcast:
+        monkeypatch.setattr(joins, "MOST_BYTES", 0)
+    monkeypatch.setattr(fingerprint, "blocks_of", lambda df, key: blocks.blocks_of(df, key, 20))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = fingerprint.imatch(docs).collect()
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), reverse=True)
+    df = Counter(t for _, text in order for t in set(re.split(r"[ \t\n\x0B\f\r]+", text.lower())) if t)
+    low, high = max(2, fingerprint.LEAST * len(order)), max(2, fingerprint.MOST * len(order))
+    copies = fingerprint.COPIES
+    lexicon = {
+        t: {r * copies + c for r in range(fingerprint.RATES) for c in range(copies) if xx(t, struct.pack("<i", fingerprint.SEED + r * copies + c)) % (fingerprint.DENSEST << r) == 0}
+        for t, n in df.items()
+        if low <= n <= high
+    }
+    want = {}
+    for i, (d, t) in enumerate(order):
+        k, after = len(t) // 2, order[(i + 1) % len(order)][1]
+        f, e, n = (plain_code(x, lexicon) for x in (t, t[: len(t) - k] + after[:k], after))
+        shown = [" ".join(f"{s}:{h:x}" for s, h in sorted(c.items())) for c in (f, e)]
+        want[d] = (*shown, plain_likeness(f, e), plain_likeness(f, n))
+    assert len(got) == len(order) == 200
+    assert {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got} == want
