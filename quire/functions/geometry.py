@@ -55,18 +55,23 @@ def to_visible(r: Column, height) -> Column:
 
 def paper(name: Column) -> Column:
     """(width, height) in points of a named size or of WxH with mm, cm, in or pt; null if it is neither."""
-    low = F.lower(F.regexp_replace(name, r"(?U)\s+", ""))
+    # Arrays of one element bind a value: each step is computed once a row, however often it is used.
+    low = F.array(F.lower(F.regexp_replace(name, r"(?U)\s+", "")))
     pattern = r"^([0-9]+(?:\.[0-9]+)?)[x×*]([0-9]+(?:\.[0-9]+)?)(mm|cm|in|pt)?$"
-    unit = F.lit(1.0)
-    for u, points in UNIT.items():
-        unit = F.when(F.regexp_extract(low, pattern, 3) == u, points).otherwise(unit)
-    w, h = (F.regexp_extract(low, pattern, i).try_cast("double") * unit for i in (1, 2))
-    fits = w.between(LEAST_SIDE, MOST_SIDE) & h.between(LEAST_SIDE, MOST_SIDE)
-    low = F.when(low == "", "a4").otherwise(low)
-    out = F.when(low.rlike(pattern) & fits, F.struct(w.alias("w"), h.alias("h")))
-    for n, (pw, ph) in PAPER.items():
-        out = F.when(low == n, F.struct(F.lit(pw).alias("w"), F.lit(ph).alias("h"))).otherwise(out)
-    return out
+    known = F.create_map(*(x for n, (w, h) in PAPER.items() for x in (F.lit(n), F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")))))
+    units = F.create_map(*(x for u, points in UNIT.items() for x in (F.lit(u), F.lit(points))))
+
+    def given(low: Column) -> Column:
+        """Width and height as they are written; null for another text."""
+        unit = F.coalesce(F.try_element_at(units, F.regexp_extract(low, pattern, 3)), F.lit(1.0))
+        w, h = (F.regexp_extract(low, pattern, i).try_cast("double") * unit for i in (1, 2))
+        return F.when(low.rlike(pattern), F.struct(w.alias("w"), h.alias("h")))
+
+    def sized(low: Column) -> Column:
+        fits = F.filter(F.array(given(low)), lambda s: s["w"].between(LEAST_SIDE, MOST_SIDE) & s["h"].between(LEAST_SIDE, MOST_SIDE))
+        return F.coalesce(F.try_element_at(known, F.when(low == "", "a4").otherwise(low)), F.get(fits, F.lit(0)))
+
+    return F.get(F.transform(low, sized), F.lit(0))
 
 
 def fit_scale(w: Column, h: Column, to_w: float, to_h: float, mode: str = "fit") -> Column:
