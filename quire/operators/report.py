@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,15 +47,24 @@ def bounding_box(words: DataFrame, key: str) -> DataFrame:
 def fill_pages(rows: DataFrame, key: str, order: str, height: str, room: float, head: float = 0.0) -> DataFrame:
     """(key, order, page): rows set on pages of ``room``; the header takes ``head`` of each, a page holds one row at least.
 
-    The fold over a key's ordered heights is a native aggregate of an array.
+    Rows of a null height leave the rest of their key on one page. A key's rows are folded one by one as they come in
+    order, by a task that holds none of them.
     """
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(height).cast("double").alias("h")))).alias("a"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(head).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["used"] + x["h"] > room) & (s["used"] > head)
-        page = F.when(new, s["page"] + 1).otherwise(s["page"])
-        return F.struct(page.alias("page"), F.when(new, head + x["h"]).otherwise(s["used"] + x["h"]).alias("used"), F.concat(s["out"], F.array(page)).alias("out"))
-
-    placed = lists.select(key, F.arrays_zip(F.transform("a", lambda x: x["o"]).alias("o"), F.aggregate("a", start, step, lambda s: s["out"]).alias("p")).alias("z"))
-    return placed.select(key, F.explode("z").alias("z")).select(key, F.col("z.o").alias(order), F.col("z.p").alias("page"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, page, used = [], 1, head
+        for batch in batches:
+            pages = []
+            for k, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != [k]:
+                    at, page, used = [k], 1, head
+                total = None if used is None or h is None else used + h
+                if total is not None and not total <= room and not used <= head:
+                    page, total = page + 1, head + h
+                used = total
+                pages.append(page)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int32())], names=[key, order, "page"])
+
+    ordered = rows.select(key, order, F.col(height).cast("double").alias("_h")).repartition(key).sortWithinPartitions(key, order, "_h")
+    return ordered.mapInArrow(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, page int")

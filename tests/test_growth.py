@@ -20,3 +20,24 @@ def test_paper_reads_a_text_once(spark):
     got = [tuple(r["s"]) if r["s"] else None for r in frame.collect()]
     mm = geometry.MM
     assert got == [(210 * mm, 297 * mm), (210 * mm, 297 * mm), (210 * mm, 297 * mm), (72.0, 72.0), (216.0, 288.0), (396.0, 612.0), (612.0, 792.0), (100.0, 200.0), None, None, None, (10 * 10 * mm, 20 * 10 * mm)]
+
+
+def test_pages_fill_row_by_row(spark):
+    random.seed(3)
+    rows = [(k, i, random.choice((10.0, 22.0, 34.0, 46.0, 500.0))) for k in ("a", "b", None) for i in range(700)] + [("c", 1, 5.0), ("c", 2, None), ("c", 3, 999.0)]
+    want = []
+    last, page, used = [], 1, 20.0
+    for k, i, h in rows:
+        if last != [k]:
+            last, page, used = [k], 1, 20.0
+        if k == "c":
+            want.append((k, i, 1))
+            continue
+        if used + h > 300 and used > 20:
+            page, used = page + 1, 20.0
+        used += h
+        want.append((k, i, page))
+    random.shuffle(rows)
+    made = report.fill_pages(spark.createDataFrame(rows, "k string, i int, h double"), "k", "i", "h", 300.0, 20.0)
+    assert "collect_list" not in plan(made) and made.schema.simpleString() == "struct<k:string,i:int,page:int>"
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
