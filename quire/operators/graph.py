@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from quire.plans import scratch
 
+#: Numbers of one span, and rows of one part, of ``islands``.
+SPAN, PART_ROWS = 4096, 200_000
+
 
 def reachable(refs: DataFrame, roots: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, depth): nodes that follow from ``roots`` (node); semi-naive, each round only joins the last front."""
@@ -38,7 +41,22 @@ def first_copies(rows: DataFrame, id_col: str, content: list[str]) -> DataFrame:
 
 
 def islands(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, first, last): runs of consecutive numbers."""
-    w = Window.partitionBy(key).orderBy(value)
-    runs = rows.select(key, value).distinct().withColumn("g", F.col(value) - F.row_number().over(w))
-    return runs.groupBy(key, "g").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("g")
+    """(key, first, last): runs of consecutive numbers.
+
+    Rows meet by key and span of SPAN numbers, in as many parts as the rows ask for, so that no task holds more however
+    many there are. Only runs that reach an edge of their span are compared across spans: two of them a span at most.
+    """
+    rows = rows.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    n = rows.count()
+    span = F.floor(F.col("_value") / SPAN).alias("_span")
+    parts = max(1, -(-n // PART_ROWS))
+    each = rows.select("_key", span, "_value").repartition(parts, "_key", "_span").distinct()
+    near = Window.partitionBy("_key", "_span").orderBy("_value")
+    runs = each.withColumn("_g", F.col("_value") - F.row_number().over(near)).groupBy("_key", "_span", "_g").agg(F.min("_value").alias("first"), F.max("_value").alias("last"))
+    runs = scratch.write(runs.select("_key", "first", "last"), "runs")
+    edge = F.coalesce((F.pmod("first", F.lit(SPAN)) == 0) | (F.pmod("last", F.lit(SPAN)) == SPAN - 1), F.lit(False))
+    across = Window.partitionBy("_key").orderBy("first")
+    new = F.coalesce((F.col("first") != F.lag("last").over(across) + 1).cast("int"), F.lit(1))
+    joined = runs.where(edge).withColumn("_new", new).withColumn("_g", F.sum("_new").over(across))
+    joined = joined.groupBy("_key", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+    return runs.where(~edge).union(joined).withColumnRenamed("_key", key)

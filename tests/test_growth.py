@@ -41,3 +41,21 @@ def test_pages_fill_row_by_row(spark):
     made = report.fill_pages(spark.createDataFrame(rows, "k string, i int, h double"), "k", "i", "h", 300.0, 20.0)
     assert "collect_list" not in plan(made) and made.schema.simpleString() == "struct<k:string,i:int,page:int>"
     assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+
+
+def test_runs_go_on_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SPAN", 8)
+    monkeypatch.setattr(graph, "PART_ROWS", 50)
+    random.seed(4)
+    rows = [(k, v) for k in (1, 2, None) for v in random.sample(range(-150, 150), 220)] + [(3, v) for v in range(-20, 40)] * 2 + [(4, 7), (4, 8), (5, None)]
+    want = []
+    for k in {k for k, _ in rows}:
+        run = []
+        for v in sorted({v for j, v in rows if j == k and v is not None}):
+            if run and v == run[-1][1] + 1:
+                run[-1][1] = v
+            else:
+                run.append([v, v])
+        want += [(k, *r) for r in run]
+    got = graph.islands(spark.createDataFrame(rows, "k int, v long"), "k", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*want, (5, None, None)], key=str)
