@@ -59,3 +59,27 @@ def test_runs_go_on_across_spans(spark, monkeypatch):
         want += [(k, *r) for r in run]
     got = graph.islands(spark.createDataFrame(rows, "k int, v long"), "k", "v")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([*want, (5, None, None)], key=str)
+
+
+def test_uses_of_shared_forms_are_found_once(spark, monkeypatch):
+    """300 roots draw one chain of forms: what is written grows with roots and forms, not with their product."""
+    written = []
+    write = scratch.write
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(content.scratch, "write", counted)
+    rows = [(f"p{i}", 1, "Do", "f0", None) for i in range(300)]
+    rows += [(f"f{k}", q, *op) for k in range(12) for q, op in enumerate([("Tf", f"F{k}", None), ("Tr", None, k % 4), ("Tj", None, None), ("Do", f"f{k + 1}", None)])]
+    rows += [("f12", 1, "Tj", None, None), ("f12", 2, "Do", "f0", None), ("f13", 1, "k", None, None)]
+    frame = spark.createDataFrame(rows, "stream string, seq int, op string, name string, number int")
+    starts = spark.createDataFrame([(f"p{i}", f"p{i}", "r") for i in range(300)], "root string, stream string, scope string")
+    forms = spark.createDataFrame([("r", f"f{k}", f"f{k}", None) for k in range(14)], "scope string, name string, stream string, own_scope string")
+    fonts = spark.createDataFrame([("r", f"F{k}", f"font{k % 6}") for k in range(12)], "scope string, name string, font string")
+    got = {tuple(r) for r in content.font_use(frame, starts, forms, fonts).collect()}
+    # Form k is k + 1 levels below a root, so the twelfth form is out of reach.
+    assert got == {(f"p{i}", f"font{k % 6}", k % 4 != 3, False) for i in range(300) for k in range(12)}
+    assert max(written) <= 300 * 13
