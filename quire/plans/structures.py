@@ -154,7 +154,7 @@ def page_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that a page's copy keeps, and those that become null."""
     refs, nodes, pages = _references(spark, sf_dir)
-    return closure.cut_references(refs, closure.closures(refs, pages.withColumnRenamed("node", "root"), nodes, pages))
+    return closure.closure_cuts(refs, pages.withColumnRenamed("node", "root"), nodes, pages)
 
 
 S_OPS = """

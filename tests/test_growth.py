@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
-from quire.operators import content, graph, report
+from quire.operators import closure, content, fields, graph, report
 from quire.plans import scratch
 
 
@@ -83,3 +83,27 @@ def test_uses_of_shared_forms_are_found_once(spark, monkeypatch):
     # Form k is k + 1 levels below a root, so the twelfth form is out of reach.
     assert got == {(f"p{i}", f"font{k % 6}", k % 4 != 3, False) for i in range(300) for k in range(12)}
     assert max(written) <= 300 * 13
+
+
+def test_cuts_of_closures_by_numbers(spark):
+    """Random graphs with circles, roots that are no stops, references to nothing and back to the root."""
+    random.seed(6)
+    nodes = [f"n{i}" for i in range(40)]
+    refs = [(random.choice(nodes), random.choice([*nodes, "gone", None])) for _ in range(140)] * 2 + [("n0", "n0"), (None, "n1")]
+    refs = spark.createDataFrame(refs, "src string, dst string")
+    roots = spark.createDataFrame([(n,) for n in [*nodes[:12], "n3", "outside"]], "root string")
+    objects = spark.createDataFrame([(n,) for n in nodes[:36]], "node string")
+    stops = spark.createDataFrame([(n,) for n in [*nodes[:9], *nodes[20:26]]], "node string")
+    copied = closure.closures(refs, roots, objects, stops)
+    edges, there = {}, {n for n in nodes[:36]} - {*nodes[:9], *nodes[20:26]}
+    for s, d in {tuple(r) for r in refs.collect()}:
+        edges.setdefault(s, []).append(d)
+    want = set()
+    for root in {*nodes[:12], "outside"}:
+        depth, front = {root: 0}, [root]
+        while front:
+            front = [d for d in dict.fromkeys(d for s in front for d in edges.get(s, ()) if d in there) if depth.setdefault(d, max(depth[x] for x in front) + 1) and d not in front and depth[d] == max(depth[x] for x in front) + 1]
+        want |= {(root, n, k) for n, k in depth.items()}
+    assert {tuple(r)[:3] for r in copied.collect()} == want and len(want) > 60
+    cuts = closure.closure_cuts(refs, roots, objects, stops)
+    assert sorted(map(tuple, cuts.collect())) == sorted(map(tuple, closure.cut_references(refs, copied).collect()))
