@@ -10,10 +10,13 @@ from quire.plans.blocks import free_number, number_in_order
 
 from quire.functions.geometry import intersects
 from quire.plans import scratch
+from quire.plans.joins import join_small
 
 # Fixed values.
 TRUTHY = ("true", "yes", "on", "1", "checked", "x")
 HIDDEN_BITS = (1 << 1) | (1 << 5)
+#: Pairs of one part of a cell, and parts of the join, of ``overlaps``.
+PAIRS, MOST_TASKS = 4_000_000, 5000
 
 
 def truthy(x: Column) -> Column:
@@ -50,25 +53,43 @@ def choose(values: DataFrame, options: DataFrame) -> DataFrame:
     return values.join(best, ["field", "value"], "left")
 
 
-def overlaps(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
     """(page, a_id, b_id) of rectangles (page, id, r) that overlap.
 
     A theta join on grid cells: each rectangle goes to the cells it touches, pairs meet by page and cell and are
     counted in the cell of their common corner only, so nothing is compared across the whole page and no pair
-    comes twice.
+    comes twice. Cells are twice as wide and high as the root mean square of the rectangles (or ``cell``), so that all
+    of them touch a few cells on average. A crowded cell is cut in parts of about PAIRS pairs, and the parts are dealt
+    to as many tasks as the pairs ask for.
     """
+    if cell is None:
+        sides = [F.sqrt(F.avg(F.pow(F.col(f"r.{hi}") - F.col(f"r.{lo}"), 2))) for lo, hi in (("x0", "x1"), ("y0", "y1"))]
+        about = a.select("r").union(b.select("r")).agg(*(s.alias(n) for s, n in zip(sides, "wh", strict=True))).first()
+        wide, high = (2 * about[n] if about[n] and 0 < about[n] < float("inf") else 100.0 for n in "wh")
+    else:
+        wide = high = cell
 
     def cells(df: DataFrame, side: str) -> DataFrame:
         r = F.col("r")
-        xs = F.sequence(F.floor(r["x0"] / cell), F.floor(r["x1"] / cell))
-        ys = F.sequence(F.floor(r["y0"] / cell), F.floor(r["y1"] / cell))
+        xs = F.sequence(F.floor(r["x0"] / wide), F.floor(r["x1"] / wide))
+        ys = F.sequence(F.floor(r["y0"] / high), F.floor(r["y1"] / high))
         return df.select("page", F.col("id").alias(f"{side}_id"), r.alias(f"r_{side}"), F.explode(xs).alias("cx"), ys.alias("ys")).select(
             "page", f"{side}_id", f"r_{side}", "cx", F.explode("ys").alias("cy")
         )
 
-    pairs = cells(a, "a").join(cells(b, "b"), ["page", "cx", "cy"])
+    at = ["page", "cx", "cy"]
+    left, right = cells(a, "a"), cells(b, "b")
+    counts = left.groupBy(*at).agg(F.count("*").alias("n_a")).join(right.groupBy(*at).agg(F.count("*").alias("n_b")), at)
+    counts = scratch.write(counts.withColumn("parts", F.ceil(F.col("n_a") * F.col("n_b") / PAIRS)), "cells")
+    sums = counts.agg(F.count("*").alias("n"), F.sum(F.col("n_a") * F.col("n_b")).alias("pairs")).first()
+    tasks = max(1, min(MOST_TASKS, -(-(sums["pairs"] or 0) // PAIRS)))
+    parts = counts.select(*at, "parts")
+    left = join_small(left, parts, at, "inner", sums["n"], 80).withColumn("part", F.pmod(F.xxhash64("a_id"), "parts")).drop("parts")
+    right = join_small(right, parts, at, "inner", sums["n"], 80).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    where = [*at, "part"]
+    pairs = left.repartition(tasks, *where).join(right.repartition(tasks, *where).hint("shuffle_merge"), where)
     ra, rb = F.col("r_a"), F.col("r_b")
-    home = (F.floor(F.greatest(ra["x0"], rb["x0"]) / cell) == F.col("cx")) & (F.floor(F.greatest(ra["y0"], rb["y0"]) / cell) == F.col("cy"))
+    home = (F.floor(F.greatest(ra["x0"], rb["x0"]) / wide) == F.col("cx")) & (F.floor(F.greatest(ra["y0"], rb["y0"]) / high) == F.col("cy"))
     return pairs.where(intersects(ra, rb) & home).select("page", "a_id", "b_id")
 
 

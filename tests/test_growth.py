@@ -107,3 +107,15 @@ def test_cuts_of_closures_by_numbers(spark):
     assert {tuple(r)[:3] for r in copied.collect()} == want and len(want) > 60
     cuts = closure.closure_cuts(refs, roots, objects, stops)
     assert sorted(map(tuple, cuts.collect())) == sorted(map(tuple, closure.cut_references(refs, copied).collect()))
+
+
+def test_crowded_cells_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(fields, "PAIRS", 40)
+    random.seed(7)
+    rows = [(i % 2, i, *(float(random.randrange(40)) for _ in range(2)), float(random.randrange(1, 12)), 3.0) for i in range(300)] + [(0, 900, -50.0, -50.0, 500.0, 500.0)]
+    frame = spark.createDataFrame([(p, i, (x, y, x + w, y + h)) for p, i, x, y, w, h in rows], "page int, id int, r struct<x0:double,y0:double,x1:double,y1:double>")
+    a, b = frame.where("id % 3 = 0"), frame.where("id % 3 > 0")
+    got = fields.overlaps(a, b)
+    want = [(p, i, j) for p, i, x, y, w, h in rows if i % 3 == 0 for q, j, u, v, k, m in rows if j % 3 and p == q and x < u + k and u < x + w and y < v + m and v < y + h]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.rdd.getNumPartitions() > 1
