@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from quire.functions.text import ALNUM
 from quire.plans import scratch
 from quire.plans.joins import join_small
 
-#: Needles of one automaton; an automaton takes some hundred bytes a letter.
+#: Needles up to this size meet what is found by broadcast, more of them by shuffle.
 MOST_NEEDLE_BYTES = 1 << 20
+#: Bits of the filter for each needle, which sets two of them.
+FILTER_BITS = 32
 
 
 def folded(x: Column) -> Column:
@@ -29,24 +32,92 @@ def pattern_of(needle: Column, match_case: Column, whole_words: Column) -> Colum
     return F.when(whole_words, F.concat(F.lit(f"(?<!{ALNUM})"), plain, F.lit(f"(?!{ALNUM})"))).otherwise(plain)
 
 
-def _finder(needles: list[str]):
-    """The texts that hold needles, each with those it holds."""
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> _U(29))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(32))
+
+
+def _windows(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, hashes of all windows of 2 ** k letters) for k from 0 on while there are any."""
+    k, at = 0, _mix(codes.astype(_U) + _U(1))
+    while len(at):
+        yield k, at
+        with np.errstate(over="ignore"):
+            at = _mix(at[: -(1 << k)] * _U(3) + at[1 << k :])
+        k += 1
+
+
+def _first(at: np.ndarray, k: int) -> np.ndarray:
+    """Keys of needles' starts: their first 2 ** k letters."""
+    return _mix(at ^ _U(k + 1))
+
+
+def _whole(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Keys of needles of n letters: two windows of more than half of it cover it."""
+    with np.errstate(over="ignore"):
+        return _mix(start * _U(5) + end + _U(n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for n in needles:
-            machine.add_word(n, n)
-        machine.make_automaton()
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of folded needles: of the whole and of the start."""
+    for batch in batches:
+        rows = []
+        for fold in batch.column(0).to_pylist():
+            codes = _codes(fold)
+            for k, at in _windows(codes):
+                last = k, at
+            k, at = last
+            rows.append((fold, len(codes), _whole(at[:1], at[-1:], len(codes))[0], _first(at[:1], k)[0]))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        keys = [pa.array(np.array(c, _U).view(np.int64)) for c in columns[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *keys], names=["fold", "n", "key", "first"])
+
+
+def _finder(lengths: list[int], bits: np.ndarray):
+    """The texts that may hold needles, each with the keys found; ``bits`` are a filter of all keys."""
+    by_class: dict[int, list[int]] = {}
+    for n in lengths:
+        by_class.setdefault(n.bit_length() - 1, []).append(n)
+    top, step = max(by_class, default=-1), 1 << 18
+
+    def known(keys: np.ndarray) -> np.ndarray:
+        place = keys % _U(len(bits) * 64)
+        return (bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) > 0
+
+    def keys_in(codes: np.ndarray) -> np.ndarray:
+        found = [np.zeros(0, _U)]
+        for k, at in _windows(codes):
+            if k > top:
+                break
+            if k in by_class:
+                starts = np.flatnonzero(known(_first(at, k)))
+                for n in by_class[k]:
+                    some = starts[starts + n <= len(codes)]
+                    keys = _whole(at[some], at[some + n - (1 << k)], n)
+                    found.append(np.unique(keys[known(keys)]))
+        return np.unique(np.concatenate(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        overlap = max(lengths, default=1) - 1
         for batch in batches:
             kept, found = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                if hits := {n for _, n in machine.iter(text or "")}:
+                codes = _codes(text or "")
+                keys = np.unique(np.concatenate([keys_in(codes[j : j + step + overlap]) for j in range(0, max(1, len(codes)), step)]))
+                if len(keys):
                     kept.append(i)
-                    found.append(sorted(hits))
+                    found.append(keys.view(np.int64).tolist())
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.list_(pa.string()))], names=["id", "text", "folds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.list_(pa.int64()))], names=["id", "text", "keys"])
 
     return run
 
@@ -55,25 +126,31 @@ def residue(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle, match_case, whole_words, n_texts, first_id): needles that texts still hold.
 
     ``texts`` are (id, text), ``needles`` (needle, match_case, whole_words); white space of a needle counts as one
-    space, empty ones are left out, nulls are false. An automaton of folded needles goes over each folded text
-    once; what it finds is decided by the needle's own rules on the text itself. Needles beyond MOST_NEEDLE_BYTES go
-    in several automata, each over all texts: no text meets each needle, and no needle is left out.
+    space, empty ones are left out, nulls are false. Each text is read once, however many needles there are: hashes
+    of its windows are looked up in a filter of the needles' hashes, and what may be a needle meets it in a join by
+    the hash of the whole needle. What is found is decided by the needle's own rules on the text itself, which moves
+    once; the filter, FILTER_BITS bits a needle, passes through the driver. No needle is left out.
     """
     plain = F.trim(F.regexp_replace("needle", r"\s+", " "))
     asked = needles.select(plain.alias("needle"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("match_case", "whole_words"))).where("needle != ''").distinct()
     asked = scratch.write(asked.withColumn("fold", folded(F.col("needle"))), "needles")
-    size = asked.agg(F.sum(F.octet_length("fold")).alias("b"), F.count("*").alias("n"), F.max(F.octet_length("needle")).alias("most")).first()
-    parts = max(1, -(-(size["b"] or 0) // MOST_NEEDLE_BYTES))
+    folds = scratch.write(asked.select("fold").where("fold != ''").distinct().mapInArrow(_keys, "fold string, n int, key long, first long"), "keys")
+    size = asked.agg(F.sum(F.octet_length("needle")).alias("b"), F.count("*").alias("n"), F.max(F.octet_length("needle")).alias("most")).first()
+    words = max(1, (size["n"] * FILTER_BITS) // 64)
+    place = F.pmod(F.conv(F.hex("h"), 16, 10).cast("decimal(20,0)"), F.lit(words * 64).cast("decimal(20,0)")).cast("long")
+    each = folds.select(F.explode(F.array("key", "first")).alias("h")).select(place.alias("p"))
+    filled = each.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    bits = np.zeros(words, _U)
+    bits[filled.column("w").to_numpy()] = filled.column("b").to_numpy().view(_U)
+    lengths = sorted(r["n"] for r in folds.select("n").distinct().collect())
+
     texts = texts.select("id", "text", folded(F.col("text")).alias("fold")).where("text is not null")
-    found = None
-    for part in range(parts):
-        some = [r["fold"] for r in asked.where(F.pmod(F.xxhash64("fold"), F.lit(parts)) == part).select("fold").distinct().collect()]
-        hits = texts.mapInArrow(_finder(some), f"id {texts.schema['id'].dataType.simpleString()}, text string, folds array<string>")
-        found = hits if found is None else found.union(hits)
-    pairs = found.select("id", "text", F.explode("folds").alias("fold"))
-    rules = asked.select("needle", "match_case", "whole_words", "fold", pattern_of(F.col("needle"), F.col("match_case"), F.col("whole_words")).alias("pattern"))
-    pairs = join_small(pairs, rules, ["fold"], "inner", size["n"], 8 * (size["most"] or 0) + 200)
-    held = pairs.where(F.regexp_like("text", "pattern"))
+    found = texts.mapInArrow(_finder(lengths, bits), f"id {texts.schema['id'].dataType.simpleString()}, text string, keys array<long>")
+    found = scratch.write(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    rules = asked.select("needle", "match_case", "whole_words", "fold", pattern_of(F.col("needle"), F.col("match_case"), F.col("whole_words")).alias("pattern")).join(folds.select("fold", "key"), "fold").drop("fold")
+    small = size["n"] if (size["b"] or 0) <= MOST_NEEDLE_BYTES else 1 << 40
+    pairs = scratch.write(join_small(found.select("row", F.explode("keys").alias("key")), rules, ["key"], "inner", small, 8 * (size["most"] or 0) + 200).drop("key"), "pairs")
+    held = pairs.join(found.select("row", "id", "text"), "row").where(F.regexp_like("text", "pattern"))
     return held.groupBy("needle", "match_case", "whole_words").agg(F.count_distinct("id").alias("n_texts"), F.min("id").alias("first_id"))
 
 
