@@ -63,14 +63,16 @@ def reading_order(words: DataFrame) -> DataFrame:
     """``words`` (page, x0, y0, y1, ..) with row and place: the row on the page from the top, and the place in reading order.
 
     Words in the order of their centres start a new row where the centre lies more than SAME_ROW of the
-    larger height below the one before; a row reads from left to right. Ties go by x0, then by text. Pages
-    are windows of their own; words without a position come first on their page.
+    larger height below the one before; a row reads from left to right. Ties go by x0, then by text, then by
+    y0, so that heights of words with one centre come in one order. Pages are windows of their own; words
+    without a position come first on their page.
     """
     down = Window.partitionBy("page").orderBy("_mid", "x0", "text")
-    far = F.col("_mid") - F.lag("_mid").over(down) > SAME_ROW * F.greatest("_size", F.lag("_size").over(down))
+    each = Window.partitionBy("page").orderBy("_mid", "x0", "text", "y0")
+    far = F.col("_mid") - F.lag("_mid").over(each) > SAME_ROW * F.greatest("_size", F.lag("_size").over(each))
     sized = words.withColumn("_mid", (F.col("y0") + F.col("y1")) / 2).withColumn("_size", F.col("y1") - F.col("y0"))
     rows = sized.withColumn("_new", far.cast("int")).withColumn("row", (F.coalesce(F.sum("_new").over(down), F.lit(0)) + 1).cast("int"))
-    place = F.row_number().over(Window.partitionBy("page").orderBy("row", "x0", "_mid", "text"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("row", "x0", "_mid", "text", "y0"))
     return rows.withColumn("place", place).drop("_mid", "_size", "_new")
 
 

@@ -55,6 +55,13 @@ def test_words_of_one_row_read_from_the_left(spark):
     assert {r["text"]: (r["row"], r["place"]) for r in got.collect()} == {"a": (1, 1), "b": (1, 2), "c": (2, 3), "d": (1, 1)}
 
 
+def test_rows_do_not_depend_on_the_order_of_words_with_one_centre(spark):
+    words = [("p", "a", 5.0, 0.0, 12.0), ("p", "a", 5.0, 1.0, 11.0), ("p", "b", 1.0, 5.5, 15.5)]
+    for given in (words, [words[2], words[1], words[0]]):
+        got = layout.reading_order(spark.createDataFrame(given, "page string, text string, x0 double, y0 double, y1 double").coalesce(1))
+        assert sorted((r["y0"], r["row"], r["place"]) for r in got.collect()) == [(0.0, 1, 1), (1.0, 1, 2), (5.5, 2, 3)]
+
+
 def test_equal_marks_of_a_line_have_places_of_their_own(spark):
     rows = lines_of(spark, ["none", "ab ab", None])
     got = layout.place_marks(rows, F.when(F.col("line_no") == 2, F.array(F.lit("ab"), F.lit("ab"))), 10).orderBy("mark_no").collect()
