@@ -98,3 +98,18 @@ def test_an_engine_is_called_page_by_page(spark):
     got = sorted((r["page"], r["seq"], r["line"], r["text"], r["confidence"]) for r in spark.sql(sql, parts=parts).collect())
     assert got == [("a", 1, 1, "a1", 50.0), ("a", 2, 1, "a1", 50.0), ("a", 3, 2, "a3", 50.0), ("b", 1, 1, "b2", 50.0)]
     assert spark.sql(sql, parts=parts.limit(0)).count() == 0
+
+
+def test_a_page_of_several_batches_is_one_call(spark):
+    """Parts reach the engine as Arrow batches, and a page that they cut is still one page."""
+    from quire.sources import recogniser
+
+    recogniser.register(spark, "counting_engine", lambda page, rows: [(1, f"{len(rows)}:{rows[0]['no']}", 0, 0, 1, 1, 1)])
+    parts = spark.createDataFrame([(p, n) for p in "ab" for n in range(7, 0, -1)] + [(None, 1)], "page string, no int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        made = spark.sql("SELECT * FROM counting_engine(TABLE({parts}) PARTITION BY page ORDER BY no)", parts=parts)
+        assert sorted((str(r["page"]), r["text"]) for r in made.collect()) == [("None", "1:1"), ("a", "7:1"), ("b", "7:1")]
+        assert "ArrowEvalPythonUDTF" in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
