@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.plans import blocks, scratch
 from quire.plans.blocks import block_of, splitters
-from quire.plans.joins import MOST_BYTES, join_small, without
+from quire.plans.joins import MOST_BYTES, is_small, join_small, without
 
 
 def test_blocks_follow_the_splitters(spark):
@@ -55,6 +55,11 @@ def test_join_is_broadcast_only_when_small(spark):
     assert "broadcast" in plan(5, 16).lower() and "broadcast" not in plan(5, MOST_BYTES).lower()
 
 
+def test_a_broadcast_is_bounded_as_a_table_in_memory():
+    """Narrow rows take several times their own bytes: millions of them must not pass through the driver."""
+    assert is_small(400_000, 8) and not is_small(1_000_000, 8) and not is_small(600_000, 0)
+
+
 def test_without_takes_any_column_names(spark):
     docs = spark.createDataFrame([(1, "a", 1), (None, "b", 2), (2, None, 3), (1, "a", 4)], "k0 int, row string, k1 int")
     gone = spark.createDataFrame([(1, "a"), (None, "b")], "k0 int, k1 string")
