@@ -67,6 +67,39 @@ def test_residue_of_ten_thousand_needles(spark, monkeypatch):
     assert got == want and len(want) > 200
 
 
+RESIDUE = ("id long, text string", "needle string, match_case boolean, whole_words boolean")
+
+
+def test_residue_sends_counts_and_no_text(spark, monkeypatch):
+    """Texts that hold all needles: what is written grows with tasks and needles, not with their pairs."""
+    wrote, write = {}, residue.scratch.write
+
+    def counted(df, name):
+        out = write(df, name)
+        wrote[name] = out.count()
+        return out
+
+    monkeypatch.setattr(residue.scratch, "write", counted)
+    needles = [(f"k{i} v{i}", i % 2 == 0, i % 3 == 0) for i in range(50)]
+    texts = [(i, " ".join(n for n, _, _ in needles) + f" t{i}") for i in range(400)]
+    frames = [spark.createDataFrame(x, schema).repartition(2) for x, schema in zip((texts, needles), RESIDUE, strict=True)]
+    got = residue.residue(*frames).collect()
+    assert sorted(map(tuple, got)) == sorted((*n, 400, 0) for n in needles)
+    assert max(wrote.values()) <= 200
+
+
+def test_residue_of_repeated_ids_and_of_windows_at_edges(spark, monkeypatch):
+    monkeypatch.setattr(residue, "STEP", 16)
+    monkeypatch.setattr(residue, "MOST_HELD", 3)
+    texts = [(1, "Straße der ab"), (1, "STRAẞE ab"), (2, "xab ab"), (3, "ab"), (None, "ab"), (4, "abx"), (None, "zz"), (5, "straße"), (5, "aaa"), (6, "-" * 40 + "ab" * 30 + "."), (7, "ab"), (7, "AB"), (8, "\U0010ffffab😀b")]
+    needles = [("STRAẞE", False, False), ("ab", True, True), ("ab", False, False), ("AB", True, False), ("zz", False, True), ("aa", False, True), ("aaa", None, True), ("ab" * 15, False, False), ("ab" * 30, True, True), ("b.", False, False), ("b\n ", False, True), ("😀B", False, False), ("r S", False, False)]
+    got = residue.residue(*(spark.createDataFrame(x, schema).coalesce(1) for x, schema in zip((texts, needles), RESIDUE, strict=True)))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == {
+        ("STRAẞE", False, False): (2, 1), ("ab", True, True): (5, 1), ("ab", False, False): (7, 1), ("AB", True, False): (1, 7), ("zz", False, True): (0, None),
+        ("aaa", False, True): (1, 5), ("ab" * 15, False, False): (1, 6), ("ab" * 30, True, True): (1, 6), ("b.", False, False): (1, 6), ("b", False, True): (1, 8), ("😀B", False, False): (1, 8),
+    }
+
+
 def test_ascii_contains(spark):
     row = spark.createDataFrame([("xÉ Secret z",)], "t string").select(*(residue.ascii_contains(F.col("t"), F.lit(n), F.lit(c)).alias(str(i)) for i, (n, c) in enumerate([("secret", False), ("secret", True), ("Secret", True), ("é", False), ("", False)])))
     assert tuple(row.first()) == (True, False, True, False, False)
